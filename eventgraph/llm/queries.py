@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from eventgraph.llm import mixing
+from eventgraph.llm import mixing, pieces
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
