@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from eventgraph.llm import mixing, pieces
+from eventgraph.llm import media, mixing, pieces
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op3_media": media.op3_media,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
