@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from eventgraph.llm import media, mixing, neardup, pieces, rules
+from eventgraph.llm import chat, media, mixing, neardup, pieces, rules
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_media": media.op3_media,
+    "op7_chat_format": chat.op7_chat_format,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op7_chat_format": chat.OP7_SQL,
     "op9_quality_rules": rules.OP9_SQL,
 }
