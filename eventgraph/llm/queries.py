@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, rules
+from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, rules, surrogates
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_media": media.op3_media,
     "op4_quality_classifier": classifier.op4_quality_classifier,
+    "op5_pii_surrogates": surrogates.op5_pii_surrogates,
     "op7_chat_format": chat.op7_chat_format,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_near_duplicates": neardup.op10_near_duplicates,
