@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, rules, surrogates
+from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, pseudo, rollup, rules, surrogates
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,12 +10,15 @@ QUERIES = {
     "op3_media": media.op3_media,
     "op4_quality_classifier": classifier.op4_quality_classifier,
     "op5_pii_surrogates": surrogates.op5_pii_surrogates,
+    "op6_token_rollup": rollup.op6_token_rollup,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_pseudo_likelihood": pseudo.op8_pseudo_likelihood,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op6_token_rollup": rollup.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op9_quality_rules": rules.OP9_SQL,
 }
