@@ -16,12 +16,10 @@ nothing. Extra columns are ignored. Keys whose documents and tokens are both bac
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventgraph.llm.common import WORD, columns_of, reliable, text_or_empty
+from eventgraph.llm.common import WORD, columns_of, reliable, shared_folder, text_or_empty
 
 KEYS = ("source", "language", "tokenizer")
 SCHEMA = "source string, language string, tokenizer string, n_docs long, n_tokens long, batch long"
@@ -56,12 +54,6 @@ def count(text: str | Column, version: str) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(VERSIONS[version])).cast("long")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, or in the warehouse where no checkpoint folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def op6_token_rollup(spark, folder: str) -> DataFrame:
     """All documents inserted, revised to the second version, exact copies deleted; one batch comes twice."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
