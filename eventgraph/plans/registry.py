@@ -9,3 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under a name, with its equivalent in DuckDB's SQL."""
+
+    def register(run: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return run
+
+    return register
+
+
+from eventgraph.plans import fact_queries, graph_queries, metric_queries, text_queries  # noqa: E402, F401
