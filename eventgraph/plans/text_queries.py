@@ -1 +1,168 @@
-"""Registered queries."""
+"""Registered queries over texts and vectors: retrieval, linking, masks, ingestion, guards."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from eventgraph.functions import text as tx
+from eventgraph.operators import linking, retrieval
+from eventgraph.plans.proxy import EVENTS, events
+from eventgraph.plans.registry import query
+from eventgraph.session import table
+
+WITH = f"with {EVENTS}"
+#: DuckDB's equivalent of the search tokenizer, for Latin text.
+FOLDED = "regexp_replace(strip_accents({t}), '[^\\x00-\\x7F]', '', 'g')"
+TOKENS = "list_filter(string_split(trim(regexp_replace(lower(" + FOLDED + "), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
+BM25 = f"""
+dt as (select doc_id, lang, {TOKENS.format(t="coalesce(text, '')")} ws from documents),
+po as (select doc_id, token, count(*) tf from (select doc_id, unnest(ws) token from dt) group by all),
+qt as (select item_id query_id, token, count(*) qtf from (select item_id, unnest({TOKENS.format(t="text")}) token from benchmark) group by all),
+id as (select token, ln(((select count(*) from dt) + 1) / count(*)) idf from po group by token),
+ba as (select query_id, sum(qtf * idf) base from qt join id using (token) group by query_id),
+ga as (select query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ws) / (select avg(len(ws)) from dt)))) gain
+  from qt join id using (token) join po using (token) join dt using (doc_id) group by query_id, doc_id),
+sc as (select query_id, doc_id, lang, round(base + coalesce(gain, 0), 9) score from ba cross join dt left join ga using (query_id, doc_id)),
+bm as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc)"""
+COSINE = """
+cs as (select a.vec_id query_id, b.vec_id id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2]::double))
+   / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double)))), 9) score
+  from embeddings a, embeddings b where a.vec_id < 40),
+ct as (select *, row_number() over (partition by query_id order by score desc, id) as rank from cs)"""
+
+
+def asked(spark, folder):
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def corpus(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", "text", "lang")
+
+
+@query("bm25_top30", f"with {BM25} select query_id, doc_id, round(score, 6) score, rank from bm where rank <= 30")
+def bm25_top30(spark, folder):
+    return retrieval.bm25(asked(spark, folder), corpus(spark, folder), 30).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_filtered", f"with {BM25}, fi as (select *, row_number() over (partition by query_id order by score desc, doc_id) k from sc where lang = 'de') select query_id, doc_id, round(score, 6) score, k as rank from fi where k <= 10")
+def bm25_filtered(spark, folder):
+    return retrieval.bm25(asked(spark, folder), corpus(spark, folder), 10, F.col("lang") == "de").withColumn("score", F.round("score", 6))
+
+
+@query("index_stats", f"with dt as (select {TOKENS.format(t='''coalesce(text, '')''')} ws from documents) select count(*) documents, sum(len(ws))::bigint tokens, round(avg(len(ws)), 6) average_length, (select count(distinct token) from (select unnest(ws) token from dt)) vocabulary from dt")
+def index_stats(spark, folder):
+    return retrieval.index_stats(corpus(spark, folder))
+
+
+def near(spark, folder, k):
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.cosine_top(vectors.where("id < 40").select(F.col("id").alias("query_id"), "vector"), vectors, k)
+
+
+@query("cosine_topk", f"with {COSINE} select query_id, id, round(score, 6) score, rank from ct where rank <= 10")
+def cosine_topk(spark, folder):
+    return near(spark, folder, 10).withColumn("score", F.round("score", 6))
+
+
+FUSED = """
+ls as (select query_id, 0 list_no, doc_id id, rank from bm where rank <= 30 union all select query_id, 1, id, rank from ct where rank <= 30),
+fu as (select query_id, id, round(sum(1.0 / (60 + rank)), 9) score, min((list_no, rank)) f from ls group by query_id, id),
+fr as (select query_id, id, score, row_number() over (partition by query_id order by score desc, f, id) as rank from fu)"""
+
+
+@query("rrf_fusion", f"with {BM25}, {COSINE}, {FUSED} select query_id, id, round(score, 6) score, rank from fr where rank <= 20")
+def rrf_fusion(spark, folder):
+    sparse = retrieval.bm25(asked(spark, folder), corpus(spark, folder), 30).select("query_id", F.lit(0).alias("list_no"), F.col("doc_id").alias("id"), "rank")
+    dense = near(spark, folder, 30).select("query_id", F.lit(1).alias("list_no"), "id", "rank")
+    return retrieval.fused(sparse.unionByName(dense), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("hybrid_distinct_docs", f"with {BM25}, {COSINE}, {FUSED}, pa as (select query_id, id, doc_id // 2 doc_id, rank from fr join (select doc_id id, doc_id from documents) using (id) where rank <= 60), on1 as (select *, row_number() over (partition by query_id, doc_id order by rank) k from pa), fin as (select query_id, id, doc_id, row_number() over (partition by query_id order by rank) final_rank from on1 where k = 1) select query_id, id, doc_id, final_rank, round(1.0 / final_rank, 9) score, true fallback from fin where final_rank <= 8")
+def hybrid_distinct_docs(spark, folder):
+    sparse = retrieval.bm25(asked(spark, folder), corpus(spark, folder), 30).select("query_id", F.col("doc_id").alias("id"), "rank")
+    passages = corpus(spark, folder).select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 2).alias("doc_id"))
+    return retrieval.hybrid(sparse, near(spark, folder, 30), passages, 8)
+
+
+@query("vector_valid", "select vec_id, embedding is not null and len(embedding) = 64 and not list_bool_or(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0)) valid from embeddings")
+def vector_valid(spark, folder):
+    return table(spark, folder, "embeddings").select("vec_id", retrieval.valid_vector("embedding", 64).alias("valid"))
+
+
+@query("search_tokens", f"select doc_id, len({TOKENS.format(t='text')})::int n_tokens, md5(array_to_string({TOKENS.format(t='text')}, ' ')) tokens_md5 from documents where text is not null")
+def search_tokens(spark, folder):
+    words = tx.search_tokens(F.col("text"))
+    return corpus(spark, folder).where("text is not null").select("doc_id", F.size(words).alias("n_tokens"), F.md5(F.array_join(words, " ").cast("binary")).alias("tokens_md5"))
+
+
+STEMMED = "list_distinct(list_transform(list_filter(string_split(trim(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: case when length(w) > 3 and ends_with(w, 's') and not ends_with(w, 'ss') then w[:-2] else w end))"
+LINK = f"""
+la as (select distinct p_name || ' ' || p_size as label from part),
+ph as (select p_partkey phrase_id, upper(p_name) || 's ' || p_brand as phrase, p_name || ' no. ' || (p_size % 7 + 40) phrase2 from part where p_partkey < 400),
+lt as (select label, unnest({STEMMED.format(t="label")}) token, len({STEMMED.format(t="label")}) nl, list_sort(list_filter({STEMMED.format(t="label")}, lambda w: regexp_full_match(w, '[0-9]+'))) dl from la),
+pt as (select phrase_id, unnest({STEMMED.format(t="phrase2")}) token, len({STEMMED.format(t="phrase2")}) np, list_sort(list_filter({STEMMED.format(t="phrase2")}, lambda w: regexp_full_match(w, '[0-9]+'))) dp from ph),
+ma as (select phrase_id, label label_id, round(case when any_value(dl) = any_value(dp) then 2.0 * count(*) / (any_value(nl) + any_value(np)) else (2.0 * count(*) / (any_value(nl) + any_value(np))) * 0.5 end, 3) score from lt join pt using (token) group by phrase_id, label having score >= 0.5),
+ra as (select *, row_number() over (partition by phrase_id order by score desc, label_id) as rank from ma),
+re as (select *, max(case when rank = 1 then score end) over (partition by phrase_id) s1, max(case when rank = 2 then score end) over (partition by phrase_id) s2 from ra where rank <= 10)"""
+
+
+def catalog(spark, folder):
+    part = table(spark, folder, "part")
+    label = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))
+    return part.select(label.alias("label"), label.alias("label_id")).distinct()
+
+
+def phrases(spark, folder):
+    number = (F.col("p_size") % 7 + 40).cast("string")
+    return table(spark, folder, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("phrase_id"), F.concat("p_name", F.lit(" no. "), number).alias("phrase"))
+
+
+@query("link_event_f1", f"with {LINK} select phrase_id, label_id, score, rank from re")
+def link_event_f1(spark, folder):
+    return linking.ranked(linking.token_f1(phrases(spark, folder), catalog(spark, folder))).drop("resolved")
+
+
+@query("unique_resolution", f"with {LINK} select phrase_id, label_id, score, s2 is null or (s1 = 1.0 and s2 < 1.0) or round(s1 - s2, 3) >= 0.15 resolved from re where rank = 1")
+def unique_resolution(spark, folder):
+    found = linking.ranked(linking.token_f1(phrases(spark, folder), catalog(spark, folder)))
+    return found.where("rank = 1").select("phrase_id", "label_id", "score", "resolved")
+
+
+@query("resolve_sport", f"""with na as (select distinct p_name as name from part), ph as (select p_partkey phrase_id, 'big ' || p_name as phrase from part where p_partkey < 300 union all select p_partkey + 1000, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) from part where p_partkey < 300),
+j as (select phrase_id, name, round(len(list_intersect({STEMMED.format(t='phrase')}, {STEMMED.format(t='name')})) / len(list_distinct(list_concat({STEMMED.format(t='phrase')}, {STEMMED.format(t='name')}))), 6) score from ph, na),
+k as (select *, row_number() over w k, lead(score) over w nx from j where score >= 0.5 window w as (partition by phrase_id order by score desc, name))
+select phrase_id, name, score from k where k = 1 and (score = 1.0 or nx is null or score > nx)""")
+def resolve_sport(spark, folder):
+    part = table(spark, folder, "part").where("p_partkey < 300")
+    words = F.split("p_name", " ")
+    asked_ = part.select(F.col("p_partkey").alias("phrase_id"), F.concat(F.lit("big "), "p_name").alias("phrase")).unionByName(part.select((F.col("p_partkey") + 1000).alias("phrase_id"), F.concat(F.element_at(words, 2), F.lit(" "), F.element_at(words, 1)).alias("phrase")))
+    return linking.resolve_name(asked_, table(spark, folder, "part").select(F.col("p_name").alias("name")).distinct())
+
+
+@query("longest_name", f"""with na as (select distinct split_part(p_name, ' ', 1) as name from part union select distinct p_name from part), ph as (select p_partkey phrase_id, 'the ' || p_name || ' of ' || lower(p_brand) as phrase from part where p_partkey < 200)
+select phrase_id, arg_max(name, (len({STEMMED.format(t='name')}), length(name), name)) as name from ph, na where len(list_intersect({STEMMED.format(t='phrase')}, {STEMMED.format(t='name')})) = len({STEMMED.format(t='name')}) group by phrase_id""")
+def longest_name(spark, folder):
+    part = table(spark, folder, "part")
+    names = part.select(F.element_at(F.split("p_name", " "), 1).alias("name")).unionByName(part.select(F.col("p_name").alias("name"))).distinct()
+    asked_ = part.where("p_partkey < 200").select(F.col("p_partkey").alias("phrase_id"), F.concat(F.lit("the "), "p_name", F.lit(" of "), F.lower("p_brand")).alias("phrase"))
+    return linking.longest_within(asked_, names)
+
+
+@query("exact_title", f"{WITH}, k as (select regexp_replace(lower(name), '[^a-z0-9]', '', 'g') k, max(event_id) title_id from ev group by 1) select p_partkey phrase_id, title_id from part join k on k = 'building' || 'final' || (p_partkey % 60) where p_partkey < 500")
+def exact_title(spark, folder):
+    asked_ = table(spark, folder, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("phrase_id"), F.concat(F.lit("BUILDING – Final: "), (F.col("p_partkey") % 60).cast("string")).alias("phrase"))
+    return linking.exact_titles(asked_, events(spark, folder).select(F.col("event_id").alias("title_id"), F.col("name").alias("title")))
+
+
+@query("containment_join", f"{WITH}, qs as (select event_id question_id, case when event_id % 2 = 0 then venue || ' arena' else venue end v, start_date || case when event_id % 3 = 0 then ' ' || year else '' end d, year qy, event_id % 3 = 0 hasyear from ev where event_id % 40 = 0), m as (select question_id, e.event_id, case when lower(replace(v, ' ', '')) = lower(venue) and d = start_date then 1.0 else round(0.6 + 0.1 * ((lower(replace(v, ' ', '')) = lower(venue))::int + (d = start_date)::int), 1) end score from qs join ev e on split_part(qs.d, ' ', 1) = split_part(e.start_date, ' ', 1) and split_part(qs.d, ' ', 2) = split_part(e.start_date, ' ', 2) where (contains(lower(replace(replace(v, ' ', ''), '_', '')), lower(replace(venue, '_', ''))) or contains(lower(replace(venue, '_', '')), lower(replace(replace(v, ' ', ''), '_', '')))) and (not hasyear or e.year = qy)) select question_id, event_id, score from (select *, max(score) over (partition by question_id) b from m) where score = b")
+def containment_join(spark, folder):
+    all_events = events(spark, folder)
+    picked = all_events.where("event_id % 40 = 0")
+    asked_ = picked.select(F.col("event_id").alias("question_id"), F.when(F.col("event_id") % 2 == 0, F.concat("venue", F.lit(" arena"))).otherwise(F.col("venue")).alias("venue"), F.when(F.col("event_id") % 3 == 0, F.concat("start_date", F.lit(" "), F.col("year").cast("string"))).otherwise(F.col("start_date")).alias("date"))
+    return linking.at_venue_date(asked_, all_events)
+
+
+@query("date_keys", f"{WITH} select event_id, split_part(start_date, ' ', 1) as days, lower(split_part(start_date, ' ', 2)) as months, year::varchar as years from ev")
+def date_keys(spark, folder):
+    keys = tx.date_keys(F.date_format("event_date", "yyyy-MM-dd"))
+    return events(spark, folder).select("event_id", keys.alias("k")).select("event_id", F.array_join(F.col("k.days").cast("array<string>"), ",").alias("days"), F.array_join("k.months", ",").alias("months"), F.array_join("k.years", ",").alias("years"))
