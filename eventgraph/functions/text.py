@@ -78,23 +78,16 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(fold(text), " "), lambda t: t != ""), stem))
 
 
-def _spelled(text: Column) -> Column:
-    """An ISO date spelled out: day, month name, year; other texts as they are."""
-    parts = F.split(text, "-")
-    names = F.array(*[F.lit(m) for m in MONTHS])
-    spelled = F.concat_ws(" ", F.get(parts, F.lit(2)), F.get(names, F.get(parts, F.lit(1)).try_cast("int") - 1), F.get(parts, F.lit(0)))
-    return F.when(text.rlike("^\\d{4}-\\d{2}-\\d{2}$"), spelled).otherwise(text)
-
-
 def date_keys(text: Column) -> Column:
-    """(days, months, years): sorted distinct numbers of up to two digits, month names and four-digit years."""
-    return _keys(F.split(fold(_spelled(F.trim(text))), " "))
+    """(days, months, years): sorted distinct numbers of up to two digits, month names and four-digit years.
 
-
-def _keys(words: Column) -> Column:
+    An ISO date within the text counts as its day, month name and year.
+    """
+    marked = F.regexp_replace(text, "\\b(\\d{4})-0?(\\d{1,2})-0?(\\d{1,2})\\b", "$3 isomonth$2 $1")
+    names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (f"isomonth{i}", m)])
+    words = F.transform(F.split(fold(marked), " "), lambda w: F.coalesce(F.try_element_at(names, w), F.regexp_replace(w, "^isomonth", "")))
     pick = lambda keep: F.array_sort(F.array_distinct(F.filter(words, keep)))
-    days = F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w.rlike("^\\d{1,2}$")), lambda w: w.cast("int"))))
-    return F.struct(days.alias("days"), pick(lambda w: w.isin(*MONTHS)).alias("months"), pick(lambda w: w.rlike("^\\d{4}$")).alias("years"))
+    return F.struct(pick(lambda w: w.rlike("^[0-9]{1,2}$")).alias("days"), pick(lambda w: w.isin(*MONTHS)).alias("months"), pick(lambda w: w.rlike("^[0-9]{4}$")).alias("years"))
 
 
 def not_found(text: Column) -> Column:

@@ -18,7 +18,7 @@ def parse_time(value: Column) -> Column:
     seconds = F.when(text.rlike("^-?\\d{5,}(\\.\\d+)?$"), F.timestamp_seconds(text.try_cast("double")).cast("timestamp_ntz"))
     zoned = F.when(text.rlike("(?i)(z|[+-]\\d{2}:?\\d{2})$"), F.try_to_timestamp(text).cast("timestamp_ntz"))
     other = F.coalesce(text.try_cast("timestamp_ntz"), F.try_to_timestamp(text, F.lit("d MMMM yyyy")).cast("timestamp_ntz"), F.try_to_timestamp(text, F.lit("dd/MM/yyyy")).cast("timestamp_ntz"))
-    return F.coalesce(year, seconds, zoned, other)
+    return F.coalesce(year, seconds, zoned, F.when(~text.rlike("^-?\\d+$"), other))
 
 
 def valid_at(instant: Column, superseded: Column | None = None) -> Column:
