@@ -68,13 +68,13 @@ def snapshot(requests: DataFrame, decisions: DataFrame, now: float, per_hour: in
 
 
 class CapProcessor(StatefulProcessor):
-    """The streaming twin for transformWithStateInPandas, keyed by client; idle state expires after a day."""
+    """The streaming twin for transformWithStateInPandas, keyed by client; idle state can expire after a day."""
 
-    def __init__(self, per_hour: int = PER_HOUR, per_day: int = PER_DAY):
-        self.per_hour, self.per_day = per_hour, per_day
+    def __init__(self, per_hour: int = PER_HOUR, per_day: int = PER_DAY, expire: bool = True):
+        self.per_hour, self.per_day, self.expire = per_hour, per_day, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("cap", "times array<double>, day int, used int", ttlDurationMs=86_400_000)
+        self.state = handle.getValueState("cap", "times array<double>, day int, used int", ttlDurationMs=86_400_000 if self.expire else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         old = self.state.get() if self.state.exists() else None
@@ -88,6 +88,10 @@ class CapProcessor(StatefulProcessor):
         pass
 
 
-def capped_stream(requests: DataFrame, per_hour: int = PER_HOUR, per_day: int = PER_DAY) -> DataFrame:
-    """capped() over a stream; needs the RocksDB state store."""
-    return requests.groupBy("client").transformWithStateInPandas(CapProcessor(per_hour, per_day), "request_id long, client long, accepted boolean", "Append", "processingTime")
+def capped_stream(requests: DataFrame, per_hour: int = PER_HOUR, per_day: int = PER_DAY, expire: bool = True) -> DataFrame:
+    """capped() over a stream; needs the RocksDB state store.
+
+    With ``expire`` the query keeps running to drop idle state; without, it can end when all is read.
+    """
+    mode = "processingTime" if expire else "none"
+    return requests.groupBy("client").transformWithStateInPandas(CapProcessor(per_hour, per_day, expire), "request_id long, client long, accepted boolean", "Append", mode)

@@ -82,8 +82,8 @@ def test_streaming_twin(spark, tmp_path):
     for k, part in enumerate((rows[:3], rows[3:])):
         spark.createDataFrame(pd.DataFrame(part, columns=["request_id", "client", "at"]), schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
-        q = limits.capped_stream(stream, per_hour=2).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q = limits.capped_stream(stream, per_hour=2, expire=False).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
         assert q.exception() is None
     got = {r.request_id: r.accepted for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert [got[i] for i in range(len(SEQUENCE))] == [ok for _, ok in SEQUENCE]
