@@ -13,7 +13,8 @@ read for it, and only text and label. The sample is the only thing that the driv
 
 Defined cases. Null and empty texts: scored as one chunk of padding. Null label or id: not used for
 the fit, scored all the same (a null id is held out). Ids with several labels: the lowest counts.
-Without labels of both kinds every score is the share of label 1, or 0.5. Empty table: no rows.
+Without labels of both kinds every score is the share of label 1, or 0.5. Empty table: no rows. Extra
+columns stay; one with the name of the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventgraph.llm.common import arrow_map, columns_of, utf8_views
+from eventgraph.llm.common import arrow_map, columns_of, utf8_views, without
 
 CHUNK, STRIDE, WIDTH, FILTERS, DEPTH = 512, 384, 5, 16, 8
 FOLDS, THRESHOLD = 5, 0.3
@@ -176,8 +177,7 @@ def _spread(data):
 def scored(docs: DataFrame, net: Network, text: str = "text", into: str = "score") -> DataFrame:
     """docs with the probability of label 1 of each whole text."""
     columns_of(docs, text)
-    if into.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {into} is there already")
+    docs = without(docs, into)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{into} double"])
     tables = net.tables()
 

@@ -8,7 +8,8 @@ stored bytes back through its sample tables.
 Defined cases of the reader. Null file: null. A file that is cut short, has no movie box or no
 track, or whose boxes or tables contradict each other: a row with ``error`` set and the other fields null,
 so bad files are counted and never lost. An empty sync table means no key frame, a missing one
-means that every sample is one. Extra columns stay; a clash of names raises a ValueError.
+means that every sample is one. Extra columns stay; one with the name of an added column is replaced
+by it. Empty table: no rows. Repeated rows: each for itself.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventgraph.llm.common import arrow_map, columns_of, text_or_empty
+from eventgraph.llm.common import arrow_map, columns_of, text_or_empty, without
 
 #: Fixed values of the container format: boxes that hold boxes.
 NESTING = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
@@ -188,15 +189,13 @@ def payload_bytes(data: bytes) -> bytes:
 
 def _with(df: DataFrame, fields: str) -> str:
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    added = {f.split()[0].lower() for f in fields.split(", ") if " " in f}
-    if clash := added & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} are there already")
     return ", ".join([*columns, fields])
 
 
 def mux(df: DataFrame, data: str = "payload", media: str = "media") -> DataFrame:
     """df with bytes (padded to whole samples; null: empty) stored as a media file beside them."""
     columns_of(df, data)
+    df = without(df, media)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         files = [mux_bytes(padded(p or b"")) for p in batch.column(batch.schema.get_field_index(data)).to_pylist()]
@@ -211,6 +210,7 @@ def probe(df: DataFrame, media: str = "media", payload: str | None = None) -> Da
     names = [f.split()[0] for f in FIELDS.split(", ")]
     fields = FIELDS + (f", {payload} binary" if payload else "")
     keyframes = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    df = without(df, *names, *[payload] * bool(payload))
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), keyframes, pa.string()]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -18,8 +18,8 @@ one task.
 Defined cases. Null text: no words, taken 0 times more than its source's whole repetitions, which
 adds nothing. Null source: a source of its own, last in order. Repeated rows: each row counts and is
 sampled for itself; rows that agree in id and size are interchangeable. Null ids sort first within a
-bucket. All sizes 0: all targets 0. Empty table: no rows. Extra columns stay; added ones must not
-clash, or a ValueError names them.
+bucket. All sizes 0: all targets 0. Empty table: no rows. Extra columns of any name
+stay with ``apply``; ``mix`` carries those asked for, and its own columns win over equal names.
 """
 
 from __future__ import annotations
@@ -66,13 +66,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     taken is repeats times size.
     """
     columns_of(docs, "doc_id source text " + " ".join(carry))
-    added = {"size", "source_size", "target", "repeats", "taken"}
-    if clash := added & {c.lower() for c in carry}:
-        raise ValueError(f"carried columns clash with {sorted(clash)}")
+    added = {"doc_id", "source", "size", "source_size", "target", "repeats", "taken"}
+    carry = tuple(c for c in carry if c.lower() not in added)
+    carried = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("_carried")
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    seeded = docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("_order"), *carry)
+    seeded = docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("_order"), carried)
     seeded = seeded.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    slim = seeded.drop(*carry)
+    slim = seeded.drop("_carried")
 
     sums = slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     levels = water_levels(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, budget, max_epochs)
@@ -96,15 +96,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     topped = buckets.alias("a").join(nearest.alias("b"), F.expr("a.source <=> b.source"), "left").select(*[F.col(f"a.{c}") for c in buckets.columns], F.col("b._top._sum").alias("_extra"))
     once_more = fits | ((F.col("_sum") == F.col("_extra")) & (F.col("size") > 0))
     result = placed(seeded, topped).withColumn("repeats", F.col("_whole") + F.when(F.coalesce(once_more, fits, F.lit(False)) & (F.col("_whole") < max_epochs), 1).otherwise(0))
-    return result.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"), *carry)
+    return result.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"), *[F.col(f"_carried.`{c}`") for c in carry])
 
 
 def apply(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: every row as often as the mix takes it, with docs' own columns."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mix(docs, carry=carry, **settings)
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    mixed = mix(whole, carry=("_row",), **settings)
     copies = mixed.where("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-    return copies.select(*docs.columns)
+    return copies.select("_row.*")
 
 
 def levels_sql(weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> str:

@@ -13,7 +13,7 @@ that come back. Characters outside the vocabulary become their UTF-8 bytes' piec
 
 Defined cases. Null text: encoded as the empty text (the end id only). Empty text: the end id only.
 Very long texts: whole, in memory linear in their length. Repeated rows: each for itself. Empty
-table: no rows. A clash with an existing column name raises a ValueError.
+table: no rows. Extra columns stay; one with the name of an added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventgraph.llm.common import arrow_map, columns_of
+from eventgraph.llm.common import arrow_map, columns_of, without
 
 SPACE = "▁"
 #: Runs and pairs that a worker remembers; past this the memo starts anew, so memory stays bounded.
@@ -208,9 +208,6 @@ def load(model: str) -> Pieces:
 
 
 def _added(df: DataFrame, fields: str, drop: tuple[str, ...] = ()) -> str:
-    names = [f.split()[0].lower() for f in fields.split(", ")]
-    if clash := set(names) & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} are there already")
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in drop]
     return ", ".join([*own, fields])
 
@@ -219,6 +216,7 @@ def encode(df: DataFrame, model: str | None = None, text: str = "text", ids: str
     """df without its text (unless kept) and with the text's ids as array<int>."""
     columns_of(df, text)
     model = model or default_model()
+    df = without(df, ids)
     drop = () if keep_text else (text,)
     schema = _added(df, f"{ids} array<int>", drop)
 
@@ -240,6 +238,7 @@ def decode(df: DataFrame, model: str | None = None, ids: str = "ids", text: str
     """df with the text of its ids. Null ids: null text."""
     columns_of(df, ids)
     model = model or default_model()
+    df = without(df, text)
     schema = _added(df, f"{text} string")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -18,8 +18,8 @@ loosest of equals; a stratum without a certified level that helps rejects nothin
 Defined cases. Null or empty text: no words, so the base rule fails it. Null language: a stratum of
 its own. Ids with several labels: good only if all say so. Repeated rows: each gets its verdict.
 Languages without labels: nothing but the base rule. Empty tables: no rows. Unlabelled rows get the
-verdict of their stratum too. Extra columns are dropped by the query; ``features`` keeps them and
-raises a ValueError on a clash of names.
+verdict of their stratum too. Extra columns are dropped by the query; ``features`` keeps them but for
+those with the name of a count, which are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventgraph.llm import words
-from eventgraph.llm.common import arrow_map, columns_of, reliable, utf8_views
+from eventgraph.llm.common import arrow_map, columns_of, reliable, utf8_views, without
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 #: Rule: what is counted, against what, and its cutoffs in thousandths, loosest first.
@@ -87,9 +87,8 @@ def counts(data: np.ndarray) -> tuple[int, ...]:
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """df without its text and with the COUNTS of each row's text."""
     columns_of(df, text)
+    df = without(df, *COUNTS)
     kept = [f for f in df.schema.fields if f.name != text]
-    if clash := set(COUNTS) & {f.name.lower() for f in kept}:
-        raise ValueError(f"columns {sorted(clash)} are there already")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} long" for c in COUNTS)])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -19,8 +19,8 @@ joined, and texts are keyed by their digest, so copies are worked on once. The t
 grows with the data and is joined, not broadcast.
 
 Defined cases. Null text: stays null, no entity. Empty text: unchanged. Null ids and repeated rows:
-each row is replaced for itself. Empty table: no rows. Extra columns are kept; n_entities must not be
-among them.
+each row is replaced for itself. Empty table: no rows. Extra columns are kept; one named
+n_entities is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventgraph.llm.common import columns_of, own, reliable
+from eventgraph.llm.common import columns_of, own, reliable, without
 
 KEY = "an example key; give your own"
 MAX_ATTEMPTS = 32
@@ -164,8 +164,7 @@ def distinct_surrogates(forms: DataFrame, key: str = KEY) -> DataFrame:
 def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """docs with each entity of its text replaced, and n_entities, the number of replacements."""
     columns_of(docs, text)
-    if "n_entities" in {c.lower() for c in docs.columns}:
-        raise ValueError("column n_entities is there already")
+    docs = without(docs, "n_entities")
     names = docs.columns
     found, digest = own(docs, "_entities"), own(docs, "_digest")
     hint = F.coalesce(F.col(text).rlike(HINT), F.lit(False))

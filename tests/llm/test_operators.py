@@ -1,0 +1,408 @@
+"""Each operator against a brute-force version, an exact round trip or held-out rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, pseudo, queries, rollup, rules, surrogates
+
+WORD = re.compile(r"[^ \t-\r]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def documents(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r.doc_id: r.text for r in documents.collect()}
+
+
+# mixing
+
+
+def filled(sizes, weights, budget, cap):
+    """Water-filling by rounds: clamp, share the excess by weight, until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, target, free = budget * sum(sizes.values()), {}, set(names)
+    while free:
+        level = (total - sum(cap * sizes[s] for s in names if s not in free)) / sum(w[s] for s in free)
+        over = {s for s in free if level * w[s] > cap * sizes[s] + 1e-9}
+        if not over:
+            break
+        free -= over
+    for s in names:
+        target[s] = level * w[s] if s in free else cap * sizes[s]
+    return target
+
+
+def test_targets_and_sampling(spark, folder, documents, texts):
+    got = queries.QUERIES["op1_mix_sources"](spark, folder).collect()
+    source = {r.doc_id: r.source for r in documents.collect()}
+    sizes = Counter()
+    for i, t in texts.items():
+        sizes[source[i]] += len(WORD.findall(t or ""))
+    want, taken, largest = filled(sizes, (3, 1, 2), 1.5, 2), Counter(), Counter()
+    for r in got:
+        assert r["size"] == len(WORD.findall(texts[r.doc_id] or ""))
+        assert r.source_size == sizes[source[r.doc_id]]
+        assert abs(r.target - want[source[r.doc_id]]) < 1e-6 * max(1, r.target)
+        assert r.taken in (0, r["size"], 2 * r["size"])
+        taken[source[r.doc_id]] += r.taken
+        largest[source[r.doc_id]] = max(largest[source[r.doc_id]], r["size"])
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= largest[s]
+    assert sum(abs(taken[s] - want[s]) for s in sizes) < 0.05 * sum(want.values())
+    assert sorted(map(tuple, got)) == sorted(map(tuple, queries.QUERIES["op1_mix_sources"](spark, folder).collect()))
+
+
+def test_mixed_rows(documents):
+    plan = {r.doc_id: r.repeats for r in mixing.mix(documents).collect()}
+    rows = Counter(r.doc_id for r in mixing.apply(documents).collect())
+    assert rows == Counter({i: n for i, n in plan.items() if n})
+
+
+def test_one_source_holds_most(spark):
+    rows = [(i, "w " * (i % 7 + 1), "hot" if i % 10 else "cold") for i in range(3000)] + [(-1, "a b", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("hot", "cold", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 7
+
+
+# pieces
+
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aeth  ▁▁\n\tésß中執😀#$12.,<0x>s/\x00�"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_same_as_the_library(text):
+    own = pieces.load(pieces.default_model())
+    ids = own.encode(text)
+    assert ids == LIBRARY.encode(text, add_eos=True)
+    assert own.decode(ids) == LIBRARY.decode(ids)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 31999), st.integers(3, 258)), max_size=12))
+def test_decodes_any_ids(ids):
+    assert pieces.load(pieces.default_model()).decode(ids) == LIBRARY.decode(ids)
+
+
+def test_prefix_table_over_runs_together():
+    """The table itself, without the cut into runs, on texts of many runs."""
+    own = pieces.Pieces(pieces.default_model())
+    own.runs_apart = False
+    for text in ("the  cat sat   on the mat", "a" * 300, "  ", "naïve 中文 text \n here"):
+        assert own.encode(text) == LIBRARY.encode(text, add_eos=True)
+
+
+def test_documents(spark, folder, texts):
+    for r in queries.QUERIES["op2_sentencepiece"](spark, folder).collect():
+        ids = LIBRARY.encode(texts[r.doc_id] or "", add_eos=True)
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
+
+
+# media
+
+
+@pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 3072, 3073, 50_000])
+def test_round_trip(n):
+    data = random.Random(n).randbytes(n)
+    payload = media.padded(data)
+    file = media.mux_bytes(payload)
+    assert media.payload_bytes(file) == payload and payload[:n] == data and len(payload) % 192 == 0
+    found = media.probe_bytes(file)
+    assert found["error"] is None and found["codec"] == "raw " and found["n_samples"] == len(payload) // 192 == found["duration"]
+    for i, k in enumerate(found["keyframes"]):
+        assert file[k["start"] : k["end"]] == payload[192 * 8 * i : 192 * 8 * i + 192]
+
+
+def test_bad_files():
+    file = media.mux_bytes(media.padded(b"x" * 5000))
+    for cut in range(1, len(file), 97):
+        assert media.probe_bytes(file[:cut])["error"]
+    assert media.probe_bytes(b"")["error"] and media.probe_bytes(b"\0" * 64)["error"]
+    r = random.Random(3)
+    for _ in range(300):
+        broken = bytearray(file)
+        broken[r.randrange(len(file) - 700, len(file))] = r.randrange(256)
+        media.probe_bytes(bytes(broken))  # never an exception
+
+
+def test_wide_boxes_and_foreign_tables():
+    """64-bit sizes, several chunk runs, own sample sizes and no sync table."""
+    samples = [b"a" * 10, b"b" * 20, b"c" * 30, b"d" * 5]
+    import struct
+
+    b, full = media.box, media.full
+    head = b(b"ftyp", b"isom")
+    body = b"".join(samples[:2]) + b"PAD" + b"".join(samples[2:3]) + b"".join(samples[3:])
+    mdat = struct.pack(">I4sQ", 1, b"mdat", len(body) + 16) + body
+    at = len(head) + 16
+    stbl = b(b"stbl", full(b"stsd", struct.pack(">I", 1), b(b"avc1", bytes(20))), full(b"stts", struct.pack(">IIIII", 2, 3, 2, 1, 5)), full(b"stsc", struct.pack(">IIIIIII", 2, 1, 2, 1, 2, 1, 1)), full(b"stsz", struct.pack(">II4I", 0, 4, *map(len, samples))), full(b"co64", struct.pack(">IQQQ", 3, at, at + 33, at + 63)))
+    mdhd = full(b"mdhd", struct.pack(">QQIQI", 0, 0, 1000, 11, 0), version=1)
+    file = head + mdat + b(b"moov", b(b"trak", b(b"mdia", mdhd, b(b"minf", stbl))))
+    found = media.probe_bytes(file)
+    assert found["error"] is None and (found["codec"], found["timescale"], found["duration"]) == ("avc1", 1000, 11)
+    assert [file[k["start"] : k["end"]] for k in found["keyframes"]] == samples
+    assert media.payload_bytes(file) == b"".join(samples)
+
+
+def test_media_query(spark, folder, texts):
+    for r in queries.QUERIES["op3_media"](spark, folder).collect():
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_sha256 == hashlib.sha256(media.mux_bytes(payload)).hexdigest()
+
+
+# classifier
+
+
+def test_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = queries.QUERIES["op4_quality_classifier"](spark, folder).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    held = [(r.score, quality[r.doc_id]) for r in rows if r.held_out and r.doc_id in quality]
+    good, bad = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+    assert np.mean([g >= 0.3 for g in good]) > 0.97
+
+
+def test_chunks_cover_every_byte():
+    for n in (0, 1, 511, 512, 513, 896, 897, 5000):
+        data = np.arange(n, dtype=np.int64).astype(np.uint8)
+        seen = set()
+        for c in range(classifier.n_chunks(n)):
+            start = c * classifier.STRIDE
+            seen.update(range(start, min(n, start + classifier.CHUNK)))
+            assert (classifier.cut(data, np.array([c]))[0, : max(0, n - start)] == data[start : start + classifier.CHUNK]).all()
+        assert seen == set(range(n))
+
+
+# surrogates
+
+
+def test_no_entity_stays(spark, folder, texts):
+    marks = re.compile(r"[^\s@]+@[\w.-]+|\d{3}-\d{4}|(?<!\d)\d{16}(?!\d)|\b\d{1,3}(?:\.\d{1,3}){3}\b|[0-9a-fA-F]{40}")
+    got = {r.doc_id: r for r in queries.QUERIES["op5_pii_surrogates"](spark, folder).collect()}
+    pairs = {}
+    for i, t in texts.items():
+        found = marks.findall(t or "")
+        assert (got[i].n_entities > 0) == bool(found) and (got[i].text == t) == (not found)
+        for a, b in zip(found, marks.findall(got[i].text or "")):
+            assert a not in got[i].text
+            assert pairs.setdefault(a, b) == b  # one entity, one surrogate, in all documents
+            assert "@" in a or [c.isdigit() for c in a if c not in "0123456789abcdefABCDEF"] == [c.isdigit() for c in b if c not in "0123456789abcdefABCDEF"]
+    assert pairs and len(set(pairs.values())) == len(pairs)
+
+
+def test_types_and_coreference(spark):
+    text = "Mrs Anna Schmidt met Mr. Otto Braun; Mrs. Anna Schmidt. Anna.B1@x.com ANNA.B1@X.COM 4111 1111 1111 1111 or 4111111111111111, +49 (030) 123-4567, +490301234567 имя@дом.рф"
+    new = surrogates.replace(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().text
+    woman, man, again = re.findall(r"M(?:rs|r)\.? (\w+ \w+)", new)
+    assert woman == again and woman != man
+    assert woman.split()[0] in surrogates.NAMES["f"] and man.split()[0] in surrogates.NAMES["m"]
+    lower, upper = re.findall(r"[\w.]+@\w+\.example", new, flags=re.I)[:2]
+    assert upper == lower.upper()
+    spaced, plain = re.search(r"(\d{4} \d{4} \d{4} \d{4}) or (\d{16})", new).groups()
+    digits = [int(d) for d in plain[::-1]]
+    assert spaced.replace(" ", "") == plain and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    a, b = re.findall(r"\+49[\d ()-]+\d", new)
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    assert re.search(r"[а-я]{3}@", new)
+
+
+def test_collisions_are_resolved(spark, monkeypatch):
+    """Few possible candidates: attempts go on until all are distinct and none is an entity."""
+    few = lambda kind, form, attempt, key: F.concat(F.lit("s"), F.pmod(F.xxhash64(form, attempt), F.lit(40)).cast("string"))
+    monkeypatch.setattr(surrogates, "candidate", few)
+    forms = spark.createDataFrame([("name", f"s{i}") for i in range(12)], "kind string, form string")
+    got = [r.new for r in surrogates.distinct_surrogates(forms).collect()]
+    assert len(set(got)) == 12 and not set(got) & {f"s{i}" for i in range(12)}
+
+
+# rollup
+
+
+def test_batches_count_once(spark):
+    store = rollup.Rollup(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/rollup")
+    schema = "source string, language string, tokenizer string, sign int, n_tokens long"
+    batches = {1: [("a", "en", "v1", 1, 10), ("b", "en", "v1", 1, 7)], 2: [("a", "en", "v1", -1, 10), ("a", "en", "v2", 1, 12)], 3: [("b", "en", "v1", -1, 7)]}
+    for i in (2, 1, 3, 2, 1):
+        store.commit(spark.createDataFrame(batches[i], schema), i)
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v2", 1, 12)]
+
+
+# chat
+
+
+def test_texts_of_control_strings(spark):
+    r = random.Random(4)
+    bits = ["\\", "#", "###", "### ", "</turn>", "\n", ": ", "<", "/turn>", "b", "h", "l", "c", " ", "é", "### Assistant: ", "\\\\", "\\b"]
+    rows = [(c, t, r.choice(["user", "assistant", "a: b", "x\\c", "###"]), "".join(r.choice(bits) for _ in range(r.randrange(8)))) for c in range(150) for t in range(r.randrange(1, 4))]
+    got = {x.conv_id: x for x in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    source = defaultdict(list)
+    for c, t, role, text in sorted(rows, key=lambda x: (x[0], x[1], x[2], x[3])):
+        source[c].append((role, text))
+    for c, turns in source.items():
+        assert [tuple(t) for t in got[c].turns] == turns
+        assert got[c].loss_text == "".join(t for role, t in turns if role == "assistant")
+
+
+# pseudo-likelihood
+
+
+def test_scores(documents, texts):
+    weights = pseudo.train(documents, rounds=1, draws=40_000)
+    total = n = 0
+    counts = Counter(b for t in texts.values() for b in (t or "").encode())
+    for r in pseudo.scored(documents, weights).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        wide = b"\0\0" + raw + b"\0\0"
+        codes = np.array([int.from_bytes(wide[i : i + 5], "big") for i in range(len(raw))], np.int64)
+        assert r.n_tokens == len(raw) and abs(r.log_likelihood - pseudo.log_probability(weights, codes).sum()) < 1e-3 * max(1, len(raw))
+        total, n = total + r.log_likelihood, n + len(raw)
+    unigram = sum(c * np.log(c / n) for c in counts.values()) / n
+    assert total / n > unigram + 0.5
+
+
+def test_window_counts(documents, texts):
+    got = {r.code: r.n for r in pseudo.window_counts(documents).collect()}
+    want = Counter()
+    for t in texts.values():
+        wide = b"\0\0" + (t or "").encode() + b"\0\0"
+        want.update(int.from_bytes(wide[i : i + 5], "big") for i in range(len(wide) - 4))
+    assert got == want
+
+
+# rules
+
+
+def brute_counts(text):
+    words = WORD.findall(text)
+    threes = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if threes[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines), sum("A" <= c <= "Z" for c in text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab é\n\t#|A\x0b\r", max_size=80))
+def test_counts(text):
+    assert rules.counts(np.frombuffer(text.encode(), np.uint8)) == brute_counts(text)
+
+
+def test_counts_of_documents(texts):
+    for t in texts.values():
+        assert rules.counts(np.frombuffer((t or "").encode(), np.uint8)) == brute_counts(t or "")
+
+
+def test_bound_holds():
+    """The chosen bound is exact: the error of certifying a true rate at the risk is at most the error asked."""
+    for n in (50, 200, 1000):
+        worst = [k for k in range(n) if rules.certified(n, k, 0.05, 0.01)]
+        at = rules.at_most(max(worst), n, 0.05) if worst else 0
+        assert at <= 0.01
+
+
+def test_verdicts_spare_good_documents(spark):
+    good = [(i, "en", " ".join(f"w{(i * 31 + k * 17) % 997}" for k in range(80))) for i in range(400)]
+    bad = [(1000 + i, "en", " ".join(f"w{(i * 37 + k * 13) % 997}###" for k in range(80))) for i in range(60)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _, _ in good + bad], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in rules.verdicts(docs, labels).collect()}
+    assert all(kept[i] for i, _, _ in good) and not any(kept[i] for i, _, _ in bad)
+    few = labels.where("doc_id < 20 or doc_id >= 1000")  # too few good labels to certify anything
+    assert all(r.kept for r in rules.verdicts(docs, few).collect())
+
+
+# near duplicates
+
+
+def brute_components(texts):
+    sets, rows = {}, defaultdict(list)
+    for i, t in texts.items():
+        w = WORD.findall((t or "").translate(UPPER))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        for s in sets[i]:
+            rows[s].append(i)
+    parent = {i: i for i in texts}
+
+    def root(a):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for i, s in sets.items():
+        shared = Counter(j for x in s for j in rows[x] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: (len(sets[i]), root(i)) for i in texts}
+
+
+def planted(seed=1):
+    """Copies, near copies at all similarities, chains, a crowd of near copies, short and empty texts."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    out, n = {}, 0
+    for size, group, edits in ((120, 6, 3), (60, 8, 4), (300, 5, 20), (200, 700, 4), (40, 10, 2), (5, 3, 0), (3, 3, 0)):
+        base = [word() for _ in range(size)]
+        for _ in range(group):
+            own = list(base)
+            for _ in range(r.randrange(edits + 1)):
+                own[r.randrange(size)] = word()
+            out[n] = " ".join(own).title() if r.random() < 0.3 else " ".join(own)
+            n += 1
+    chain = [word() for _ in range(100)]
+    for _ in range(12):
+        out[n] = " ".join(chain)
+        chain = chain[3:] + [word() for _ in range(3)]
+        n += 1
+    for t in (None, "", "  ", "one", "one", "one two three four", "one two three five"):
+        out[n] = t
+        n += 1
+    for _ in range(60):
+        out[n] = " ".join(word() for _ in range(r.randrange(1, 90)))
+        n += 1
+    return out
+
+
+def test_planted_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 100)  # the crowd is divided by deeper prefixes
+    docs = planted()
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(rows).collect()}
+    want = brute_components(docs)
+    assert {i: w for i, w in want.items() if got[i] != w} == {}
+
+
+def test_documents_by_brute_force(spark, folder, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op10_near_duplicates"](spark, folder).collect()}
+    assert got == brute_components(texts)
+
+
+def test_long_chain_of_links(spark):
+    edges = spark.createDataFrame([(b"%04d" % i, b"%04d" % (i + 1)) for i in range(200)] + [(b"x", b"y")], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.root) for r in neardup.components(edges).collect()}
+    assert len(got) == 203 and {v for k, v in got.items() if k[:1] == b"0"} == {b"0000"} and got[b"y"] == b"x"
