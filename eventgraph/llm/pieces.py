@@ -198,7 +198,7 @@ class Pieces:
                     parts.append(self.bytes[i].decode())
             out = "".join(parts)
         first = ids[0] if ids else None
-        return out[1:] if first is not None and not self.is_byte[first] and out.startswith(" ") else out
+        return out[1:] if first is not None and first != self.unknown and not self.is_byte[first] and out.startswith(" ") else out
 
 
 @lru_cache(maxsize=2)
