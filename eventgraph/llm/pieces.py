@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from eventgraph.llm.common import arrow_map, columns_of, without
 
 SPACE = "▁"
-#: Runs and pairs that a worker remembers; past this the memo starts anew, so memory stays bounded.
-RUNS_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+#: Runs and pairs that a worker remembers; past this old ones give way, so memory stays bounded.
+RUNS_KEPT, PAIRS_KEPT = 400_000, 1_500_000
 
 
 def default_model() -> str:
@@ -61,11 +61,14 @@ class Pieces:
         for i in self.byte_ids.values():
             self.is_byte[i] = 1
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, p)
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.names = names
+        self.start = n  # stands before a text's first piece
+        self.pairs: dict[int, bool] = {}
         self.runs: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first, until none can be merged."""
@@ -81,62 +84,60 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
-        return known
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the characters of two pieces gives back just these; remembered by pair."""
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
+        names = self.names
+        parts = [names[right]] if left == self.start else [names[left], names[right]]
+        ok = self.pairs[left << 32 | right] = self.merged("".join(parts)) == parts
+        return ok
 
     def _known(self, text: str) -> list[int]:
         """Ids of a text whose characters are all in the vocabulary."""
-        last: list[str] = [""] * (len(text) + 1)
-        pairs = self.pairs
-        for end, piece in self.automaton.iter(text):
-            end += 1
-            if last[end]:
+        n = len(text)
+        last, begin = [-1] * n, [0] * n  # of the prefix that ends behind each character: last piece, where it begins
+        known = self.pairs.get
+        for end, (piece, size) in self.automaton.iter(text):
+            if last[end] >= 0:
                 continue
-            start = end - len(piece)
-            before = last[start]
-            if start == 0:
-                ok = pairs.get(("", piece))
-                if ok is None:
-                    ok = pairs[("", piece)] = self.merged(piece) == [piece]
-            else:
-                ok = pairs.get((before, piece))
-                if ok is None:
-                    ok = self.compatible(before, piece)
+            at = end - size
+            left = last[at] if at >= 0 else self.start
+            ok = known(left << 32 | piece)
+            if ok is None:
+                ok = self.compatible(left, piece)
             if ok:
-                last[end] = piece
-        out, at, ids = [], len(text), self.ids
-        while at:
-            out.append(ids[last[at]])
-            at -= len(last[at])
-        return out[::-1]
+                last[end], begin[end] = piece, at
+        out, at = [], n - 1
+        while at >= 0:
+            out.append(last[at])
+            at = begin[at]
+        out.reverse()
+        return out
 
     def run_ids(self, run: str) -> tuple[int, ...]:
-        """Ids of one run, split where characters are outside the vocabulary."""
-        known = self.runs.get(run)
+        """Ids of one run, given without its first space; split where characters are outside the vocabulary."""
+        known = self.older.get(run)
         if known is not None:
+            self.runs[run] = known
             return known
-        chars = self.chars
-        if chars.issuperset(run):
-            out = self._known(run)
+        chars, text = self.chars, SPACE + run
+        if chars.issuperset(text):
+            out = self._known(text)
         else:
             out, start = [], 0
-            for i, c in enumerate(run):
+            for i, c in enumerate(text):
                 if c not in chars:
-                    out += self._known(run[start:i])
+                    out += self._known(text[start:i])
                     out += [self.byte_ids[b] for b in c.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
                     start = i + 1
-            out += self._known(run[start:])
+            out += self._known(text[start:])
+        ids = tuple(out)
         if len(run) <= 64:
-            if len(self.runs) >= RUNS_KEPT:
-                self.runs.clear()
-            self.runs[run] = tuple(out)
-        return tuple(out)
+            if len(self.runs) >= RUNS_KEPT:  # runs that come back move on to the new memo, others are dropped
+                self.older, self.runs = self.runs, {}
+            self.runs[run] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, the end id last."""
@@ -144,26 +145,23 @@ class Pieces:
             return [self.end]
         text = SPACE + text.replace(" ", SPACE)
         if not self.runs_apart:
-            return [*self.run_ids(text), self.end]
+            return [*self.run_ids(text[1:]), self.end]
         # a run is a stretch of spaces and what follows up to the next stretch
         words = text.split(SPACE)[1:]
-        runs = self.runs
         if "" not in words:
-            get = runs.get
-            marked = [SPACE + w for w in words]
-            found = [get(r) for r in marked]
+            found = list(map(self.runs.get, words))
             if None in found:
-                found = [f if f is not None else self.run_ids(r) for f, r in zip(found, marked)]
+                found = [f if f is not None else self.run_ids(w) for f, w in zip(found, words)]
             out = list(chain.from_iterable(found))
         else:
             out, spaces = [], 0
             for word in words:
                 spaces += 1
                 if word:
-                    out += self.run_ids(SPACE * spaces + word)
+                    out += self.run_ids(SPACE * (spaces - 1) + word)
                     spaces = 0
             if spaces:
-                out += self.run_ids(SPACE * spaces)
+                out += self.run_ids(SPACE * (spaces - 1))
         out.append(self.end)
         return out
 
@@ -172,7 +170,6 @@ class Pieces:
 
         A byte piece that is no part of a valid character becomes U+FFFD.
         """
-        ids = [i for i in ids if self.bytes[i]]
         raw = b"".join(map(self.bytes.__getitem__, ids))
         try:
             out = raw.decode()
@@ -197,7 +194,7 @@ class Pieces:
                 if i is not None:
                     parts.append(self.bytes[i].decode())
             out = "".join(parts)
-        first = ids[0] if ids else None
+        first = next((i for i in ids if self.bytes[i]), None)
         return out[1:] if first is not None and first != self.unknown and not self.is_byte[first] and out.startswith(" ") else out
 
 
@@ -244,7 +241,9 @@ def decode(df: DataFrame, model: str | None = None, ids: str = "ids", text: str
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces = load(model)
         column = batch.column(batch.schema.get_field_index(ids))
-        texts = [None if v is None else pieces.decode(v) for v in column.to_pylist()]
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        nulls = column.is_null().to_numpy(zero_copy_only=False)
+        texts = [None if null else pieces.decode(values[a:b].tolist()) for a, b, null in zip(offsets[:-1], offsets[1:], nulls)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
     return arrow_map(df, work, schema)
