@@ -58,7 +58,7 @@ def grounded(answer: str, verified: str, passages: str, asks_year: str) -> Colum
     found within a passage once letters and digits only are compared.
     """
     plain = lambda c: F.regexp_replace(F.lower(tx.ascii_fold(c)), "[^a-z0-9]+", "")
-    parts = F.filter(F.transform(F.split(F.col(answer), ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.col(answer), ";"), lambda p: F.trim(p)), lambda p: p != "")
 
     def supported(part: Column) -> Column:
         digits = plain(part).rlike("^[0-9]*$")
@@ -133,7 +133,7 @@ def side_by_side(lanes: dict[str, DataFrame]) -> DataFrame:
 
 
 def focus_list(text: Column) -> Column:
-    return F.slice(F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != ""), 1, MOST_FOCUS)
+    return F.slice(F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != ""), 1, MOST_FOCUS)
 
 
 def cited(results: DataFrame) -> DataFrame:
