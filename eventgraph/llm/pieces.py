@@ -18,11 +18,12 @@ table: no rows. Extra columns stay; one with the name of an added column is repl
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property, lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from eventgraph.llm.common import arrow_map, columns_of, without
 
 SPACE = "▁"
 #: Runs and pairs that a worker remembers; past this old ones give way, so memory stays bounded.
-RUNS_KEPT, PAIRS_KEPT = 400_000, 1_500_000
+RUNS_KEPT, PAIRS_KEPT = 300_000, 600_000
 
 
 def default_model() -> str:
@@ -60,15 +61,20 @@ class Pieces:
         self.is_byte = bytearray(n)
         for i in self.byte_ids.values():
             self.is_byte[i] = 1
-        self.automaton = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            self.automaton.add_word(p, (i, len(p)))
-        self.automaton.make_automaton()
         self.names = names
         self.start = n  # stands before a text's first piece
         self.pairs: dict[int, bool] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.runs: dict[str, bytes] = {}  # ids as 32-bit numbers, without the run's first space
+        self.older: dict[str, bytes] = {}
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """All pieces, each with its id and length; built where texts are encoded, not where ids are decoded."""
+        automaton = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            automaton.add_word(piece, (i, len(piece)))
+        automaton.make_automaton()
+        return automaton
 
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first, until none can be merged."""
@@ -115,55 +121,54 @@ class Pieces:
         out.reverse()
         return out
 
-    def run_ids(self, run: str) -> tuple[int, ...]:
+    def run_ids(self, run: str) -> bytes:
         """Ids of one run, given without its first space; split where characters are outside the vocabulary."""
-        known = self.older.get(run)
-        if known is not None:
-            self.runs[run] = known
-            return known
-        chars, text = self.chars, SPACE + run
-        if chars.issuperset(text):
-            out = self._known(text)
-        else:
-            out, start = [], 0
-            for i, c in enumerate(text):
-                if c not in chars:
-                    out += self._known(text[start:i])
-                    out += [self.byte_ids[b] for b in c.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
-                    start = i + 1
-            out += self._known(text[start:])
-        ids = tuple(out)
+        known = self.runs.get(run) or self.older.get(run)
+        if known is None:
+            chars, text = self.chars, SPACE + run
+            if chars.issuperset(text):
+                out = self._known(text)
+            else:
+                out, start = [], 0
+                for i, c in enumerate(text):
+                    if c not in chars:
+                        out += self._known(text[start:i])
+                        out += [self.byte_ids[b] for b in c.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
+                        start = i + 1
+                out += self._known(text[start:])
+            known = array("i", out).tobytes()
         if len(run) <= 64:
             if len(self.runs) >= RUNS_KEPT:  # runs that come back move on to the new memo, others are dropped
                 self.older, self.runs = self.runs, {}
-            self.runs[run] = ids
-        return ids
+            self.runs[run] = known
+        return known
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text, the end id last."""
+    def encoded(self, text: str) -> bytes:
+        """Ids of a text, the end id last, as 32-bit numbers."""
+        end = array("i", [self.end]).tobytes()
         if not text:
-            return [self.end]
-        text = SPACE + text.replace(" ", SPACE)
+            return end
+        text = text.replace(SPACE, " ")
         if not self.runs_apart:
-            return [*self.run_ids(text[1:]), self.end]
-        # a run is a stretch of spaces and what follows up to the next stretch
-        words = text.split(SPACE)[1:]
-        if "" not in words:
-            found = list(map(self.runs.get, words))
-            if None in found:
-                found = [f if f is not None else self.run_ids(w) for f, w in zip(found, words)]
-            out = list(chain.from_iterable(found))
-        else:
-            out, spaces = [], 0
-            for word in words:
-                spaces += 1
-                if word:
-                    out += self.run_ids(SPACE * (spaces - 1) + word)
-                    spaces = 0
-            if spaces:
-                out += self.run_ids(SPACE * (spaces - 1))
-        out.append(self.end)
-        return out
+            return self.run_ids(text.replace(" ", SPACE)) + end
+        # a run is a stretch of spaces and what follows up to the next stretch; a space stands before a text
+        words = text.split(" ")
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            get, other = self.runs.get, self.run_ids
+            return b"".join([get(w) or other(w) for w in words]) + end
+        out, spaces = [], 0
+        for word in words:
+            spaces += 1
+            if word:
+                out.append(self.run_ids(SPACE * (spaces - 1) + word))
+                spaces = 0
+        if spaces:
+            out.append(self.run_ids(SPACE * (spaces - 1)))
+        return b"".join(out) + end
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text, the end id last."""
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids: spaces restored, one leading space dropped, byte pieces read as UTF-8.
@@ -220,13 +225,11 @@ def encode(df: DataFrame, model: str | None = None, text: str = "text", ids: str
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces = load(model)
         at = batch.schema.get_field_index(text)
-        encoded = [pieces.encode(t or "") for t in batch.column(at).to_pylist()]
-        offsets = [0]
-        for e in encoded:
-            offsets.append(offsets[-1] + len(e))
-        array = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(list(chain.from_iterable(encoded)), pa.int32()))
+        encoded = [pieces.encoded(t or "") for t in batch.column(at).to_pylist()]
+        offsets = np.cumsum([0, *(len(e) // 4 for e in encoded)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
         kept = [i for i in range(batch.num_columns) if keep_text or i != at]
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), array], [*(batch.schema.names[i] for i in kept), ids])
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), lists], [*(batch.schema.names[i] for i in kept), ids])
 
     return arrow_map(df, work, schema)
 
