@@ -14,8 +14,8 @@ Candidates. Within a region, pairs whose signatures agree in at least SIMILAR_EN
 are candidates; in a region of more than SMALL classes, the heaviest spanning forest of those pairs
 and each class's closest partners, which connect what all pairs would. No region is larger than
 REGION, so no task grows with a group, and no pair of a small region is left out. After links are
-known, classes of a crowded region that its main component lacks are compared with all of the region,
-in blocks.
+known, all pairs of classes of a crowded region that are not in one component yet are compared, block
+against block, and links among them are added.
 
 Links. Every candidate is confirmed on full sets: 100 * common >= percent * union. Components of the
 links are found by alternating stars, a few rounds of joins with a checkpoint each; links,
@@ -46,7 +46,7 @@ from eventgraph.llm.common import arrow_map, columns_of, own, reliable, utf8_vie
 SHINGLE, PERCENT = 5, 75
 HASHES, TREES, STEP = 128, 24, 5
 DEPTH, DEEPER = 3, (4, 5, 6, 8, 10, 13, 17, 24, 48, 96)
-REGION, SMALL, PARTNERS, CLOSEST = 512, 24, 2, 64
+REGION, SMALL, PARTNERS = 512, 24, 2
 SIMILAR_ENOUGH = 0.62
 #: Rows of two numbers that may be broadcast (about 16 MB).
 FEW = 400_000
@@ -177,18 +177,20 @@ def _pairs(region: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.n
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _entries(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, HASHES)
+
+
 def _by_region(rows: DataFrame, find) -> DataFrame:
-    """Distinct (a, b) digests of the pairs that find(region, signatures, asks) names in whole regions."""
-    dealt = rows.select("region", "digest", "signature", "asks").repartition("region").sortWithinPartitions("region", "digest")
+    """Distinct (a, b) digests of the pairs of rows that find(table) names in whole regions."""
+    dealt = rows.repartition("region").sortWithinPartitions("region", "digest")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
         def pairs(table: pa.Table) -> pa.RecordBatch:
             digests = table["digest"].to_pylist()
-            entries = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, HASHES)
-            named = find(table["region"].to_numpy(), entries, table["asks"].to_numpy(zero_copy_only=False))
-            found = {(digests[i], digests[j]) if digests[i] < digests[j] else (digests[j], digests[i]) for i, j in zip(*named) if digests[i] != digests[j]}
+            found = {(digests[i], digests[j]) if digests[i] < digests[j] else (digests[j], digests[i]) for i, j in zip(*find(table)) if digests[i] != digests[j]}
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], schema=schema)
 
         rest = None
@@ -208,43 +210,59 @@ def _by_region(rows: DataFrame, find) -> DataFrame:
 
 def candidates(members: DataFrame) -> DataFrame:
     """Distinct (a, b) digests of the candidate pairs; members has region, digest and signature."""
-    return _by_region(members.withColumn("asks", F.lit(False)), lambda region, entries, asks: _pairs(region, entries))
+    return _by_region(members.select("region", "digest", "signature"), lambda table: _pairs(table["region"].to_numpy(), _entries(table)))
 
 
-def stragglers(crowded: DataFrame, rooted: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of classes of crowded regions that their region's main component lacks.
+def stragglers(docs: DataFrame, crowded: DataFrame, rooted: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join classes which share a crowded region but no component yet.
 
-    They are compared with all classes of the crowded regions that have this main component, in
-    blocks of about REGION, each keeping its CLOSEST of a block. A region where more than REGION classes are outside the main component has
-    no crowd to be left out of, and keeps to the divided regions.
+    Every such pair has a class outside the region's largest component (main). Regions with one main
+    are taken together; their classes outside it are compared with all their classes, block against
+    block of about REGION. Every pair that agrees enough is tested on full sets in the block, unless
+    links of the block have joined its components.
     """
-    named = crowded.join(rooted.withColumnRenamed("node", "digest"), "digest", "left").select("region", "digest", F.coalesce("root", "digest").alias("root"))
-    named = reliable(named)
+    named = reliable(crowded.join(rooted.withColumnRenamed("node", "digest"), "digest", "left").select("region", "digest", F.coalesce("root", "digest").alias("root")))
     sizes = named.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("n") - F.col("most") <= REGION)
-    placed = reliable(named.join(main.select("region", "main"), "region").groupBy("main", "digest").agg(F.max(F.col("root") != F.col("main")).alias("outside")))
-    blocks = placed.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / REGION).cast("int").alias("blocks"))
-    placed = placed.join(blocks, "main")
-    block = lambda of: F.xxhash64("main", of).alias("region")
-    members = placed.select(block(F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")), "digest", F.lit(False).alias("asks"))
-    asking = placed.where("outside").select("main", "digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_b")).select(block(F.col("_b")), "digest", F.lit(True).alias("asks"))
-    rows = members.unionByName(asking).join(classes.select("digest", "signature"), "digest")
-
-    def pairs(region: np.ndarray, entries: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        starts = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
-        for start, end in zip(starts, np.r_[starts[1:], len(region)]):
-            own = np.arange(start, end)
-            who, there = own[asks[own]], own[~asks[own]]
-            for i in who if len(there) else ():
-                like = (entries[there] == entries[i]).mean(1)
-                best = np.argsort(-like, kind="stable")[:CLOSEST]
-                best = best[like[best] >= SIMILAR_ENOUGH]
-                left += [i] * len(best)
-                right += there[best].tolist()
-        return np.array(left, int), np.array(right, int)
-
-    return _by_region(rows, pairs)
+    main = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    placed = reliable(named.join(main.select("region", "main"), "region").select("main", "digest", "root").distinct().withColumn("outside", F.col("root") != F.col("main")))
+    blocks = lambda n: F.ceil(n / REGION).cast("int")
+    counted = placed.groupBy("main").agg(blocks(F.count(F.lit(1))).alias("blocks"), blocks(F.count_if("outside")).alias("asking"))
+    dealt = placed.join(counted, "main").select("*", *[F.pmod(F.xxhash64("digest"), F.col(n)).cast("int").alias(f"_{n}") for n in ("blocks", "asking")])
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_b")
+    columns = lambda one, other, asks: [F.xxhash64("main", one, other).alias("region"), "digest", "root", F.lit(asks).alias("asks")]
+    members = dealt.select("*", each("asking")).select(*columns("_blocks", "_b", False))
+    asking = dealt.where("outside").select("*", each("blocks")).select(*columns("_b", "_asking", True))
+    involved = placed.select("digest").distinct().join(classes, "digest")
+    known = involved.select("digest", "signature").join(sets(docs, involved.select("rep")).dropDuplicates(["digest"]), "digest")
+    return _by_region(members.unionByName(asking).join(reliable(known), "digest"), lambda table: _joining(table, percent))
+
+
+def _joining(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Row numbers of links between asking and other rows of whole blocks that join their roots to what all links would."""
+    region, entries, asks = table["region"].to_numpy(), _entries(table), table["asks"].to_numpy(zero_copy_only=False)
+    members = table["members"].combine_chunks()
+    bounds, values = members.offsets.to_numpy(), members.values.to_numpy()
+    own_set = lambda i: values[bounds[i] : bounds[i + 1]]
+    root = np.unique(np.array(table["root"].to_pylist(), "S16"), return_inverse=True)[1]
+    left, right = [], []
+    starts = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+    for start, end in zip(starts, np.r_[starts[1:], len(region)]):
+        own = np.arange(start, end)
+        who, there = own[asks[own]], own[~asks[own]]
+        across, sizes = np.ascontiguousarray(entries[there].T), bounds[there + 1] - bounds[there]
+        for i in who if len(there) else ():
+            common, mine = (across == entries[i][:, None]).sum(0), own_set(i)
+            near = np.flatnonzero((common >= SIMILAR_ENOUGH * HASHES) & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))))
+            for j in there[near[np.argsort(-common[near], kind="stable")]]:
+                if root[i] == root[j]:
+                    continue
+                other = own_set(j)
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                if 100 * both >= percent * (len(mine) + len(other) - both):
+                    left.append(i)
+                    right.append(j)
+                    root[own[root[own] == root[j]]] = root[i]
+    return left, right
 
 
 def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -318,9 +336,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = reliable(links(pairs, full_sets(docs, pairs, classes), percent))
     rooted = components(found)
     if crowded is not None:
-        more = reliable(stragglers(crowded, rooted, classes).join(pairs, ["a", "b"], "left_anti"))
+        more = reliable(stragglers(docs, crowded, reliable(rooted), classes, percent))
         if not more.isEmpty():
-            rooted = components(found.unionByName(links(more, full_sets(docs, more, classes), percent)))
+            rooted = components(found.unionByName(more))
     of_root = rooted.join(classes.select(F.col("digest").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(of_root, "root").select(F.col("node").alias("digest"), "component")
     classes = classes.select("digest", "least").join(named, "digest", "left").select("digest", F.coalesce("component", "least").alias("component"))

@@ -406,3 +406,24 @@ def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(b"%04d" % i, b"%04d" % (i + 1)) for i in range(200)] + [(b"x", b"y")], "a binary, b binary")
     got = {bytes(r.node): bytes(r.root) for r in neardup.components(edges).collect()}
     assert len(got) == 203 and {v for k, v in got.items() if k[:1] == b"0"} == {b"0000"} and got[b"y"] == b"x"
+
+def family(seed, size, shared, unlike, renewed, twins=1):
+    """Texts that share a passage but are no links, and twins of some of them that are: the twin's last words differ."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(shared)]
+    out = {k: " ".join(base + [word() for _ in range(unlike)]) for k in range(size)}
+    for k in range(twins):
+        out[size + k] = " ".join(out[7 * k].split()[:-renewed] + [word() for _ in range(renewed)])
+    return out
+
+
+def test_link_in_a_crowd_of_no_component(spark, monkeypatch):
+    """No component is near as large as the crowd; a link in it is found by the comparison alone."""
+    monkeypatch.setattr(neardup, "REGION", 60)
+    monkeypatch.setattr(neardup, "_pairs", lambda region, signatures: (np.zeros(0, int), np.zeros(0, int)))
+    docs = family(3, 400, 85, 20, 14)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(rows).collect()}
+    want = {i: root for i, (_, root) in brute_components(docs).items()}
+    assert len(set(want.values())) == 400 and got == want
