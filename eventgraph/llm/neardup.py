@@ -11,11 +11,11 @@ crowded an order is just there. If even the longest prefix is shared by more, th
 paired with the region's first one and dealt into parts of REGION besides.
 
 Candidates. Within a region, pairs whose signatures agree in at least SIMILAR_ENOUGH of the entries
-are candidates; in a region of more than SMALL classes, the heaviest spanning forest of those pairs
-and each class's closest partners, which connect what all pairs would. No region is larger than
-REGION, so no task grows with a group, and no pair of a small region is left out. After links are
-known, all pairs of classes of a crowded region that are not in one component yet are compared, block
-against block, and links among them are added.
+are candidates; in a region of more than SMALL classes, at first only the heaviest spanning forest of
+those pairs and each class's closest partners. After their links are known, all pairs of classes of
+such a region (crowded ones as they were before they were divided) that are not in one component yet
+are compared, block against block, and links among them are added, so the components are those of all
+pairs. No region and no block is larger than about REGION, so no task grows with a group.
 
 Links. Every candidate is confirmed on full sets: 100 * common >= percent * union. Components of the
 links are found by alternating stars, a few rounds of joins with a checkpoint each; links,
@@ -98,18 +98,20 @@ def _order(tree, length: int):
 
 
 def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(region, digest) of the forest's regions with at least two and at most REGION classes, and of the
-    crowded ones before they are divided (none: there are no such).
+    """(region, digest) of the forest's regions with at least two and at most REGION classes, and of those
+    of more than SMALL, whose pairs are not all candidates, before they are divided (none: there are no such).
     """
     trees = classes.select("digest", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     keyed = trees.select("digest", "tree", F.xxhash64(F.lit(DEPTH), "tree", _order("tree", DEPTH)).alias("region"))
     shared = reliable(keyed.groupBy("region").count().where("count > 1"))
     small = keyed.join(small_or_not(shared.where(F.col("count") <= REGION)), "region").select("region", "digest")
-    crowded = shared.where(F.col("count") > REGION)
-    if crowded.isEmpty():
+    whole = reliable(keyed.join(shared.where(F.col("count") > SMALL), "region").select("digest", "tree", "region", "count"))
+    if whole.isEmpty():
         return small, None
-    whole = reliable(keyed.join(crowded, "region").select("digest", "tree", "region"))
-    hot = whole.join(classes.select("digest", "signature"), "digest")
+    crowded = whole.where(F.col("count") > REGION)
+    if crowded.isEmpty():
+        return small, whole.select("region", "digest")
+    hot = crowded.join(classes.select("digest", "signature"), "digest")
     levels = F.array(*[F.struct(F.lit(d).alias("depth"), F.xxhash64(F.lit(d), "tree", _order("tree", d)).alias("part")) for d in DEEPER])
     deeper = reliable(hot.select("digest", "tree", F.col("region").alias("first"), F.explode(levels).alias("level")).select("digest", "tree", "first", "level.*"))
     sizes = reliable(deeper.groupBy("part").count())
@@ -213,15 +215,15 @@ def candidates(members: DataFrame) -> DataFrame:
     return _by_region(members.select("region", "digest", "signature"), lambda table: _pairs(table["region"].to_numpy(), _entries(table)))
 
 
-def stragglers(docs: DataFrame, crowded: DataFrame, rooted: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that join classes which share a crowded region but no component yet.
+def stragglers(docs: DataFrame, large: DataFrame, rooted: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join classes which share a large region but no component yet.
 
     Every such pair has a class outside the region's largest component (main). Regions with one main
     are taken together; their classes outside it are compared with all their classes, block against
     block of about REGION. Every pair that agrees enough is tested on full sets in the block, unless
     links of the block have joined its components.
     """
-    named = reliable(crowded.join(rooted.withColumnRenamed("node", "digest"), "digest", "left").select("region", "digest", F.coalesce("root", "digest").alias("root")))
+    named = reliable(large.join(rooted.withColumnRenamed("node", "digest"), "digest", "left").select("region", "digest", F.coalesce("root", "digest").alias("root")))
     sizes = named.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     placed = reliable(named.join(main.select("region", "main"), "region").select("main", "digest", "root").distinct().withColumn("outside", F.col("root") != F.col("main")))
@@ -331,12 +333,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = reliable(signed(docs))
     some = rows.where("digest is not null")
     classes = reliable(some.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("signature").alias("signature")))
-    divided, crowded = regions(classes)
+    divided, large = regions(classes)
     pairs = reliable(candidates(divided.join(classes.select("digest", "signature"), "digest")))
     found = reliable(links(pairs, full_sets(docs, pairs, classes), percent))
     rooted = components(found)
-    if crowded is not None:
-        more = reliable(stragglers(docs, crowded, reliable(rooted), classes, percent))
+    if large is not None:
+        more = reliable(stragglers(docs, large, reliable(rooted), classes, percent))
         if not more.isEmpty():
             rooted = components(found.unionByName(more))
     of_root = rooted.join(classes.select(F.col("digest").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
