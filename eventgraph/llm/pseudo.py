@@ -6,8 +6,8 @@ sum over all its bytes of the log-probability of the byte given both sides.
 
 Training. All texts are counted: every task adds up the five-byte windows of its part and sends each
 distinct one once, with its count; Spark sums them. The windows are dealt by hash into parts of about
-PART windows; each part trains a copy of the network on seeded draws in proportion to the counts, the
-copies are averaged in proportion to their windows' counts, and that is repeated for ROUNDS. Only
+PART windows; each part trains a copy of the network on all its windows, weighted by their counts, in
+seeded order (several times over where they are fewer than DRAWS), the copies are averaged in proportion to their windows' counts, and that is repeated for ROUNDS. Only
 weights (about 10,000 numbers a part) reach the driver.
 
 Scoring. A text's windows are looked up by their code; the network is run once for each distinct
@@ -80,16 +80,28 @@ def log_probability(weights: Weights, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def batches(counts: np.ndarray, draws: int, r: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of windows and their weights, in batches of equal weight and about BATCH windows.
+
+    A pass gives each window exactly its count, over as many batches as it takes; passes are made until
+    draws windows are read, one at least.
+    """
+    ends = np.linspace(0, int(counts.sum()), -(-len(counts) // BATCH) + 1).astype(np.int64)
+    for _ in range(max(1, -(-draws // len(counts)))):
+        order = r.permutation(len(counts))
+        upto = np.cumsum(counts[order])
+        for low, high in zip(ends[:-1], ends[1:]):
+            at = np.arange(np.searchsorted(upto, low, side="right"), np.searchsorted(upto, high) + 1)
+            yield order[at], np.minimum(upto[at], high) - np.maximum(upto[at] - counts[order[at]], low)
+
+
 def trained(weights: Weights, codes: np.ndarray, counts: np.ndarray, draws: int, seed: int, rate: float = RATE) -> Weights:
-    """Adam on seeded draws of the windows, in proportion to their counts."""
+    """Adam on all the windows, weighted by their counts."""
     weights = [w.copy() for w in weights]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    r = np.random.default_rng(seed)
-    ends = np.cumsum(counts)
-    chosen = codes[np.minimum(np.searchsorted(ends, r.integers(0, int(ends[-1]), draws), side="right"), len(codes) - 1)]
-    for t, s in enumerate(range(0, draws, BATCH), 1):
+    for t, (at, n_each) in enumerate(batches(counts, draws, np.random.default_rng(seed)), 1):
         embed, w1, b1, w2, b2 = weights
-        sides, middle = split(chosen[s : s + BATCH])
+        sides, middle = split(codes[at])
         n = len(sides)
         x = embed[sides].reshape(n, -1)
         h = np.tanh(x @ w1 + b1)
@@ -97,7 +109,7 @@ def trained(weights: Weights, codes: np.ndarray, counts: np.ndarray, draws: int,
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(n), middle] -= 1
-        p /= n
+        p *= (n_each / n_each.sum()).astype("f4")[:, None]
         dh = (p @ w2.T) * (1 - h * h)
         g_embed = np.zeros_like(embed)
         np.add.at(g_embed, sides.ravel(), (dh @ w1.T).reshape(-1, EMBED))

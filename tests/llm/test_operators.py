@@ -284,6 +284,21 @@ def test_scores(documents, texts):
     assert total / n > unigram + 0.3
 
 
+def test_all_windows_train():
+    """Few draws and many distinct windows: the rarest is trained on, and each has the weight of its count."""
+    r = np.random.default_rng(2)
+    codes = np.unique(r.integers(97, 123, (40_000, 5)) @ (256 ** np.arange(4, -1, -1)))
+    codes = np.append(codes, int.from_bytes("zzъz".encode(), "big"))
+    counts = np.append(r.integers(2, 5000, len(codes) - 1), 1)
+    start = pseudo.fresh()
+    got = pseudo.trained(start, codes, counts, 512, 1)
+    assert (got[0]["ъ".encode()[1]] != start[0]["ъ".encode()[1]]).any()  # only in the rarest
+    total = np.zeros(len(codes), np.int64)
+    for at, n in pseudo.batches(counts, 512, r):
+        np.add.at(total, at, n)
+    assert (total == counts).all()
+
+
 def test_window_counts(documents, texts):
     got = {r.code: r.n for r in pseudo.window_counts(documents).collect()}
     want = Counter()
