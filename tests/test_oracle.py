@@ -24,9 +24,13 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
     def value(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return None
-        return float(f"{v:.9g}") if isinstance(v, float) or type(v).__name__.startswith("float") else v if isinstance(v, (str, bool)) else v.isoformat() if hasattr(v, "isoformat") else int(v) if type(v).__name__.startswith("int") else bool(v) if type(v).__name__ == "bool_" else v
+        v = v.item() if hasattr(v, "item") else v
+        if isinstance(v, float):
+            v = float(f"{v:.9g}")
+            return int(v) if v.is_integer() else v  # whole numbers of a column with nulls come as floating point
+        return v.isoformat() if hasattr(v, "isoformat") else v
 
     return sorted((tuple(value(v) for v in r) for r in frame.astype(object).itertuples(index=False)), key=repr)
 
