@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Rows that one Arrow batch is cut into before Python works on it; bounds a worker's memory.
-ROWS_AT_ONCE = 512
+#: Rows and bytes of what a worker's Python works on at once; Spark bounds the bytes of the batches it sends.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 4 << 20
+#: A key with more than one in so many rows is hot; there are fewer hot keys than this.
+HOT = 1000
 
 
 def reliable(df: DataFrame) -> DataFrame:
@@ -58,17 +60,38 @@ def word_count(column: str | Column) -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("long")
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ROWS_AT_ONCE rows and, unless it is one row, BYTES_AT_ONCE bytes."""
+    if batch.num_rows > 1 and (batch.num_rows > ROWS_AT_ONCE or batch.nbytes > BYTES_AT_ONCE):
+        half = batch.num_rows // 2
+        yield from sliced(batch.slice(0, half))
+        yield from sliced(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with batches of at most ROWS_AT_ONCE rows for each call of work."""
+    """mapInArrow with small parts of a batch for each call of work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                yield work(batch.slice(start, ROWS_AT_ONCE))
+            for part in sliced(batch):
+                yield work(part)
 
     return df.mapInArrow(run, schema)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of rows with a materialised table of one row a key, n of which says how many rows have the key.
+
+    Rows of hot keys never meet in one task: those keys, fewer than HOT, are broadcast.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT > total
+    few = F.broadcast(table.where(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.where(~hot), key))
+
+
 def utf8_views(column: pa.Array) -> Iterator[np.ndarray]:
     """Each text of a string column as its UTF-8 bytes, without a copy; a null text is empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

@@ -3,26 +3,27 @@
 Sets. A text's set is its distinct five-word shingles (A-Z lower-cased; fewer words: the whole
 sequence as one shingle). Documents with equal sets form a class and are treated once.
 
-Forest. A signature has HASHES minima. Tree t reads them in a rotated order, so its sorted order is
-that of the rotated signature, and documents with a long common prefix stand together in it. A
-region is a common prefix of DEPTH entries; where more than REGION classes share one, the region is
-divided by longer and longer prefixes (DEEPER) until each part is small, so depth adapts to how
-crowded an order is just there. If even the longest prefix is shared by more, these classes are all
-paired with the region's first one and dealt into parts of REGION besides.
-
-Candidates. Within a region, pairs whose signatures agree in at least SIMILAR_ENOUGH of the entries
-are candidates; in a region of more than SMALL classes, at first only the heaviest spanning forest of
-those pairs and each class's closest partners. After their links are known, all pairs of classes of
-such a region (crowded ones as they were before they were divided) that are not in one component yet
-are compared, block against block, and links among them are added, so the components are those of all
-pairs. No region and no block is larger than about REGION, so no task grows with a group.
-
-Links. Every candidate is confirmed on full sets: 100 * common >= percent * union. Components of the
+Forest. A signature has HASHES minima. Tree t reads them in a rotated order; its classes are sorted
+by that order over all of the cluster, in ranges of equal size, so no range grows with a crowd. A
+region is what shares the first DEPTH entries of an order. In it the neighbours in the order are the
+classes with the longest common prefix; how deep that goes differs from place to place, as far as
+the region is crowded there.
+
+Candidates. First, neighbours whose signatures agree in at least SIMILAR_ENOUGH of the entries. Their
+links are confirmed on full sets and give components. Then, in every region that more than one
+component reaches, all pairs of classes of different components are compared: those outside the
+region's largest component with all of the region, block against block. Where signatures agree,
+blocks are compared again with full sets, and links that join components are added. A pair that
+shares several regions is compared in the first tree only. So no pair of a region is left out, no
+bound is set on partners, and no task holds more than two blocks. Only the
+comparison of crowds of similar classes that are no links grows with the square of the crowd.
+
+Links. Every link is confirmed on full sets: 100 * common >= percent * union. Components of the
 links are found by alternating stars, a few rounds of joins with a checkpoint each; links,
 signatures and components never pass the driver.
 
 A pair at similarity 0.75 shares a region of 3 entries in at least one of 24 trees with probability
-1 - (1 - 0.75 ** 3) ** 24 > 0.999998, and passes the signature bound with probability > 0.9997.
+1 - (1 - 0.75 ** 3) ** 24 > 0.999998, and passes the signature bound with probability > 0.9999.
 
 Defined cases. Null and empty texts, and texts of spaces only: empty set, no link, their own
 component. Null ids: never kept, and no component is named by one unless all its ids are null.
@@ -41,13 +42,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventgraph.llm import words
-from eventgraph.llm.common import arrow_map, columns_of, own, reliable, utf8_views
+from eventgraph.llm.common import arrow_map, columns_of, own, reliable, spread_join, utf8_views
 
 SHINGLE, PERCENT = 5, 75
 HASHES, TREES, STEP = 128, 24, 5
-DEPTH, DEEPER = 3, (4, 5, 6, 8, 10, 13, 17, 24, 48, 96)
-REGION, SMALL, PARTNERS = 512, 24, 2
-SIMILAR_ENOUGH = 0.62
+#: Entries that name a region, and that an order is sorted by.
+DEPTH, SORTED = 3, 16
+#: Classes of a block, and shingles of it, about.
+BLOCK, WEIGHT = 512, 2_000_000
+SIMILAR_ENOUGH = 0.6
 #: Rows of two numbers that may be broadcast (about 16 MB).
 FEW = 400_000
 _random = np.random.default_rng(75)
@@ -92,179 +95,187 @@ def signed(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), work, f"doc_id {kind}, text_key long, digest binary, n_shingles long, signature binary")
 
 
-def _order(tree, length: int):
-    """The first entries of a tree's order, as bytes."""
-    return F.expr(f"substring(concat(signature, signature), {2 * STEP} * {tree} + 1, {2 * length})")
+def _fixed(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    """A binary column of values of one size, as a matrix of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(region, digest) of the forest's regions with at least two and at most REGION classes, and of those
-    of more than SMALL, whose pairs are not all candidates, before they are divided (none: there are no such).
+def _binary(rows: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """Rows of bytes as a binary column, null where there is false."""
+    values = [r.tobytes() for r in rows]
+    return pa.array(values if there is None else [v if t else None for v, t in zip(values, there)], pa.binary())
+
+
+def neighbours(classes: DataFrame) -> DataFrame:
+    """(region, digest, next): a row for each class and region it shares, with its successor in the region's order.
+
+    next is null at a region's end, and where the region goes on in another range.
     """
+    order = F.expr(f"substring(concat(signature, signature), {2 * STEP} * tree + 1, {2 * SORTED})")
     trees = classes.select("digest", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    keyed = trees.select("digest", "tree", F.xxhash64(F.lit(DEPTH), "tree", _order("tree", DEPTH)).alias("region"))
-    shared = reliable(keyed.groupBy("region").count().where("count > 1"))
-    small = keyed.join(small_or_not(shared.where(F.col("count") <= REGION)), "region").select("region", "digest")
-    whole = reliable(keyed.join(shared.where(F.col("count") > SMALL), "region").select("digest", "tree", "region", "count"))
-    if whole.isEmpty():
-        return small, None
-    crowded = whole.where(F.col("count") > REGION)
-    if crowded.isEmpty():
-        return small, whole.select("region", "digest")
-    hot = crowded.join(classes.select("digest", "signature"), "digest")
-    levels = F.array(*[F.struct(F.lit(d).alias("depth"), F.xxhash64(F.lit(d), "tree", _order("tree", d)).alias("part")) for d in DEEPER])
-    deeper = reliable(hot.select("digest", "tree", F.col("region").alias("first"), F.explode(levels).alias("level")).select("digest", "tree", "first", "level.*"))
-    sizes = reliable(deeper.groupBy("part").count())
-    last = F.col("depth") == DEEPER[-1]
-    fitting = deeper.join(sizes, "part").where((F.col("count") <= REGION) | last)
-    chosen = reliable(fitting.groupBy("tree", "digest").agg(F.min(F.struct("depth", "part", "count")).alias("at")).select("digest", "at.*"))
-    parts = F.when(F.col("count") <= REGION, F.col("part")).otherwise(F.xxhash64("part", F.pmod(F.xxhash64("digest"), F.ceil(2 * F.col("count") / REGION))))
-    divided = chosen.where("count > 1").select(parts.alias("region"), "digest").unionByName(_stars(chosen.where(F.col("count") > REGION)))
-    return small.unionByName(divided), whole.select("region", "digest")
-
-
-def _stars(crowded: DataFrame) -> DataFrame:
-    """Regions of two: each class that shares even the longest prefix, with the first that does."""
-    hubs = crowded.groupBy("part").agg(F.min("digest").alias("hub"))
-    pairs = crowded.join(hubs, "part").where("digest <> hub").select(F.xxhash64(F.lit("star"), "digest", "hub").alias("region"), F.explode(F.array("digest", "hub")).alias("digest"))
-    return pairs.distinct()
-
-
-def _agreeing(signatures: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a), np.float32)
-    for s in range(0, len(a), 8192):
-        out[s : s + 8192] = (signatures[a[s : s + 8192]] == signatures[b[s : s + 8192]]).mean(1)
-    return out
-
-
-def _forest(own: np.ndarray) -> set[tuple[int, int]]:
-    """Heaviest spanning forest and closest partners among the signatures of one region."""
-    n = len(own)
-    like = np.empty((n, n), np.float32)
-    for s in range(0, n, 32):
-        like[s : s + 32] = (own[s : s + 32, None, :] == own[None, :, :]).mean(2)
-    np.fill_diagonal(like, 0)
-    found: set[tuple[int, int]] = set()
-    closest = np.argpartition(-like, min(PARTNERS, n - 1) - 1, axis=1)[:, :PARTNERS]
-    for i in range(n):
-        found.update((min(i, int(j)), max(i, int(j))) for j in closest[i] if like[i, j] >= SIMILAR_ENOUGH)
-    out, best, origin = np.ones(n, bool), np.full(n, -1.0, np.float32), np.zeros(n, np.int64)
-    for _ in range(n):
-        at = int(np.argmax(np.where(out, best, -2)))
-        if best[at] >= SIMILAR_ENOUGH:
-            found.add((min(at, int(origin[at])), max(at, int(origin[at]))))
-        out[at] = False
-        closer = out & (like[at] > best)
-        best[closer], origin[closer] = like[at][closer], at
-    return found
-
-
-def _pairs(region: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the candidate pairs of whole regions, whose rows stand together."""
-    starts = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
-    sizes = np.diff(np.r_[starts, len(region)])
-    left, right = [], []
-    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
-        i, j = np.triu_indices(n, 1)
-        own = starts[sizes == n][:, None]
-        a, b = (own + i).ravel(), (own + j).ravel()
-        good = _agreeing(signatures, a, b) >= SIMILAR_ENOUGH
-        left.append(a[good])
-        right.append(b[good])
-    for start, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        if found := _forest(signatures[start : start + n]):
-            a, b = np.array(sorted(found)).T
-            left.append(a + start)
-            right.append(b + start)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _entries(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, HASHES)
-
-
-def _by_region(rows: DataFrame, find) -> DataFrame:
-    """Distinct (a, b) digests of the pairs of rows that find(table) names in whole regions."""
-    dealt = rows.repartition("region").sortWithinPartitions("region", "digest")
+    keyed = trees.select("tree", order.alias("order"), "digest")
+    ranges = keyed.repartitionByRange("tree", "order", "digest").sortWithinPartitions("tree", "order", "digest")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+        region, digest, joined = np.zeros(0, np.int64), np.zeros((0, 16), np.uint8), True  # the row that waits for its successor
+        names = ["region", "digest", "next"]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            entries = _fixed(batch.column(1), ">u2", SORTED)[:, :DEPTH].astype(np.int64)
+            key = batch.column(0).to_numpy().astype(np.int64)
+            for k in range(DEPTH):
+                key = key << 16 | entries[:, k]
+            region, digest = np.concatenate([region, key]), np.concatenate([digest, _fixed(batch.column(2), "u1", 16)])
+            same = region[1:] == region[:-1]
+            shared = np.flatnonzero(same | np.r_[joined, same[:-1]]) if len(same) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(region[shared]), _binary(digest[shared]), _binary(digest[shared + 1], same[shared])], names)
+            joined = bool(same[-1]) if len(same) else True
+            region, digest = region[-1:], digest[-1:]
+        if len(region):  # its successor may stand in the next range
+            yield pa.RecordBatch.from_arrays([pa.array(region), _binary(digest), pa.array([None], pa.binary())], names)
+
+    return ranges.mapInArrow(work, "region long, digest binary, next binary")
+
+
+def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough."""
+    signatures = classes.select("digest", "signature")
+    both = pairs.join(signatures.toDF("a", "_a"), "a").join(signatures.toDF("b", "_b"), "b")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        one, other = (_fixed(batch.column(k), "<u2", HASHES) for k in (2, 3))
+        good = pa.array((one == other).sum(1) >= SIMILAR_ENOUGH * HASHES)
+        return pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], ["a", "b"])
+
+    return arrow_map(both.select("a", "b", "_a", "_b"), work, "a binary, b binary")
+
 
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            digests = table["digest"].to_pylist()
-            found = {(digests[i], digests[j]) if digests[i] < digests[j] else (digests[j], digests[i]) for i, j in zip(*find(table)) if digests[i] != digests[j]}
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], schema=schema)
+def blocks(shared: DataFrame, info: DataFrame) -> DataFrame:
+    """(block, tree, digest, root, side): what is still to be compared, dealt into blocks.
 
+    side is 1 for a class that asks, which is outside its region's largest component (main), and for
+    a class that is asked 0, or 2 if it asks as well. Every asking class meets every class of its region
+    in one block. Regions of two whose pair is among the neighbours are done.
+    """
+    named = reliable(shared.join(info.select("digest", "root", "n_shingles"), "digest").select("region", "digest", "root", "n_shingles", F.col("next").isNotNull().cast("int").alias("pair")))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.sum("pair").alias("pairs")]
+    roots = named.groupBy("region", "root").agg(*sums)
+    largest = F.max(F.struct("n", "root", "w"))
+    regions = roots.groupBy("region").agg(largest.alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("roots"))
+    regions = regions.where("roots > 1 and not (n = 2 and pairs = 1)")
+    many = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / WEIGHT), F.lit(1)).cast("int")
+    regions = regions.select("region", F.col("main.root").alias("main"), many(F.col("n"), F.col("w")).alias("asked"), many(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("asking"))
+    placed = named.join(regions, "region").withColumn("asks", F.col("root") != F.col("main"))
+    own = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda asked, asking, side: F.struct(asked.alias("asked"), asking.alias("asking"), side.cast("int").alias("side"))
+    is_asked = F.transform(each("asking"), lambda k: at(own("asked"), k, F.when(F.col("asks"), 2).otherwise(0)))
+    does_ask = F.when(F.col("asks"), F.transform(each("asked"), lambda k: at(k, own("asking"), F.lit(1))))
+    rows = placed.select("region", "digest", "root", F.explode(F.concat(is_asked, F.coalesce(does_ask, F.array().cast("array<struct<asked:int,asking:int,side:int>>")))).alias("at"))
+    return rows.select(F.xxhash64("region", "at.asked", "at.asking").alias("block"), F.shiftright("region", 16 * DEPTH).cast("int").alias("tree"), "digest", "root", F.col("at.side").alias("side"))
+
+
+def _by_block(rows: DataFrame, work_on, schema: str) -> DataFrame:
+    """What work_on gives for whole blocks; the rows of a block and side stand together."""
+    dealt = rows.repartition("block").sortWithinPartitions("block", "tree", "side", "digest")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table])
-            region = table["region"].to_numpy()
-            begun = int(np.searchsorted(region, region[-1])) if len(region) else 0  # the last region may go on
+            block = table["block"].to_numpy()
+            begun = int(np.searchsorted(block, block[-1]))  # the last block may go on
             if begun:
-                yield pairs(table.slice(0, begun))
+                yield work_on(table.slice(0, begun).combine_chunks())
             rest = table.slice(begun)
         if rest is not None and rest.num_rows:
-            yield pairs(rest)
-
-    return dealt.mapInArrow(work, "a binary, b binary").distinct()
+            yield work_on(rest.combine_chunks())
 
+    return dealt.mapInArrow(work, schema)
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Distinct (a, b) digests of the candidate pairs; members has region, digest and signature."""
-    return _by_region(members.select("region", "digest", "signature"), lambda table: _pairs(table["region"].to_numpy(), _entries(table)))
 
+def _near(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows, roots by row) for each asking row of whole blocks that has partners.
 
-def stragglers(docs: DataFrame, large: DataFrame, rooted: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that join classes which share a large region but no component yet.
-
-    Every such pair has a class outside the region's largest component (main). Regions with one main
-    are taken together; their classes outside it are compared with all their classes, block against
-    block of about REGION. Every pair that agrees enough is tested on full sets in the block, unless
-    links of the block have joined its components.
+    Partners agree enough in signature and size, are of other roots, and meet first in this tree. The
+    caller may merge roots on the way.
     """
-    named = reliable(large.join(rooted.withColumnRenamed("node", "digest"), "digest", "left").select("region", "digest", F.coalesce("root", "digest").alias("root")))
-    sizes = named.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    placed = reliable(named.join(main.select("region", "main"), "region").select("main", "digest", "root").distinct().withColumn("outside", F.col("root") != F.col("main")))
-    blocks = lambda n: F.ceil(n / REGION).cast("int")
-    counted = placed.groupBy("main").agg(blocks(F.count(F.lit(1))).alias("blocks"), blocks(F.count_if("outside")).alias("asking"))
-    dealt = placed.join(counted, "main").select("*", *[F.pmod(F.xxhash64("digest"), F.col(n)).cast("int").alias(f"_{n}") for n in ("blocks", "asking")])
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_b")
-    columns = lambda one, other, asks: [F.xxhash64("main", one, other).alias("region"), "digest", "root", F.lit(asks).alias("asks")]
-    members = dealt.select("*", each("asking")).select(*columns("_blocks", "_b", False))
-    asking = dealt.where("outside").select("*", each("blocks")).select(*columns("_b", "_asking", True))
-    involved = placed.select("digest").distinct().join(classes, "digest")
-    known = involved.select("digest", "signature").join(sets(docs, involved.select("rep")).dropDuplicates(["digest"]), "digest")
-    return _by_region(members.unionByName(asking).join(reliable(known), "digest"), lambda table: _joining(table, percent))
-
-
-def _joining(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
-    """Row numbers of links between asking and other rows of whole blocks that join their roots to what all links would."""
-    region, entries, asks = table["region"].to_numpy(), _entries(table), table["asks"].to_numpy(zero_copy_only=False)
-    members = table["members"].combine_chunks()
-    bounds, values = members.offsets.to_numpy(), members.values.to_numpy()
-    own_set = lambda i: values[bounds[i] : bounds[i + 1]]
+    block, tree, side, sizes = (table[c].to_numpy() for c in ("block", "tree", "side", "n_shingles"))
+    entries = _fixed(table["signature"].combine_chunks(), "<u2", HASHES)
     root = np.unique(np.array(table["root"].to_pylist(), "S16"), return_inverse=True)[1]
-    left, right = [], []
-    starts = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
-    for start, end in zip(starts, np.r_[starts[1:], len(region)]):
+    digest = np.array(table["digest"].to_pylist(), "S16")
+    columns = (STEP * np.arange(TREES)[:, None] + np.arange(DEPTH)) % HASHES
+    starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (tree[1:] != tree[:-1])])
+    for start, end in zip(starts, np.r_[starts[1:], len(block)]):
         own = np.arange(start, end)
-        who, there = own[asks[own]], own[~asks[own]]
-        across, sizes = np.ascontiguousarray(entries[there].T), bounds[there + 1] - bounds[there]
-        for i in who if len(there) else ():
-            common, mine = (across == entries[i][:, None]).sum(0), own_set(i)
-            near = np.flatnonzero((common >= SIMILAR_ENOUGH * HASHES) & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))))
-            for j in there[near[np.argsort(-common[near], kind="stable")]]:
+        who, there = own[side[own] == 1], own[side[own] != 1]
+        if not len(who) or not len(there):
+            continue
+        across = np.ascontiguousarray(entries[there].T)
+        before = columns[: tree[start]]
+        for i in who:
+            open_ = root[there] != root[i]
+            if not open_.any():
+                continue
+            least, most = np.minimum(sizes[there], sizes[i]), np.maximum(sizes[there], sizes[i])
+            common = (across == entries[i][:, None]).sum(0)
+            near = open_ & (common >= SIMILAR_ENOUGH * HASHES) & (100 * least >= percent * most) & ~((side[there] == 2) & (digest[there] <= digest[i]))
+            near = there[near][np.argsort(-common[near], kind="stable")]
+            if len(near) and len(before):
+                near = near[~(entries[near][:, before] == entries[i][before]).all(2).any(1)]
+            if len(near):
+                yield i, near, root
+
+
+def asking_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Of blocks with signatures: the rows (as in blocks) that have a partner."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        has = np.zeros(table.num_rows, bool)
+        for i, near, _ in _near(table, percent):
+            has[i] = True
+            has[near] = True
+        kept = table.select(["block", "tree", "digest", "root", "side"]).filter(pa.array(has)).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in kept.columns], kept.schema.names)
+
+    return _by_block(rows, work, "block long, tree int, digest binary, root binary, side int")
+
+
+def joining_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Of blocks with signatures and full sets: the pairs (a, b) of roots that links join."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        members = pa.concat_arrays(table["members"].chunks)
+        bounds, values = members.offsets.to_numpy(), members.values.to_numpy()
+        own_set = lambda i: values[bounds[i] : bounds[i + 1]]
+        found: set[tuple[int, int]] = set()
+        for i, near, root in _near(table, percent):
+            mine = own_set(i)
+            for j in near:
                 if root[i] == root[j]:
                     continue
                 other = own_set(j)
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 if 100 * both >= percent * (len(mine) + len(other) - both):
-                    left.append(i)
-                    right.append(j)
-                    root[own[root[own] == root[j]]] = root[i]
-    return left, right
+                    found.add((int(i), int(j)))
+                    root[root == root[j]] = root[i]
+        names = table["root"].to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array([names[p[k]] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return _by_block(rows, work, "a binary, b binary").distinct()
+
+
+def rest(docs: DataFrame, shared: DataFrame, info: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of roots that links join which are not among the neighbours."""
+    signed_ = classes.select("digest", "n_shingles", "signature")
+    asking = reliable(asking_rows(blocks(shared, info).join(signed_, "digest"), percent))
+    known = classes.join(asking.select("digest").distinct(), "digest", "left_semi")
+    known = known.select("digest", "n_shingles", "signature").join(sets(docs, known.select("rep")).dropDuplicates(["digest"]), "digest")
+    return joining_links(asking.join(known, "digest"), percent)
 
 
 def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -332,19 +343,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     columns_of(docs, "doc_id text")
     rows = reliable(signed(docs))
     some = rows.where("digest is not null")
-    classes = reliable(some.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("signature").alias("signature")))
-    divided, large = regions(classes)
-    pairs = reliable(candidates(divided.join(classes.select("digest", "signature"), "digest")))
-    found = reliable(links(pairs, full_sets(docs, pairs, classes), percent))
-    rooted = components(found)
-    if large is not None:
-        more = reliable(stragglers(docs, large, reliable(rooted), classes, percent))
-        if not more.isEmpty():
-            rooted = components(found.unionByName(more))
-    of_root = rooted.join(classes.select(F.col("digest").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(of_root, "root").select(F.col("node").alias("digest"), "component")
-    classes = classes.select("digest", "least").join(named, "digest", "left").select("digest", F.coalesce("component", "least").alias("component"))
-    linked = some.join(classes, "digest").select("doc_id", "text_key", "n_shingles", F.col("component").alias("component_id"))
+    aggregates = [F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles")]
+    classes = reliable(some.groupBy("digest").agg(*aggregates))
+    shared = reliable(neighbours(classes))
+    pairs = shared.where("next is not null").select(F.least("digest", "next").alias("a"), F.greatest("digest", "next").alias("b")).distinct()
+    pairs = reliable(agreeing(pairs, classes))
+    rooted = components(links(pairs, full_sets(docs, pairs, classes), percent))
+    info = classes.select("digest", "least", "copies", "n_shingles").join(rooted.withColumnRenamed("node", "digest"), "digest", "left")
+    info = reliable(info.withColumn("root", F.coalesce("root", "digest")))
+    joined = components(rest(docs, shared, info, classes, percent)).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    info = reliable(info.join(joined, "root", "left").select("digest", "least", "copies", F.coalesce("last", "root").alias("root")))
+    of_root = reliable(info.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = reliable(spread_join(info, of_root, "root", "n").select("digest", "copies", "component_id"))
+    linked = spread_join(some, named, "digest", "copies").select("doc_id", "text_key", "n_shingles", "component_id")
     alone = rows.where("digest is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
