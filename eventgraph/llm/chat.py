@@ -5,11 +5,11 @@ The first ``: `` ends a role, ``</turn>`` and a line break end a turn, ``###`` b
 
 Round trip. A conversation is rendered with its content as it is, parsed again by the grammar, and
 compared with its source turn by turn; the parser always undoes escapes. Where the recovered turns
-differ, or a text holds a control string, the conversation's content is escaped and the round trip
+differ, or a text or role holds a control string, the conversation's content is escaped and the round trip
 is made again; a conversation that still differs is an error, never a silent loss. Escapes begin
 with a backslash and are undone by plain replacements, because an escaped text has no other
-backslash: ``\\b`` for a backslash, ``\\h`` for the first mark of ``###``, ``\\l`` for the ``<`` of
-``</turn>``; ``\\c`` for a colon in a role.
+backslash: ``\\b`` for a backslash, ``\\h`` for every ``#``, ``\\l`` for the ``<`` of ``</turn>``;
+``\\c`` for a colon in a role. So no escaped text holds a control string, whatever stood in it.
 
 Loss mask. One (start, length) span in code points for each assistant text, as it stands in the
 formatted string.
@@ -33,7 +33,7 @@ from eventgraph.llm.common import columns_of
 
 BEGIN, MIDDLE, END = "### ", ": ", "</turn>\n"
 #: Plain text and its escape, in the order in which escapes are made.
-ESCAPES = (("\\", "\\b"), ("###", "\\h##"), ("</turn>", "\\l/turn>"))
+ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("</turn>", "\\l/turn>"))
 UNDO = (("\\l", "<"), ("\\h", "#"), ("\\c", ":"), ("\\b", "\\"))
 LEARNED = "assistant"
 
@@ -105,7 +105,8 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     # array_sort puts null turns first within structs, then orders by role and text
     source = grouped.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("source"))
     back = lambda formatted: F.transform(parsed(formatted), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    control = F.exists("source", lambda t: F.contains(t["text"], F.lit(BEGIN.strip())) | F.contains(t["text"], F.lit(END.strip())))
+    mark = lambda c: F.contains(c, F.lit(BEGIN.strip())) | F.contains(c, F.lit(END.strip()))
+    control = F.exists("source", lambda t: mark(t["text"]) | mark(t["role"]))
     plain = source.withColumn("plain", rendered(F.col("source"), False))
     conflict = control | ~F.coalesce(back(F.col("plain")) == F.col("source"), F.lit(False))
     tried = plain.withColumn("escaped", conflict).withColumn("formatted", F.when(F.col("escaped"), rendered(F.col("source"), True)).otherwise(F.col("plain")))
@@ -151,7 +152,7 @@ def _sql() -> str:
     return f"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', {lit(HOSTILE)} union all select -7, 1, 'assistant', {lit(HOSTILE)}),
-t as (select *, contains(text, '###') or contains(text, '</turn>') or {chain('text', UNDO)} <> text or contains(role, '</turn>' || chr(10)) or contains(role, ': ') or {chain('role', UNDO)} <> role conflict,
+t as (select *, contains(text, '###') or contains(text, '</turn>') or {chain('text', UNDO)} <> text or contains(role, '###') or contains(role, '</turn>') or contains(role, ': ') or {chain('role', UNDO)} <> role conflict,
   '### ' || {raw_turn} || '</turn>' || chr(10) plain, '### ' || {safe_turn} || '</turn>' || chr(10) safe from c)
 select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
   length(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = '{LEARNED}'), ''))::bigint loss_chars,
