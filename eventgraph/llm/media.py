@@ -1,15 +1,18 @@
 """Media columns: ISO base media files (the MP4 and QuickTime family of containers) in binary columns.
 
 ``probe`` walks the nested boxes of a file and decodes its sample tables (sizes, chunks, times, sync
-samples) to codec, duration and the byte range of every key frame; payload bytes are never decoded.
-``mux`` writes bytes losslessly as 8-bit samples of a single track, ``payload`` reads a track's
+samples), and those of movie fragments, to codec, duration and the byte range of every key frame;
+payload bytes are never decoded. Every track is told in ``tracks``; the columns of the file are those of
+its main track, the first video track that has samples, else the first track that has some, else the first.
+``mux`` writes bytes losslessly as 8-bit samples of a single track, ``payload`` reads the main track's
 stored bytes back through its sample tables.
 
 Defined cases of the reader. Null file: null. A file that is cut short, has no movie box or no
-track, or whose boxes or tables contradict each other: a row with ``error`` set and the other fields null,
-so bad files are counted and never lost. An empty sync table means no key frame, a missing one
-means that every sample is one. Extra columns stay; one with the name of an added column is replaced
-by it. Empty table: no rows. Repeated rows: each for itself.
+track, whose boxes or tables contradict each other, or whose boxes are nested deeper than DEEPEST: a
+row with ``error`` set and the other fields null, so bad files are counted and never lost. Counts are
+compared with the file's size before anything is allocated. An empty sync table means no key frame,
+a missing one that every sample is one. Extra columns stay; one with the name of an added column is
+replaced by it. Empty table: no rows. Repeated rows: each for itself.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ from pyspark.sql import functions as F
 from eventgraph.llm.common import arrow_map, columns_of, text_or_empty, without
 
 #: Fixed values of the container format: boxes that hold boxes.
-NESTING = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
+NESTING = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+DEEPEST = 32
 #: Bytes of one sample, samples of one chunk, samples from one key frame to the next, samples a second.
 SAMPLE, PER_CHUNK, KEY_EVERY, RATE = 192, 16, 8, 25
 CODEC = b"raw "
-FIELDS = "codec string, timescale long, duration long, n_samples long, media_at long, keyframes array<struct<start:long,end:long>>, error string"
+RANGES = "array<struct<start:long,end:long>>"
+TRACK = ("handler", "codec", "timescale", "duration", "n_samples", "keyframes")
+FIELDS = f"codec string, timescale long, duration long, n_samples long, media_at long, keyframes {RANGES}, n_tracks long, tracks array<struct<handler:string,codec:string,timescale:long,duration:long,n_samples:long,keyframes:{RANGES}>>, error string"
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -88,7 +94,7 @@ def mux_bytes(payload: bytes) -> bytes:
 
 
 def boxes(data: memoryview, start: int, end: int):
-    """(kind, start of content, end) of each box of a range."""
+    """(kind, start, start of content, end) of each box of a range."""
     while start < end:
         if end - start < 8:
             raise ValueError("a box is cut short")
@@ -102,19 +108,50 @@ def boxes(data: memoryview, start: int, end: int):
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} is larger than what holds it")
-        yield kind, start + head, start + size
+        yield kind, start, start + head, start + size
         start += size
 
 
-def tree(data: memoryview, start: int, end: int, found: dict, track: list) -> None:
-    """Contents of the boxes by kind; those of the first track that has samples win."""
-    for kind, a, b in boxes(data, start, end):
-        if kind == b"trak":
-            track.append(kind)
-        if kind in NESTING:
-            tree(data, a, b, found, track)
-        elif len(track) < 2:
-            found.setdefault(kind, (a, b))
+def tree(data: memoryview):
+    """(depth, kind, start, start of content, end) of all boxes, each before those that it holds."""
+    stack = [boxes(data, 0, len(data))]
+    while stack:
+        found = next(stack[-1], None)
+        if found is None:
+            stack.pop()
+            continue
+        yield (len(stack), *found)
+        if found[0] in NESTING:
+            if len(stack) == DEEPEST:
+                raise ValueError("boxes are nested too deep")
+            stack.append(boxes(data, found[2], found[3]))
+
+
+def layout(data: memoryview) -> list[dict]:
+    """The tracks, each with its boxes by kind, its fragments and the defaults for them."""
+    tracks, fragments, defaults = [], [], {}
+    own, inside, moof = None, 0, 0
+    for depth, kind, start, a, b in tree(data):
+        if depth <= inside:
+            own = None
+        if kind == b"moof":
+            moof = start
+        elif kind == b"trex":
+            track, *values = struct.unpack_from(">5I", data, a + 4)
+            defaults[track] = values[1:]  # duration, size and flags of a sample
+        elif kind in (b"trak", b"traf"):
+            own, inside = {"moof": moof, "runs": []}, depth
+            (tracks if kind == b"trak" else fragments).append(own)
+        elif own is not None and kind == b"trun":
+            own["runs"].append((a, b))
+        elif own is not None and kind not in NESTING:
+            own.setdefault(kind, (a, b))
+    for track in tracks:
+        a, _ = track.get(b"tkhd", (None, None))
+        track["id"] = None if a is None else struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
+        track["defaults"] = defaults.get(track["id"], [0, 0, 0])
+        track["fragments"] = [f for f in fragments if track["id"] is not None and struct.unpack_from(">I", data, f[b"tfhd"][0] + 4)[0] == track["id"]]
+    return tracks
 
 
 def _numbers(data: memoryview, span: tuple[int, int], kind: str, width: int = 1) -> np.ndarray:
@@ -126,61 +163,142 @@ def _numbers(data: memoryview, span: tuple[int, int], kind: str, width: int = 1)
     return np.frombuffer(data, kind, n * width, a + 8).astype(np.int64).reshape(n, width) if width > 1 else np.frombuffer(data, kind, n, a + 8).astype(np.int64)
 
 
-def sample_ranges(data: memoryview, found: dict) -> tuple[np.ndarray, np.ndarray]:
+def table_ranges(data: memoryview, found: dict) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of each sample, from the size, chunk and offset tables."""
     a, b = found[b"stsz"]
     size, n = struct.unpack_from(">II", data, a + 4)
+    if n * size > len(data) or (size == 0 and a + 12 + 4 * n > b):
+        raise ValueError("there are more samples than bytes")
     sizes = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
-    offsets = _numbers(data, found[b"co64"], ">u8") if b"co64" in found else _numbers(data, found[b"stco"], ">u4")
-    runs = _numbers(data, found[b"stsc"], ">u4", 3)
     if n == 0:
         return sizes, sizes
-    if len(runs) == 0 or runs[0, 0] != 1:
-        raise ValueError("the chunk table does not begin at the first chunk")
+    offsets = _numbers(data, found[b"co64"], ">u8") if b"co64" in found else _numbers(data, found[b"stco"], ">u4")
+    runs = _numbers(data, found[b"stsc"], ">u4", 3)
+    if len(runs) == 0 or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(offsets):
+        raise ValueError("the chunk table does not fit the chunks")
     lasts = np.append(runs[1:, 0], len(offsets) + 1)
     per_chunk = np.repeat(runs[:, 1], lasts - runs[:, 0])
-    if len(per_chunk) != len(offsets) or per_chunk.sum() != n:
+    if per_chunk.sum() != n:
         raise ValueError("the chunk table and the sample sizes disagree")
+    offsets, per_chunk = offsets[per_chunk > 0], per_chunk[per_chunk > 0]
     first = np.cumsum(per_chunk) - per_chunk
     ends = np.cumsum(sizes)
     inside = ends - sizes - np.repeat((ends - sizes)[first], per_chunk)
     starts = np.repeat(offsets, per_chunk) + inside
-    if len(starts) and (starts.min() < 0 or (starts + sizes).max() > len(data)):
-        raise ValueError("samples lie outside the file")
     return starts, starts + sizes
 
 
+def fragment_ranges(data: memoryview, track: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Start, end and whether it is a key frame of each sample of a track's fragments, and their duration."""
+    starts, ends, keys, length = [], [], [], 0
+    for fragment in track["fragments"]:
+        a, b = fragment[b"tfhd"]
+        flags = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF
+        at, base, (duration, size, plain) = a + 8, fragment["moof"], track["defaults"]
+        if flags & 0x1:
+            (base,), at = struct.unpack_from(">Q", data, at), at + 8
+        at += 4 * bool(flags & 0x2)
+        if flags & 0x8:
+            (duration,), at = struct.unpack_from(">I", data, at), at + 4
+        if flags & 0x10:
+            (size,), at = struct.unpack_from(">I", data, at), at + 4
+        if flags & 0x20:
+            (plain,) = struct.unpack_from(">I", data, at)
+        place = base
+        for a, b in fragment["runs"]:
+            flags, n = struct.unpack_from(">II", data, a)
+            at = a + 8
+            if flags & 0x1:
+                place, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+            first, at = (struct.unpack_from(">I", data, at)[0], at + 4) if flags & 0x4 else (None, at)
+            given = [k for k in (0x100, 0x200, 0x400, 0x800) if flags & k]
+            if at + 4 * n * len(given) > b or (not given and n * size > len(data)):
+                raise ValueError("a fragment has more samples than bytes")
+            values = dict(zip(given, np.frombuffer(data, ">u4", n * len(given), at).astype(np.int64).reshape(n, len(given)).T)) if given else {}
+            each = values.get(0x200, np.full(n if n * bool(size) <= len(data) else 0, size, np.int64))
+            marks = values.get(0x400, np.full(len(each), plain, np.int64)).copy()
+            if first is not None and len(marks):
+                marks[0] = first
+            end = place + np.cumsum(each)
+            starts.append(end - each)
+            ends.append(end)
+            keys.append(marks & 0x10000 == 0)
+            length += int(values[0x100].sum()) if 0x100 in values else n * duration
+            place = int(end[-1]) if len(end) else place
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends]), np.concatenate([none.astype(bool), *keys]), length
+
+
+def sample_ranges(data: memoryview, track: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Start and end byte of each sample of a track, whether it is a key frame, and the track's duration."""
+    starts, ends = table_ranges(data, track)
+    times = _numbers(data, track[b"stts"], ">u4", 2)
+    if times[:, 0].sum() != len(starts):
+        raise ValueError("the time table and the sample sizes disagree")
+    keys = np.ones(len(starts), bool)
+    if b"stss" in track:
+        named = _numbers(data, track[b"stss"], ">u4") - 1
+        if len(named) and (named.min() < 0 or named.max() >= len(starts)):
+            raise ValueError("the sync table names samples that are not there")
+        keys[:] = False
+        keys[named] = True
+    length = sum(int(n) * int(t) for n, t in times)
+    if track["fragments"]:
+        more = fragment_ranges(data, track)
+        starts, ends, keys, length = np.r_[starts, more[0]], np.r_[ends, more[1]], np.r_[keys, more[2]], length + more[3]
+    if len(starts) and (starts.min() < 0 or ends.max() > len(data)):
+        raise ValueError("samples lie outside the file")
+    return starts, ends, keys, length
+
+
+def _main(data: memoryview, tracks: list[dict]) -> int:
+    """Number of the main track."""
+    if not tracks:
+        raise ValueError("there is no track")
+    some = [i for i, t in enumerate(tracks) if t["ranges"][0].size]
+    films = [i for i in some if tracks[i]["handler"] == "vide"]
+    return (films or some or [0])[0]
+
+
+def _read(data: memoryview) -> list[dict]:
+    """The tracks with ranges, handler, codec, time scale and duration."""
+    tracks = layout(data)
+    for track in tracks:
+        a, _ = track[b"stsd"]
+        track["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1")
+        a, _ = track[b"mdhd"]
+        track["timescale"], stated = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
+        a, _ = track.get(b"hdlr", (None, None))
+        track["handler"] = None if a is None else bytes(data[a + 8 : a + 12]).decode("latin-1")
+        *track["ranges"], length = sample_ranges(data, track)
+        track["duration"] = length or (stated if len(track["ranges"][0]) == 0 else 0)
+        if track["duration"] >= 2**63:
+            raise ValueError("a duration is out of range")
+    return tracks
+
+
 def probe_bytes(data: bytes) -> dict:
-    """Codec, time scale, duration, sample count and key-frame ranges of a file's first track."""
-    blank = dict.fromkeys(("codec", "timescale", "duration", "n_samples", "media_at", "keyframes", "error"))
+    """Codec, time scale, duration, sample count and key-frame ranges of a file's main track, and of all tracks."""
+    blank = dict.fromkeys(f.split()[0] for f in FIELDS.split(", "))
     try:
-        view, found, track = memoryview(data), {}, []
-        tree(view, 0, len(view), found, track)
-        if not track:
-            raise ValueError("there is no track")
-        a, _ = found[b"stsd"]
-        codec = bytes(view[a + 12 : a + 16]).decode("latin-1")
-        a, _ = found[b"mdhd"]
-        scale, length = struct.unpack_from(">IQ", view, a + 20) if view[a] else struct.unpack_from(">II", view, a + 12)
-        starts, ends = sample_ranges(view, found)
-        times = _numbers(view, found[b"stts"], ">u4", 2)
-        if times[:, 0].sum() != len(starts):
-            raise ValueError("the time table and the sample sizes disagree")
-        keys = _numbers(view, found[b"stss"], ">u4") - 1 if b"stss" in found else np.arange(len(starts))
-        if len(keys) and (keys.min() < 0 or keys.max() >= len(starts)):
-            raise ValueError("the sync table names samples that are not there")
-        ranges = [{"start": int(s), "end": int(e)} for s, e in zip(starts[keys], ends[keys])]
-        duration = int((times[:, 0] * times[:, 1]).sum()) if len(times) else length
-        return blank | {"codec": codec, "timescale": scale, "duration": duration, "n_samples": len(starts), "media_at": int(starts[0]) if len(starts) else None, "keyframes": ranges}
+        view = memoryview(data)
+        tracks = _read(view)
+        main = _main(view, tracks)
+        told = []
+        for track in tracks:
+            starts, ends, keys = track["ranges"]
+            told.append({k: track.get(k) for k in TRACK} | {"n_samples": len(starts), "keyframes": [{"start": int(s), "end": int(e)} for s, e in zip(starts[keys], ends[keys])]})
+        first = tracks[main]["ranges"][0]
+        return blank | {k: told[main][k] for k in TRACK[1:]} | {"media_at": int(first[0]) if len(first) else None, "n_tracks": len(tracks), "tracks": told}
     except (ValueError, KeyError, struct.error, IndexError) as e:
         return blank | {"error": f"{type(e).__name__}: {e}"}
 
 
 def payload_bytes(data: bytes) -> bytes:
-    """The stored bytes of the first track, sample by sample through its tables."""
-    view, found = memoryview(data), {}
-    tree(view, 0, len(view), found, [])
-    starts, ends = sample_ranges(view, found)
+    """The stored bytes of the main track, sample by sample through its tables."""
+    view = memoryview(data)
+    tracks = _read(view)
+    starts, ends, _ = tracks[_main(view, tracks)]["ranges"]
     if not len(starts):
         return b""
     cuts = np.flatnonzero(starts[1:] != ends[:-1]) + 1  # neighbours that touch are read at once
@@ -210,8 +328,9 @@ def probe(df: DataFrame, media: str = "media", payload: str | None = None) -> Da
     names = [f.split()[0] for f in FIELDS.split(", ")]
     fields = FIELDS + (f", {payload} binary" if payload else "")
     keyframes = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    track = pa.struct([(n, keyframes if n == "keyframes" else pa.string() if n in ("handler", "codec") else pa.int64()) for n in TRACK])
     df = without(df, *names, *[payload] * bool(payload))
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), keyframes, pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), keyframes, pa.int64(), pa.list_(track), pa.string()]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         files = batch.column(batch.schema.get_field_index(media)).to_pylist()
