@@ -6,9 +6,9 @@ is evaluated at every position and max-pooled; over the chunks the pooled values
 minimum go into one logistic output. Scoring is linear in a text's length and keeps a few chunks in
 memory at a time.
 
-Fit. On at most ``sample`` labelled documents (a third of them of label 0, if there are as many),
-the first ones in order of a hash of the id, of each at most CHUNKS_FIT chunks spread over all of
-the text. Only rows outside the held-out fold (crc32 of the id as text, modulo FOLDS, is 0) are
+Fit. On at most ``sample`` labelled documents (a third of them of label 0, if there are as many) and
+BYTES bytes, the first ones in order of a hash of the id that still fit; of each its whole text, all
+chunks. Only rows outside the held-out fold (crc32 of the id as text, modulo FOLDS, is 0) are
 read for it, and only text and label. The sample is the only thing that the driver ever holds.
 
 Defined cases. Null and empty texts: scored as one chunk of padding. Null label or id: not used for
@@ -24,13 +24,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventgraph.llm.common import arrow_map, columns_of, utf8_views, without
 
 CHUNK, STRIDE, WIDTH, FILTERS, DEPTH = 512, 384, 5, 16, 8
 FOLDS, THRESHOLD = 5, 0.3
-SAMPLE, CHUNKS_FIT, EPOCHS, BATCH, RATE, SEED = 1800, 6, 14, 32, 0.01, 11
+SAMPLE, BYTES, EPOCHS, BATCH, RATE, SEED = 1800, 32 << 20, 14, 32, 0.01, 11
+#: Chunks that are evaluated at once.
 BLOCK = 128
 
 
@@ -54,15 +56,20 @@ class Network:
         return np.stack([self.embed @ w for w in self.filters])
 
     def pooled(self, chunks: np.ndarray, tables: np.ndarray, places: bool = False):
-        """Max over positions of each filter, (chunks, FILTERS), and where it is if asked."""
+        """Max over positions of each filter, (chunks, FILTERS), and where it is if asked; BLOCK chunks at a time."""
         n = chunks.shape[1] - WIDTH + 1
-        act = tables[0].take(chunks[:, :n], axis=0)
-        for k in range(1, WIDTH):
-            act += tables[k].take(chunks[:, k : k + n], axis=0)
-        if places:
-            at = act.argmax(1)
-            return np.take_along_axis(act, at[:, None, :], 1)[:, 0], at
-        return act.max(1), None
+        tops, at = np.empty((len(chunks), FILTERS), "f4"), np.empty((len(chunks), FILTERS), np.int64) if places else None
+        for s in range(0, len(chunks), BLOCK):
+            part = chunks[s : s + BLOCK]
+            act = tables[0].take(part[:, :n], axis=0)
+            for k in range(1, WIDTH):
+                act += tables[k].take(part[:, k : k + n], axis=0)
+            if places:
+                at[s : s + BLOCK] = best = act.argmax(1)
+                tops[s : s + BLOCK] = np.take_along_axis(act, best[:, None, :], 1)[:, 0]
+            else:
+                tops[s : s + BLOCK] = act.max(1)
+        return tops, at
 
     def score(self, data: np.ndarray, tables: np.ndarray) -> float:
         """Probability of label 1 for a whole text."""
@@ -103,9 +110,9 @@ def fit(texts: list[bytes], labels: list[int], seed: int = SEED) -> Network:
     chunks, owner = [], []
     for i, text in enumerate(texts):
         data = np.frombuffer(text, np.uint8)
-        for c in np.unique(np.linspace(0, n_chunks(len(data)) - 1, CHUNKS_FIT).round().astype(int)):
-            chunks.append(cut(data, np.array([c])))
-            owner.append(i)
+        n = n_chunks(len(data))
+        chunks.append(cut(data, np.arange(n)))
+        owner += [i] * n
     chunks, owner = np.concatenate(chunks), np.array(owner)
     begins = np.searchsorted(owner, np.arange(len(texts) + 1))
     params = [net.embed, net.filters, net.offset, net.out, np.zeros(1, "f4")]
@@ -154,24 +161,21 @@ def held_out(column: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Network:
-    """A network fitted on at most sample labelled rows outside the held-out fold."""
+    """A network fitted on at most sample labelled rows outside the held-out fold.
+
+    A row of label 0 and one of label 1 are told apart by text alone; ids, languages and sources are not read.
+    """
     columns_of(labels, f"doc_id {label}")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_label")).where(~held_out())
     order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
     bad = known.where("_label = 0").orderBy(*order).limit(sample // 3)
     good = known.where("_label = 1").orderBy(*order).limit(sample - sample // 3)
     chosen = bad.unionByName(good)  # at most sample ids: a proven bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", _spread(F.coalesce("text", F.lit("")).cast("binary")).alias("text"), F.col("_label").cast("int").alias("_label"))
-    rows = sorted((bytes(x["text"]), x["_label"], str(x["doc_id"])) for x in rows.orderBy(*order).limit(sample).collect())
-    rows.sort(key=lambda x: (x[2], x[0]))
-    return fit([x[0] for x in rows], [x[1] for x in rows])
-
-
-def _spread(data):
-    """A text's bytes, or of a long one CHUNKS_FIT stretches of CHUNK bytes spread over all of it."""
-    step = (F.octet_length(data) - CHUNK) / (CHUNKS_FIT - 1)
-    parts = [F.substring(data, F.floor(step * i).cast("int") + 1, F.lit(CHUNK)) for i in range(CHUNKS_FIT)]
-    return F.when(F.octet_length(data) <= CHUNKS_FIT * CHUNK, data).otherwise(F.concat(*parts))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(sample)
+    upto = F.sum(F.octet_length("text").cast("long")).over(W.orderBy(*order, "text").rowsBetween(W.unboundedPreceding, 0))  # over at most sample rows
+    rows = rows.withColumn("_upto", upto).where(F.col("_upto") <= BYTES).select("doc_id", "text", F.col("_label").cast("int").alias("_label"))
+    rows = sorted((str(x["doc_id"]), bytes(x["text"]), x["_label"]) for x in rows.collect())
+    return fit([x[1] for x in rows], [x[2] for x in rows])
 
 
 def scored(docs: DataFrame, net: Network, text: str = "text", into: str = "score") -> DataFrame:
