@@ -33,7 +33,7 @@ from eventgraph.llm.common import arrow_map, columns_of, without
 
 SPACE = "▁"
 #: Runs and pairs that a worker remembers; past this old ones give way, so memory stays bounded.
-RUNS_KEPT, PAIRS_KEPT = 300_000, 600_000
+RUNS_KEPT, PAIRS_KEPT = 200_000, 400_000
 
 
 def default_model() -> str:
@@ -214,6 +214,11 @@ def _added(df: DataFrame, fields: str, drop: tuple[str, ...] = ()) -> str:
     return ", ".join([*own, fields])
 
 
+def _lists(encoded: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(e) // 4 for e in encoded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
+
+
 def encode(df: DataFrame, model: str | None = None, text: str = "text", ids: str = "ids", keep_text: bool = False) -> DataFrame:
     """df without its text (unless kept) and with the text's ids as array<int>."""
     columns_of(df, text)
@@ -225,11 +230,9 @@ def encode(df: DataFrame, model: str | None = None, text: str = "text", ids: str
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces = load(model)
         at = batch.schema.get_field_index(text)
-        encoded = [pieces.encoded(t or "") for t in batch.column(at).to_pylist()]
-        offsets = np.cumsum([0, *(len(e) // 4 for e in encoded)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
+        encoded = _lists([pieces.encoded(t or "") for t in batch.column(at).to_pylist()])
         kept = [i for i in range(batch.num_columns) if keep_text or i != at]
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), lists], [*(batch.schema.names[i] for i in kept), ids])
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), encoded], [*(batch.schema.names[i] for i in kept), ids])
 
     return arrow_map(df, work, schema)
 
@@ -252,9 +255,27 @@ def decode(df: DataFrame, model: str | None = None, ids: str = "ids", text: str
     return arrow_map(df, work, schema)
 
 
+def round_trip(df: DataFrame, model: str | None = None, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df without its text, with the text's ids and what they decode to: encode and decode in one worker, which loads the model once."""
+    columns_of(df, text)
+    model = model or default_model()
+    df = without(df, ids, *[decoded] * (decoded != text))
+    schema = _added(df, f"{ids} array<int>, {decoded} string", (text,))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pieces = load(model)
+        at = batch.schema.get_field_index(text)
+        encoded = [pieces.encoded(t or "") for t in batch.column(at).to_pylist()]
+        texts = pa.array([pieces.decode(np.frombuffer(e, np.int32).tolist()) for e in encoded], pa.string())
+        kept = [i for i in range(batch.num_columns) if i != at]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), _lists(encoded), texts], [*(batch.schema.names[i] for i in kept), ids, decoded])
+
+    return arrow_map(df, work, schema)
+
+
 def op2_sentencepiece(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    return digests(decode(encode(docs)))
+    return digests(round_trip(docs))
 
 
 def digests(df: DataFrame) -> DataFrame:
