@@ -8,6 +8,10 @@ last return the columns of documents.
 3. personal_data: entities are replaced by surrogates; n_chars follows the text.
 4. mixture: every document is repeated as often as the mix takes it, or left out.
 5. pieces: texts become ids of the SentencePiece model, and the text that the ids decode to.
+
+Defined cases, of every stage. Null text: treated as empty, kept as null up to the last stage. Null
+ids: rows like others. Repeated rows: one of them stays (stage 2). Very long texts: whole. Empty
+table: no rows, with the same columns. Extra columns: kept by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventgraph.llm import classifier, mixing, neardup, pieces, surrogates
-from eventgraph.llm.common import shared_folder
+from eventgraph.llm.common import own, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.scored(docs, net, into="_quality").where(F.col("_quality") >= classifier.THRESHOLD).select(*docs.columns)
+    score = own(docs, "_quality")
+    return classifier.scored(docs, net, into=score).where(F.col(score) >= classifier.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return surrogates.replace(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    count = own(docs, "n_entities")
+    return surrogates.replace(docs, count=count).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")), text="text")
+    done = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), decoded="text")
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
