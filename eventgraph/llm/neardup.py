@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventgraph.llm import words
-from eventgraph.llm.common import arrow_map, columns_of, own, reliable, spread_join, utf8_views
+from eventgraph.llm.common import arrow_map, columns_of, own, reliable, small_batches, spread_join, utf8_views
 
 SHINGLE, PERCENT = 5, 75
 HASHES, TREES, STEP = 128, 24, 5
@@ -135,7 +135,7 @@ def neighbours(classes: DataFrame) -> DataFrame:
         if len(region):  # its successor may stand in the next range
             yield pa.RecordBatch.from_arrays([pa.array(region), _binary(digest), pa.array([None], pa.binary())], names)
 
-    return ranges.mapInArrow(work, "region long, digest binary, next binary")
+    return small_batches(ranges).mapInArrow(work, "region long, digest binary, next binary")
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _by_block(rows: DataFrame, work_on, schema: str) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield work_on(rest.combine_chunks())
 
-    return dealt.mapInArrow(work, schema)
+    return small_batches(dealt).mapInArrow(work, schema)
 
 
 def _near(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventgraph.llm.common import arrow_map, columns_of, reliable, utf8_views, without
+from eventgraph.llm.common import arrow_map, columns_of, reliable, small_batches, utf8_views, without
 
 SIDE = 2
 EMBED, HIDDEN = 8, 32
@@ -146,7 +146,7 @@ def window_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for s in range(0, len(codes), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(codes[s : s + 50_000]), pa.array(counts[s : s + 50_000])], ["code", "n"])
 
-    return docs.select(text).mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select(text)).mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _part_trainer(start: Weights, draws: int, seed: int, rate: float):
