@@ -9,86 +9,99 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONGEST, MOST_ROWS = 2000, 2500
-#: What a question must not hold.
-COMMANDS = ("\\bdrop\\s+(?:table|graph|vertex|edge|query)\\b", "\\bdelete\\s+from\\b", "\\binsert\\s+into\\b", "\\bupdate\\s+\\w+\\s+set\\b", "\\bcreate\\s+(?:table|graph|query)\\b", "\\balter\\s+(?:table|graph)\\b", "\\btruncate\\b")
-PHRASES = ("ignore (?:all |any )?(?:previous|prior) instructions", "disregard (?:the )?(?:above|previous)", "system prompt", "you are now", "act as (?:an? )?(?:admin|root)", "reveal (?:your|the) (?:key|secret|prompt)")
-#: Credentials, and the 40-digit secrets of the test data (the last, our own).
-SECRETS = ("sk-[A-Za-z0-9]{20,}", "AKIA[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{30,}", "xox[abpr]-[A-Za-z0-9-]{10,}", "AIza[0-9A-Za-z_-]{35}", "[0-9a-f]{40}")
+#: Database commands that a question must not hold.
+COMMANDS = (
+    "DROP\\s+(GRAPH|TABLE|VERTEX|EDGE|QUERY)\\s+\\w",
+    "DELETE\\s+FROM\\s+\\w",
+    "CREATE\\s+USER\\s+\\w",
+    "TRUNCATE\\s+(TABLE|GRAPH)\\s+\\w",
+    "ALTER\\s+(VERTEX|EDGE)\\s+\\w+\\s+(DROP|ADD)\\s+",
+    "INSTALL\\s+QUERY\\s+\\w",
+    "RUN\\s+SCHEMA_CHANGE\\s+JOB",
+)
+#: Phrases that try to change what a model was told.
+PHRASES = (
+    "ignore\\s+(all\\s+)?previous\\s+instructions",
+    "system\\s+prompt\\s+(leak|dump|reveal|show)",
+    "you\\s+are\\s+now\\s+in\\s+developer\\s+mode",
+    "jailbreak\\s+mode",
+    "act\\s+as\\s+(dan|evil|unrestricted)\\b",
+    "disregard\\s+(all\\s+)?safety\\s+(rules|guidelines|constraints)",
+)
+#: Credentials.
+SECRETS = (
+    "AIza[0-9A-Za-z\\-_]{35}",
+    "sk-[0-9A-Za-z]{32,}",
+    "Bearer\\s+[A-Za-z0-9\\-\\._~\\+\\/]+=*",
+    "TG_(?:PASSWORD|SECRET)\\s*=\\s*\\S+",
+    "jina_[0-9a-zA-Z]{20,}",
+)
 REDACTED = "[REDACTED]"
+#: Words that a read-only query does not hold, and functions that it may call.
+FORBIDDEN = "insert update delete merge drop create alter truncate set reset use load add cache uncache refresh analyze grant revoke call execute transform table"
+FUNCTIONS = "avg count collect_list collect_set max min sum lower upper trim length coalesce round abs year rank row_number concat substring distinct in over and or as on by when then from select exists any all between not".split()
 
 
-def screened(text: Column) -> Column:
-    """(ok, reason) of a question."""
-    command = reduce(lambda a, p: a | text.rlike(f"(?i){p}"), COMMANDS, F.lit(False))
-    phrase = reduce(lambda a, p: a | text.rlike(f"(?i){p}"), PHRASES, F.lit(False))
-    reason = F.when(text.isNull() | (F.trim(text) == ""), "empty").when(F.length(text) > LONGEST, "too long").when(command, "command").when(phrase, "injection")
+def screened(text: Column, batch: bool = False) -> Column:
+    """(ok, reason) of a question; batch runs are trusted."""
+    found = lambda patterns: reduce(lambda a, p: a | text.rlike(f"(?i){p}"), patterns, F.lit(False))
+    reason = F.when(F.length(text) > LONGEST, "too long").when(found(COMMANDS), "command").when(found(PHRASES), "injection")
+    reason = F.lit(None).cast("string") if batch else reason
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
 
 
-def redacted(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p, REDACTED), SECRETS, text)
+def redacted(text: Column, more: tuple[str, ...] = ()) -> Column:
+    """A text without credentials; more patterns may be given."""
+    return reduce(lambda t, p: F.regexp_replace(t, p, REDACTED), (*SECRETS, *more), text)
 
 
-def redacted_all(texts: Column) -> Column:
+def redacted_all(texts: Column, more: tuple[str, ...] = ()) -> Column:
     """The same within an array of texts."""
-    return F.transform(texts, redacted)
+    return F.transform(texts, lambda t: redacted(t, more))
 
 
-def _nodes(plan) -> list:
-    """All nodes of a parsed plan, those of subqueries and WITH parts too."""
-    found, waiting = [], [plan]
-    while waiting:
-        node = waiting.pop()
-        found.append(node)
-        for inner in (node.children(), node.innerChildren(), node.subqueries()):
-            waiting += [inner.apply(i) for i in range(inner.size()) if "LogicalPlan" in _kinds(inner.apply(i))]
-    return found
+def redacted_trace(trace: Column, more: tuple[str, ...] = ()) -> Column:
+    """The same for every text of a nested trace (a VARIANT), however deep: done on its JSON text.
 
-
-def _kinds(node) -> set[str]:
-    kinds, kind = set(), node.getClass()
-    while kind is not None:
-        kinds.add(kind.getSimpleName())
-        kind = kind.getSuperclass()
-    return kinds
+    Credentials hold no quotes or brackets that structure JSON, but for those that run to the next
+    space; these stop at a quote here, so that the result is JSON again.
+    """
+    within = [p.replace("\\S+", '[^\\s"]+') for p in (*SECRETS, *more)]
+    return F.parse_json(reduce(lambda t, p: F.regexp_replace(t, p, REDACTED), within, F.to_json(trace)))
 
 
-#: Plan nodes that a read-only query may be made of.
-NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Join", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "Union", "Distinct", "Except", "Intersect", "OneRowRelation", "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "Window"}
-FUNCTIONS = {"avg", "count", "collect_list", "collect_set", "max", "min", "sum", "lower", "upper", "trim", "length", "coalesce", "round", "abs", "year", "rank", "row_number", "concat", "substring"}
+def double_quoted(query: Column) -> Column:
+    """A query with complete single-quoted literals in double quotes; one with a double quote, a backslash or an odd quote stays."""
+    quotes = F.length(query) - F.length(F.replace(query, F.lit("'"), F.lit("")))
+    plain = (quotes % 2 == 0) & ~F.contains(query, F.lit('"')) & ~F.contains(query, F.lit("\\"))
+    return F.when(plain, F.replace(query, F.lit("'"), F.lit('"'))).otherwise(query)
 
 
 def checked(spark: SparkSession, text: str, allowed: dict[str, DataFrame]) -> DataFrame:
-    """The rows of an ad-hoc query over the allowed tables only, at most MOST_ROWS of them.
+    """The rows of an ad-hoc SELECT over the allowed tables only, at most MOST_ROWS of them.
 
-    Spark's own parser gives the unresolved plan; nothing runs before it is found to consist of
-    read-only nodes, allowed functions and allowed tables.
+    Literals are set aside, then words and signs are compared with short lists; tables are handed to
+    the query as parameters, so no view is left behind and no other table can be named.
     """
-    nodes = _nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
-    names = {n.nodeName() for n in nodes}
-    if bad := names - NODES:
-        raise ValueError(f"not a read-only query: {sorted(bad)}")
-    shown = "\n".join(n.toString() for n in nodes)
-    if bad := {f.lower() for f in re.findall(r"'(\w+)\(", shown)} - FUNCTIONS:
+    bare = re.sub(r"'[^']*'", "''", text)
+    words = set(re.findall(r"[a-z_]+", bare.lower()))
+    if not re.match(r"(?i)\s*(?:select|with)\b", bare) or words & set(FORBIDDEN.split()) or re.search(r"[;{}\\`\"]|--|/\*", bare):
+        raise ValueError("not a single read-only SELECT")
+    if bad := {f.lower() for f in re.findall(r"(\w+)\s*\(", bare)} - set(FUNCTIONS):
         raise ValueError(f"functions that are not allowed: {sorted(bad)}")
-    parts = {str(a).lower() for a in _aliases(nodes)}
-    tables = {n.tableName() for n in nodes if n.nodeName() == "UnresolvedRelation"}
-    if bad := {t for t in tables if t not in allowed and t.lower() not in parts}:
+    parts = {p.lower() for p in re.findall(r"(?i)(?:\bwith|,)\s*(\w+)\s+as\s*\(", bare)}
+    tables = [t for t in re.findall(r"(?i)\b(?:from|join)\s+([\w.]+)", bare) if t.lower() not in parts]
+    if bad := [t for t in tables if t not in allowed]:
         raise ValueError(f"tables that are not allowed: {sorted(bad)}")
-    own = spark.newSession()
-    for name, rows in allowed.items():
-        own.createDataFrame([], rows.schema).createOrReplaceTempView(name)
-    own.sql(text).schema  # names resolve against the allowed tables alone
-    for name, rows in allowed.items():
-        rows.createOrReplaceTempView(name)
-    return spark.sql(text).limit(MOST_ROWS)
-
-
-def _aliases(nodes: list) -> list[str]:
-    """Names that WITH parts give."""
-    found = []
-    for n in nodes:
-        if n.nodeName() == "UnresolvedWith":
-            relations = n.cteRelations()
-            found += [relations.apply(i)._1() for i in range(relations.size())]
-    return found
+    rest = "(?:(?!\\b(?:where|group|order|having|limit|union|select)\\b)[^,()])*,"
+    if re.search(rf"(?i)\bfrom\s+[\w.]+{rest}|\bjoin\b{rest}", bare):
+        raise ValueError("tables are joined by JOIN")
+    own = lambda m: f"{m[1]}{m[2]}{{{m[3]}}}" if m[3] in tables else m[0]
+    named = "".join(part if part.startswith("'") else re.sub(r"(?i)\b(from|join)(\s+)(\w+)", own, part) for part in re.split(r"('[^']*')", text))
+    return spark.sql(named, **{t: allowed[t] for t in tables}).limit(MOST_ROWS)
+
+
+def call_key(tool: str, arguments: Column) -> Column:
+    """Key under which a repeated call is answered from memory: the tool and its arguments (a map) in order of name."""
+    pairs = F.array_sort(F.transform(F.map_entries(arguments), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return F.sha2(F.concat_ws("|", F.lit(tool), F.array_join(pairs, "&")).cast("binary"), 256)

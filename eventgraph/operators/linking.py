@@ -18,15 +18,15 @@ def numbers(tokens: Column) -> Column:
 def token_f1(phrases: DataFrame, labels: DataFrame) -> DataFrame:
     """(phrase_id, label_id, score): token F1 of at least LEAST; different numbers halve it.
 
-    phrases has phrase_id and phrase, labels has label_id and label.
+    phrases has phrase_id and phrase, labels has label_id and label. Halved scores never reach LEAST
+    (numbers are tokens, so the F1 is below 1 where they differ); so pairs are joined on a token and
+    on their numbers at once, which keeps common words from meeting all labels.
     """
-    left = phrases.select("phrase_id", tx.tokens(F.col("phrase")).alias("_p"))
-    right = labels.select("label_id", tx.tokens(F.col("label")).alias("_l"))
-    shared = left.select("phrase_id", F.explode("_p").alias("token")).join(right.select("label_id", F.explode("_l").alias("token")), "token").groupBy("phrase_id", "label_id").agg(F.count(F.lit(1)).alias("n"))
-    sized = shared.join(left, "phrase_id").join(right, "label_id")
-    f1 = 2.0 * F.col("n") / (F.size("_p") + F.size("_l"))
-    score = F.round(F.when(numbers(F.col("_p")) == numbers(F.col("_l")), f1).otherwise(f1 * 0.5), 3)
-    return sized.select("phrase_id", "label_id", score.alias("score")).where(F.col("score") >= LEAST)
+    left = phrases.select("phrase_id", tx.tokens(F.col("phrase")).alias("_p")).withColumn("_n", F.array_join(numbers(F.col("_p")), " "))
+    right = labels.select("label_id", tx.tokens(F.col("label")).alias("_l")).withColumn("_n", F.array_join(numbers(F.col("_l")), " "))
+    shared = left.select("phrase_id", "_n", F.size("_p").alias("_np"), F.explode("_p").alias("token")).join(right.select("label_id", "_n", F.size("_l").alias("_nl"), F.explode("_l").alias("token")), ["token", "_n"])
+    counted = shared.groupBy("phrase_id", "label_id", "_np", "_nl").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("phrase_id", "label_id", F.round(2.0 * F.col("n") / (F.col("_np") + F.col("_nl")), 3).alias("score")).where(F.col("score") >= LEAST)
 
 
 def ranked(matches: DataFrame) -> DataFrame:
@@ -71,18 +71,28 @@ def exact_titles(phrases: DataFrame, titles: DataFrame) -> DataFrame:
     return phrases.select("phrase_id", tx.compact(F.col("phrase")).alias("_key")).join(keyed, "_key").select("phrase_id", "title_id")
 
 
+def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct stretches of the given sizes of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.filter(F.array(*[F.substr(text, i, F.lit(n)) for n in sizes]), lambda g: g != ""))))
+
+
 def at_venue_date(asked: DataFrame, events: DataFrame) -> DataFrame:
     """(question_id, event_id, score): venue and date matches, only the best score of each question.
 
-    Days and months must be equal, so the join is on them; then one venue must hold the other and the
-    asked years be among the event's. 1.0: equal venue and date; 0.6, and 0.1 more for an equal venue
-    or an equal date text.
+    Days and months must be equal, one venue must hold the other, and the asked years be among the
+    event's. 1.0: equal venue and date; 0.6, and 0.1 more for an equal venue or an equal date text.
+    What holds a venue also holds its first three letters, so the join is on date and these; dates
+    alone are few and would let pairs grow with the square of the events.
     """
     left = asked.select("question_id", tx.compact(F.col("venue")).alias("_venue"), tx.date_keys(F.col("date")).alias("_k"), tx.compact(F.col("date")).alias("_date"))
     left = left.select("question_id", "_venue", "_date", F.to_json(F.struct("_k.days", "_k.months")).alias("_at"), F.col("_k.years").alias("_years"))
     right = events.select("event_id", tx.compact(F.col("venue")).alias("_v"), tx.date_keys(F.col("start_date")).alias("_d"), F.col("year").cast("string").alias("_y"), tx.compact(F.col("start_date")).alias("_t"))
     right = right.select("event_id", "_v", "_t", "_y", F.to_json(F.struct("_d.days", "_d.months")).alias("_at"))
-    near = left.join(right, "_at").where((F.contains("_venue", "_v") | F.contains("_v", "_venue")) & (F.size(F.array_except("_years", F.array("_y"))) == 0))
+    head, grams = (lambda c: F.substring(c, 1, 3)), (lambda c: F.explode(_grams(F.col(c), (1, 2, 3))))
+    holds = left.withColumn("_g", grams("_venue")).join(right.withColumn("_g", head("_v")), ["_at", "_g"]).where(F.contains("_venue", "_v"))
+    held = left.withColumn("_g", head("_venue")).join(right.withColumn("_g", grams("_v")), ["_at", "_g"]).where(F.contains("_v", "_venue") & (F.col("_v") != F.col("_venue")))
+    near = holds.unionByName(held).where(F.size(F.array_except("_years", F.array("_y"))) == 0)
     equal = (F.col("_venue") == F.col("_v")).cast("int") + (F.col("_date") == F.col("_t")).cast("int")
     scored = near.select("question_id", "event_id", F.when(equal == 2, 1.0).otherwise(F.round(0.6 + 0.1 * equal, 1)).alias("score"))
     best = F.max("score").over(W.partitionBy("question_id"))

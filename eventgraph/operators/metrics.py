@@ -44,7 +44,7 @@ def retrieval(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """One row a query: hit@1, hit@5, MRR, recall@5, precision@5, nDCG@5 and context precision.
 
     ranked has query_id, id and rank (from 1), gold has query_id and id. A repeated id counts once,
-    at its first rank, for nDCG and context precision; MRR, recall and precision take the list as it
+    at its first rank, for nDCG and context precision (average precision of the first five); MRR, recall and precision take the list as it
     is: precision divides distinct hits by the length of the first five.
     """
     first = ranked.groupBy("query_id", "id").agg(F.min("rank").alias("at"))
@@ -59,7 +59,7 @@ def retrieval(ranked: DataFrame, gold: DataFrame) -> DataFrame:
         F.min(F.when(F.col("hit") == 1, F.col("at"))).alias("first"),
         F.sum(F.when(F.col("at") <= 5, F.col("hit")).otherwise(0)).alias("hits5"),
         F.sum(F.when(F.col("place") <= 5, F.col("hit") / log2(F.col("place") + 1)).otherwise(0.0)).alias("dcg"),
-        F.try_divide(F.sum(F.col("hit") * F.col("precision_here")), F.sum("hit")).alias("ap"),
+        F.sum(F.when(F.col("place") <= 5, F.col("hit") * F.col("precision_here")).otherwise(0.0)).alias("ap"),
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(5)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / log2(i + 1))
     joined = own.join(listed, "query_id").join(golds, "query_id")
@@ -71,7 +71,7 @@ def retrieval(ranked: DataFrame, gold: DataFrame) -> DataFrame:
         F.round(F.col("hits5") / F.col("n_gold"), 6).alias("recall_5"),
         F.round(F.try_divide(F.col("hits5"), F.col("n5")), 6).alias("precision_5"),
         F.round(F.col("dcg") / ideal, 6).alias("ndcg_5"),
-        F.round(F.coalesce("ap", F.lit(0.0)), 6).alias("context_precision"),
+        F.round(F.col("ap") / F.least(F.col("n_gold"), F.lit(5)), 6).alias("context_precision"),
     )
 
 
@@ -153,3 +153,45 @@ def cutoffs(ranked: DataFrame, gold: DataFrame, at: tuple[int, ...] = (5, 10, 30
     for k in at:
         columns += [F.round(F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))), 6).alias(f"hit_{k}"), F.round(F.avg(F.coalesce(F.col(f"h{k}"), F.lit(0)) / F.col("n_gold")), 6).alias(f"recall_{k}"), F.round(F.avg(F.when(F.col("first") <= k, 1.0 / F.col("first")).otherwise(0.0)), 6).alias(f"mrr_{k}")]
     return per.agg(*columns)
+
+
+def context_recall(ranked: DataFrame, answers: DataFrame, articles: DataFrame) -> DataFrame:
+    """(query_id, context_recall): 1 if a retrieved article states an answer, spaces and signs aside.
+
+    ranked has query_id and id, answers has query_id and answer, articles has id and text. Mere
+    numbers are no answers here; a query without others is left out. Every article is folded once,
+    and only those that are retrieved.
+    """
+    given = answers.where(~F.replace("answer", F.lit(","), F.lit("")).rlike("^[0-9]+$")).select("query_id", tx.compact(F.col("answer")).alias("_a")).distinct()
+    wanted = ranked.select("id").distinct()
+    texts = articles.join(wanted, "id", "left_semi").select("id", tx.compact(F.coalesce("text", F.lit(""))).alias("_t"))
+    found = ranked.select("query_id", "id").distinct().join(given, "query_id").join(texts, "id").where(F.contains("_t", "_a")).select("query_id").distinct().withColumn("_hit", F.lit(1))
+    return given.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("_hit", F.lit(0)).alias("context_recall"))
+
+
+def spread(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Mean, sum, minimum, maximum and median (of an even number: the mean of the middle two) of columns by group, one row a column."""
+    long = rows.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(keys, values, "measure", "value").where("value is not null")
+    return long.groupBy(*keys, "measure").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), F.median("value").alias("median"))
+
+
+def measures_wide(rows: DataFrame, pipeline: str, measures: list[str]) -> DataFrame:
+    """One row a measure, a column a pipeline, as thousandths rounded to tenths of a percent."""
+    names = [r[0] for r in rows.select(pipeline).distinct().orderBy(pipeline).limit(100).collect()]  # pipelines are few
+    long = rows.select(pipeline, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot([pipeline], measures, "measure", "value")
+    return long.groupBy("measure").pivot(pipeline, names).agg(F.floor(F.avg("value") * 1000 + 0.5) / 10)
+
+
+def shapes(questions: DataFrame) -> DataFrame:
+    """Questions by type, and all of them: how many, with how many gold documents, and with several answers."""
+    sums = [F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.size("gold_doc_ids")), 6).alias("mean_golds"), F.count_if(F.size("answers") > 1).alias("several_answers")]
+    return questions.groupBy("qtype").agg(*sums).unionByName(questions.agg(F.lit("all").alias("qtype"), *sums))
+
+
+def dense_cutoffs(ranked: DataFrame, gold: DataFrame, at: tuple[int, ...] = (5, 10, 30)) -> DataFrame:
+    """The cutoffs of a ranking of passages (query_id, id, rank) whose document may come again.
+
+    Ranks are those of passages: a document that is there twice takes two places; recall counts it once.
+    """
+    first = ranked.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    return cutoffs(first, gold, at)

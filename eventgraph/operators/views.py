@@ -49,8 +49,10 @@ def investigation(chosen: DataFrame, events: DataFrame, precedes: DataFrame) ->
     edge = lambda rows, kind, node: rows.where(node.isNotNull()).select("event_id", F.lit(kind).alias("kind"), node.cast("string").alias("node"))
     back = chosen.select("event_id").join(precedes, F.col("event_id") == F.col("src"))
     ahead = chosen.select("event_id").join(precedes, F.col("event_id") == F.col("dst"))
-    others = events.select(F.col("event_id").alias("other"), "sport", "year", "season")
-    rivals = chosen.select("event_id", "sport", "year", "season").join(others, ["sport", "year", "season"]).where("event_id <> other")
+    # an event's first rivals are among its group's first events, so no group is paired with itself
+    group = ["sport", "year", "season"]
+    first = events.select(F.col("event_id").alias("other"), *group).withColumn("_o", F.row_number().over(W.partitionBy(*group).orderBy("other"))).where(F.col("_o") <= RIVALS + 1)
+    rivals = chosen.select("event_id", *group).join(first, group).where("event_id <> other")
     rivals = rivals.withColumn("_k", F.row_number().over(W.partitionBy("event_id").orderBy("other"))).where(F.col("_k") <= RIVALS)
     parts = [edge(chosen, "GAMES", games()), edge(chosen, "SPORT", F.col("sport")), edge(chosen, "VENUE", F.col("venue")), edge(back, "PREVIOUS", F.col("dst")), edge(ahead, "NEXT", F.col("src")), edge(rivals, "RIVAL", F.col("other"))]
     return reduce(DataFrame.unionByName, parts)

@@ -73,8 +73,8 @@ def lanes(spark, folder):
     return agent.side_by_side({"rag": lane("qid % 2 = 0", "event_type"), "graph": lane("qid % 3 = 0", "props"), "agentic": lane("qid % 5 <> 0", "user_id")})
 
 
-@query("citations", "with r as (select user_id qid, event_id % 3 lane, case when value < 3 then 'Not found in corpus.' else event_type end answer, [event_id % 7, event_id % 5, event_id % 7] doc_ids from events where event_id < 600), g as (select qid, lane, unnest(doc_ids) doc_id, generate_subscripts(doc_ids, 1) i from r where not regexp_matches(answer, '(?i)^not found in corpus\\.?$')), f as (select qid, doc_id, min((lane, i)) k from g group by all) select qid, doc_id, row_number() over (partition by qid order by k, doc_id)::int n from f")
+@query("citations", "with r as (select user_id qid, event_id % 3 lane, case when value < 3 then 'Not found in corpus.' else event_type end answer, [event_id % 7, event_id % 5, event_id % 7] doc_ids from events), g as (select qid, lane, unnest(doc_ids) doc_id, generate_subscripts(doc_ids, 1) i from r where not regexp_matches(answer, '(?i)^not found in corpus\\.?$')), f as (select qid, doc_id, min((lane, i)) k from g group by all) select qid, doc_id, row_number() over (partition by qid order by k, doc_id)::int n from f")
 def citations(spark, folder):
-    rows = table(spark, folder, "events").where("event_id < 600")
+    rows = table(spark, folder, "events")
     results = rows.select(F.col("user_id").alias("qid"), (F.col("event_id") % 3).alias("lane"), F.when(F.col("value") < 3, "Not found in corpus.").otherwise(F.col("event_type")).alias("answer"), F.array(F.col("event_id") % 7, F.col("event_id") % 5, F.col("event_id") % 7).alias("doc_ids"))
     return agent.cited(results).withColumnRenamed("at", "n")

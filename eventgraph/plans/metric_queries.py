@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventgraph.functions import text as tx
-from eventgraph.operators import metrics
+from eventgraph.operators import metrics, retrieval
 from eventgraph.plans.registry import query
-from eventgraph.plans.text_queries import COSINE, TOKENS, near
+from eventgraph.plans.text_queries import BM25, COMPACT, COSINE, TOKENS, asked, corpus, near
 from eventgraph.session import table
 
-RANKED = f"{COSINE}, ra as (select query_id, id, rank from ct where rank <= 10), go as (select a.vec_id query_id, b.vec_id id from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id < 40 and b.vec_id < 300)"
+RANKED = f"{COSINE}, ra as (select query_id, id, rank from ct where rank <= 10), go as (select a.vec_id query_id, b.vec_id id from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0)"
 MARKED = f"{RANKED}, ma as (select ra.*, (go.id is not null)::int hit from ra left join go using (query_id, id)), ng as (select query_id, count(*) n_gold from go group by query_id)"
 
 
 def rankings(spark, folder):
-    """Ten neighbours of each of 40 vectors, and as golds the first 300 vectors' label mates."""
+    """Ten neighbours of each vector whose id is divisible by 100, and all its label mates as golds."""
     labels = table(spark, folder, "embeddings").select("vec_id", "label")
-    left = labels.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "label")
-    gold = left.join(labels.where("vec_id < 300"), "label").where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"))
+    left = labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    gold = left.join(labels, "label").where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"))
     return near(spark, folder, 10).select("query_id", "id", "rank"), gold
 
 
 IR = f"""with {MARKED}, cu as (select *, sum(hit) over (partition by query_id order by rank) / rank pr from ma)
 select query_id, coalesce(min(case when hit = 1 then rank end) = 1, false)::int hit_1, coalesce(min(case when hit = 1 then rank end) <= 5, false)::int hit_5, round(coalesce(1.0 / min(case when hit = 1 then rank end), 0), 6) mrr,
  round(sum(case when rank <= 5 then hit else 0 end) / any_value(n_gold), 6) recall_5, round(sum(case when rank <= 5 then hit else 0 end) / count(*) filter (rank <= 5), 6) precision_5,
- round(sum(case when rank <= 5 then hit / log2(rank + 1) else 0 end) / (select sum(1 / log2(i + 1)) from range(1, 6) t(i) where i <= any_value(n_gold)), 6) ndcg_5, round(coalesce(sum(hit * pr) / nullif(sum(hit), 0), 0), 6) context_precision
+ round(sum(case when rank <= 5 then hit / log2(rank + 1) else 0 end) / (select sum(1 / log2(i + 1)) from range(1, 6) t(i) where i <= any_value(n_gold)), 6) ndcg_5, round(sum(case when rank <= 5 then hit * pr else 0 end) / least(any_value(n_gold), 5), 6) context_precision
 from cu join ng using (query_id) group by query_id"""
 IR = IR.replace("(select sum(1 / log2(i + 1)) from range(1, 6) t(i) where i <= any_value(n_gold))", "list_sum(list_transform(range(1, least(any_value(n_gold), 5) + 1), lambda i: 1 / log2(i + 1)))")
 
@@ -152,3 +152,39 @@ def accuracy_pivot(spark, folder):
 @query("answer_tokens", "select doc_id, greatest(1, length(text) // 4)::bigint tokens, regexp_matches(text, '(?i)^not found in corpus\\.?$') missing from documents where text is not null")
 def answer_tokens(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", tx.approximate_tokens(F.col("text")).alias("tokens"), tx.not_found(F.col("text")).alias("missing"))
+
+
+@query("context_recall", f"with {BM25}, an as (select item_id query_id, array_to_string(string_split(text, ' ')[2:4], ' ') answer from benchmark), gi as (select query_id, {COMPACT.format(t='answer')} a from an where not regexp_full_match(replace(answer, ',', ''), '[0-9]+')), hi as (select distinct query_id from bm join gi using (query_id) join documents using (doc_id) where rank <= 5 and contains({COMPACT.format(t='coalesce(text, chr(32))')}, a)) select distinct query_id, (hi.query_id is not null)::int context_recall from gi left join hi using (query_id)")
+def context_recall(spark, folder):
+    words = F.split("text", " ")
+    given = asked(spark, folder).select("query_id", F.array_join(F.slice(words, 2, 3), " ").alias("answer"))
+    docs = corpus(spark, folder)
+    ranked = retrieval.bm25(asked(spark, folder), docs, 5).select("query_id", F.col("doc_id").alias("id"))
+    return metrics.context_recall(ranked, given, docs.select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("measure_spread", f"with {RESULTS}, lo as (select pipeline, 'latency' measure, latency::double as value from re union all select pipeline, 'input_tokens', input_tokens::double from re union all select pipeline, 'correct', correct::double from re) select pipeline, measure, round(avg(value), 6) mean, round(sum(value), 6) total, min(value) least, max(value) most, median(value) median from lo where value is not null group by all")
+def measure_spread(spark, folder):
+    return metrics.spread(results(spark, folder), ["pipeline"], ["latency", "input_tokens", "correct"])
+
+
+@query("measures_wide", f"with {RESULTS}, lo as (select pipeline, 'correct' measure, correct::double as value from re union all select pipeline, 'fast', (latency < 30)::int::double from re) select measure, " + ", ".join(f"floor(avg(value) filter (pipeline = '{p}') * 1000 + 0.5) / 10 {p}" for p in ("click", "error", "purchase", "signup", "view")) + " from lo group by measure")
+def measures_wide(spark, folder):
+    rows = results(spark, folder).withColumn("fast", (F.col("latency") < 30).cast("int"))
+    return metrics.measures_wide(rows, "pipeline", ["correct", "fast"])
+
+
+@query("question_shapes", "with q as (select 'type ' || (user_id % 4) qtype, event_id % 4 g, event_id % 3 a from events) select coalesce(qtype, 'all') qtype, count(*) questions, round(avg(g), 6) mean_golds, count(*) filter (a > 1) several_answers from q group by grouping sets ((qtype), ())")
+def question_shapes(spark, folder):
+    rows = table(spark, folder, "events")
+    many = lambda n: F.slice(F.array(*[F.lit(str(i)) for i in range(4)]), F.lit(1), n.cast("int"))
+    questions = rows.select(F.concat(F.lit("type "), (F.col("user_id") % 4).cast("string")).alias("qtype"), many(F.col("event_id") % 4).alias("gold_doc_ids"), many(F.col("event_id") % 3).alias("answers"))
+    return metrics.shapes(questions)
+
+
+@query("dense_cutoffs", f"with {COSINE}, ra as (select query_id, id // 2 id, rank from ct where rank <= 30), go as (select distinct a.vec_id query_id, b.vec_id // 2 id from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0), f as (select query_id, id, min(rank) rank from ra group by all), pe as (select g.query_id, count(*) n, min(rank) f, " + ", ".join(f"count(*) filter (rank <= {k}) h{k}" for k in (5, 10, 30)) + " from go g left join f on f.query_id = g.query_id and f.id = g.id group by g.query_id) select " + ", ".join(f"round(avg(coalesce(f <= {k}, false)::int), 6) hit_{k}, round(avg(h{k} / n), 6) recall_{k}, round(avg(case when f <= {k} then 1.0 / f else 0 end), 6) mrr_{k}" for k in (5, 10, 30)) + " from pe")
+def dense_cutoffs(spark, folder):
+    """Two neighbouring vectors stand for the passages of one document."""
+    _, gold = rankings(spark, folder)
+    ranked = near(spark, folder, 30).select("query_id", F.floor(F.col("id") / 2).alias("id"), "rank")
+    return metrics.dense_cutoffs(ranked, gold.select("query_id", F.floor(F.col("id") / 2).alias("id")))

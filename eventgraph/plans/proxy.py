@@ -13,21 +13,16 @@ from pyspark.sql import functions as F
 from eventgraph.session import table
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """The event vertices with the attributes of their HELD_AT edge."""
-    line, supplier = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    lines = line.join(supplier, line.l_suppkey == supplier.s_suppkey, "left").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s_nationkey").alias("nations"))
+def events(spark: SparkSession, folder: str, counted: bool = True) -> DataFrame:
+    """The event vertices with the attributes of their HELD_AT edge.
+
+    Without counts neither lines nor documents are read, and what comes from them is left out.
+    """
     customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    size = table(spark, folder, "documents").agg(F.count(F.lit(1)).alias("_docs"))
-    joined = (
-        orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
-        .join(customer, orders.o_custkey == customer.c_custkey, "left")
-        .join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-        .crossJoin(F.broadcast(size))  # one row
-    )
-    return joined.select(
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+    own = [
         F.col("o_orderkey").alias("event_id"),
         F.concat(F.lower("c_mktsegment"), F.lit(" final "), (F.col("o_orderkey") % 40).cast("string")).alias("name"),
         F.year("o_orderdate").alias("year"),
@@ -37,12 +32,15 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_name").alias("venue"),
         F.date_format("o_orderdate", "d MMMM").alias("start_date"),
         F.col("o_orderdate").alias("event_date"),
-        F.coalesce("n", F.lit(0)).alias("competitor_count"),
-        F.coalesce("nations", F.lit(0)).alias("nation_count"),
-        F.col("c_name").alias("gold_athlete"),
-        F.col("o_custkey").alias("series_id"),
-        (F.col("o_orderkey") % F.col("_docs")).alias("doc_id"),
-    )
+    ]
+    if not counted:
+        return joined.select(*own, F.col("c_name").alias("gold_athlete"), F.col("o_custkey").alias("series_id"))
+    line, supplier = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    lines = line.join(supplier, line.l_suppkey == supplier.s_suppkey, "left").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s_nationkey").alias("nations"))
+    size = table(spark, folder, "documents").agg(F.count(F.lit(1)).alias("_docs"))
+    joined = joined.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").crossJoin(F.broadcast(size))  # one row
+    counts = [F.coalesce("n", F.lit(0)).alias("competitor_count"), F.coalesce("nations", F.lit(0)).alias("nation_count")]
+    return joined.select(*own, *counts, F.col("c_name").alias("gold_athlete"), F.col("o_custkey").alias("series_id"), (F.col("o_orderkey") % F.col("_docs")).alias("doc_id"))
 
 
 EVENTS = """
@@ -72,3 +70,32 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
 FACTS = """
 fa as (select event_id fact_id, user_id subject, event_type predicate, round(value, 0)::bigint as value, case when event_id % 7 <> 0 then ts end valid_from,
   null::timestamp valid_to, (event_id % 3) / 2.0 source_authority, (event_id % 5) / 4.0 confidence from events)"""
+
+
+def articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles on the events, with an infobox and a text: what a corpus of them would look like.
+
+    Titles of two in three seasons are of the grammar; every eleventh count has three zeros too many,
+    which the text contradicts; every fifth gold names two athletes run together.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = events(spark, folder).join(docs, "doc_id", "left")
+    season = F.when(F.col("season") == "F", "Summer").when(F.col("season") == "O", "Winter")
+    year, number = F.col("year").cast("string"), F.col("competitor_count").cast("string")
+    label = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Women’s ", "Men’s ", "Mixed ", "")]), (F.col("event_id") % 4 + 1).cast("int")), "name")
+    title = F.concat("sport", F.lit(" at the "), year, F.coalesce(F.concat(F.lit(" "), season, F.lit(" Olympics – "), label), F.lit(" Games")))
+    count = F.when(F.col("competitor_count") > 0, F.concat(F.lit("\n  competitors: "), number, F.when(F.col("event_id") % 11 == 0, "000").otherwise(""))).otherwise("")
+    gold = F.when(F.col("event_id") % 5 == 0, "Rudolf DombiRoland Kökény").otherwise(F.concat(F.lit("Ann "), "gold_athlete"))
+    box = F.concat(F.lit("[Infobox Olympic event]\n  event: "), label, F.lit("\n  games: "), year, F.lit(" Games"), F.coalesce(F.concat(F.lit("\n  Venue = "), "venue"), F.lit("")), F.lit("\n  date: "), "start_date", count, F.lit("\n  nations | "), F.col("nation_count").cast("string"), F.lit("\n  gold: "), gold, F.lit(" (FRA)\n  colour: red\n\n"))
+    text = F.concat(box, F.lit("There were "), number, F.lit(" competitors from many nations.\n\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")))
+    return rows.select(F.col("event_id").alias("doc_id"), title.alias("title"), text.alias("text"), F.concat(F.lit("https://example.org/"), F.col("event_id").cast("string")).alias("url"), F.concat(F.lit("Q"), F.col("event_id").cast("string")).alias("wikidata_qid"), F.col("event_id").cast("int").alias("wikipedia_pageid"), F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int").alias("approx_tokens"))
+
+
+#: What the articles of a corpus say, straight from the events.
+ARTICLES = """
+ar as (select event_id, year, competitor_count, nation_count, venue, start_date, sport, case season when 'F' then 'Summer' when 'O' then 'Winter' end season,
+  ['Women’s ', 'Men’s ', 'Mixed ', ''][event_id % 4 + 1] || name as label, case event_id % 4 when 0 then 'Women' when 1 then 'Men' when 2 then 'Mixed' end gender,
+  case when event_id % 5 = 0 then 'Rudolf Dombi, Roland Kökény' else 'Ann ' || gold_athlete end gold, doc_id,
+  sport || ' at the ' || year || coalesce(' ' || case season when 'F' then 'Summer' when 'O' then 'Winter' end || ' Olympics – ' || ['Women’s ', 'Men’s ', 'Mixed ', ''][event_id % 4 + 1] || name, ' Games') title from ev),
+ch as (select event_id, lag(event_id) over w prev, lead(event_id) over w next, year - lag(year) over w b, lead(year) over w - year a from ar where season is not null
+  window w as (partition by sport, regexp_replace(lower(label), '[,–—\\-''"]', ' ', 'g') order by year, event_id))"""
