@@ -40,11 +40,21 @@ def evidence(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     return hits.groupBy("question_id").agg(F.min_by("line", F.struct("_k", "_at")).alias("line"))
 
 
+#: How a line of an infobox begins.
+BOXED = "(?i)^\\s*(?:\\[infobox|[a-z_ ]{2,30}\\s*[:=])"
+
+
+def prose(chunks: DataFrame) -> DataFrame:
+    """The sentences of chunks outside infoboxes, with their place (_line, _at); other columns stay but the text."""
+    kept = [c for c in chunks.columns if c != "text"]
+    lines = chunks.select(*kept, F.posexplode(F.split("text", "\n")).alias("_line", "line")).where(~F.col("line").rlike(BOXED))
+    return lines.select(*kept, "_line", F.posexplode(F.split("line", "(?<=[.!?])\\s+")).alias("_at", "sentence"))
+
+
 def restated(chunks: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, sentence): the first sentence of a document's prose lines that matches a pattern."""
-    lines = chunks.select("doc_id", "chunk_index", F.posexplode(F.split("text", "\n")).alias("_line", "line")).where(~F.col("line").rlike("^\\s*[^:|]{1,40}[:|=]\\s"))
-    sentences = lines.select("doc_id", "chunk_index", "_line", F.posexplode(F.split("line", "(?<=[.!?])\\s+")).alias("_at", "sentence"))
-    return sentences.where(F.col("sentence").rlike(pattern)).groupBy("doc_id").agg(F.min_by("sentence", F.struct("chunk_index", "_line", "_at")).alias("sentence"))
+    """(doc_id, sentence): the first sentence of a document's prose that matches a pattern."""
+    found = prose(chunks.select("doc_id", "chunk_index", "text")).where(F.col("sentence").rlike(pattern))
+    return found.groupBy("doc_id").agg(F.min_by("sentence", F.struct("chunk_index", "_line", "_at")).alias("sentence"))
 
 
 def asked_kind(question: Column) -> Column:

@@ -11,14 +11,19 @@ TOLERANCE = 1e-4
 FLOOR, P_BOUNDS, MARGINS = 0.05, (0.05, 0.99), (0.04, 0.35)
 
 
-def parse_time(value: Column) -> Column:
-    """A timestamp (UTC, without zone) from a year of 1800-2200, epoch seconds or date text; else null."""
-    text = F.trim(value.cast("string"))
-    year = F.when(text.rlike("^\\d{4}$") & text.try_cast("int").between(1800, 2200), F.concat(text, F.lit("-01-01")).try_cast("timestamp_ntz"))
-    seconds = F.when(text.rlike("^-?\\d{5,}(\\.\\d+)?$"), F.timestamp_seconds(text.try_cast("double")).cast("timestamp_ntz"))
+def parse_time(text: Column) -> Column:
+    """A timestamp (UTC, without zone) from a text: four digits are a year, else ISO forms with or without a zone; others are null."""
+    text = F.trim(text)
+    year = F.when(text.rlike("^\\d{4}$"), F.concat(text, F.lit("-01-01")).try_cast("timestamp_ntz"))
     zoned = F.when(text.rlike("(?i)(z|[+-]\\d{2}:?\\d{2})$"), F.try_to_timestamp(text).cast("timestamp_ntz"))
-    other = F.coalesce(text.try_cast("timestamp_ntz"), F.try_to_timestamp(text, F.lit("d MMMM yyyy")).cast("timestamp_ntz"), F.try_to_timestamp(text, F.lit("dd/MM/yyyy")).cast("timestamp_ntz"))
-    return F.coalesce(year, seconds, zoned, F.when(~text.rlike("^-?\\d+$"), other))
+    plain = F.when(text.rlike("^\\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("timestamp_ntz")).when(text.rlike("^\\d{4}-\\d{2}-\\d{2}"), text.try_cast("timestamp_ntz"))
+    return F.coalesce(year, zoned, plain)
+
+
+def time_of_number(number: Column) -> Column:
+    """The same from a number: a year from 1800 to 2200, else seconds since 1970."""
+    year = F.when(number.between(1800, 2200), F.concat(F.floor(number).cast("string"), F.lit("-01-01")).try_cast("timestamp_ntz"))
+    return F.coalesce(year, F.timestamp_seconds(number.cast("double")).cast("timestamp_ntz"))
 
 
 def valid_at(instant: Column, superseded: Column | None = None) -> Column:
@@ -107,3 +112,28 @@ def conflicting_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(predicate, value_a, value_b) of two event versions' common predicates that differ; both are unpivoted."""
     left = a.select("subject", "predicate", F.col("value").alias("value_a"))
     return left.join(b.select("subject", "predicate", F.col("value").alias("value_b")), ["subject", "predicate"]).where("value_a <> value_b")
+
+
+def superseded(facts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """facts with superseded_by: the winner's id on every fact of another value than it, where a conflict was decided."""
+    decided = resolved.where(F.col("reason").isin("authority", "valid_from_timestamp", "valid_to_timestamp")).select("subject", "predicate", "winner")
+    won = decided.join(facts.select(F.col("fact_id").alias("winner"), F.col("value").alias("_won")), "winner")
+    marked = facts.join(won, ["subject", "predicate"], "left")
+    lost = F.col("winner").isNotNull() & ~F.col("value").eqNullSafe(F.col("_won"))
+    return marked.withColumn("superseded_by", F.when(lost, F.col("winner"))).drop("winner", "_won")
+
+
+def superseded_events(marked: DataFrame, event: str = "#") -> DataFrame:
+    """(event_id, superseded_by) to be merged into the event vertices; ids of facts may carry their event before a separator."""
+    of = lambda c: F.split_part(F.col(c).cast("string"), F.lit(event), F.lit(1))
+    return marked.where("superseded_by is not null").groupBy(of("fact_id").alias("event_id")).agg(F.max(of("superseded_by")).alias("superseded_by"))
+
+
+def strategy_shifts(marked: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(subject, predicate, changed, event): what a trace says of each resolution; event is JSON."""
+    lost = marked.where("superseded_by is not null").groupBy("subject", "predicate").agg(F.array_sort(F.collect_list(F.col("fact_id").cast("string"))).alias("superseded_fact_ids"))
+    told = resolved.where("reason <> 'single'").join(lost, ["subject", "predicate"], "left")
+    changed = F.col("reason") != "no_conflict"
+    ids = F.coalesce("superseded_fact_ids", F.array().cast("array<string>"))
+    event = F.to_json(F.struct(F.lit("strategy_shift").alias("event_type"), changed.alias("strategy_changed"), F.col("reason").alias("resolved_by"), F.col("winner").cast("string").alias("winner_fact_id"), ids.alias("superseded_fact_ids")), {"ignoreNullFields": "false"})
+    return told.select("subject", "predicate", changed.alias("changed"), event.alias("event"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from eventgraph.functions import text as tx
 
 LEAST, MARGIN, KEPT = 0.5, 0.15, 10
+#: Words that frame a question and name no event, and titles as questions write them.
+FRAMING = "the at in of event olympic olympics game games edition".split()
+TITLED = "(?i)^(.+?)\\s+at the\\s+(\\d{4})\\s+(\\w+)\\s+Olympics\\s*[–—-]\\s*(.+)$"
 
 
 def numbers(tokens: Column) -> Column:
@@ -97,3 +100,82 @@ def at_venue_date(asked: DataFrame, events: DataFrame) -> DataFrame:
     scored = near.select("question_id", "event_id", F.when(equal == 2, 1.0).otherwise(F.round(0.6 + 0.1 * equal, 1)).alias("score"))
     best = F.max("score").over(W.partitionBy("question_id"))
     return scored.withColumn("_best", best).where("score = _best").drop("_best")
+
+
+def label_of(name: Column) -> Column:
+    """The part of a title behind its first dash between spaces."""
+    return F.element_at(F.split(name, "\\s[–—-]\\s", 2), -1)
+
+
+def resolve_gender(phrases: DataFrame, genders: DataFrame) -> DataFrame:
+    """(phrase_id, name): the gender that a phrase is, with or without an s at its end; genders has name."""
+    key = F.replace(tx.fold(F.col("name")), F.lit(" "), F.lit(""))
+    forms = genders.distinct().select("name", F.explode(F.array(key, F.concat(key, F.lit("s")))).alias("_key"))
+    return phrases.select("phrase_id", tx.compact(F.col("phrase")).alias("_key")).join(forms, "_key").groupBy("phrase_id").agg(F.min("name").alias("name"))
+
+
+def resolve_season(phrases: DataFrame, seasons: DataFrame) -> DataFrame:
+    """(phrase_id, name): the season that a phrase is; seasons has name."""
+    known = seasons.distinct().select("name", tx.fold(F.col("name")).alias("_key"))
+    return phrases.select("phrase_id", tx.fold(F.col("phrase")).alias("_key")).join(known, "_key").groupBy("phrase_id").agg(F.min("name").alias("name"))
+
+
+def understood(questions: DataFrame, events: DataFrame) -> DataFrame:
+    """Questions (question_id, phrase, sport, year, season, gender; null: not given) with what their phrases tell.
+
+    A phrase in title form gives sport, year and season where they are not given and is left with the
+    event's label; a free phrase gives a year if just one known year stands in it, and the longest
+    sport name all of whose words do.
+    """
+    titled = F.col("phrase").rlike(TITLED)
+    part = lambda k: F.when(titled, F.regexp_extract("phrase", TITLED, k))
+    cut = questions.select("*", part(1).alias("_sport"), part(2).cast("int").alias("_year"), part(3).alias("_season"), F.coalesce(part(4), "phrase").alias("_phrase"))
+    sports = events.where("sport is not null and sport <> ''").select(F.col("sport").alias("name")).distinct()
+    seasons = events.where("season is not null and season <> ''").select(F.col("season").alias("name")).distinct()
+    named = lambda rows, column: rows.where(F.col(column).isNotNull()).select(F.col("question_id").alias("phrase_id"), F.col(column).alias("phrase"))
+    give = lambda rows, found, column: rows.join(found.select(F.col("phrase_id").alias("question_id"), F.col("name").alias("_found")), "question_id", "left").withColumn(column, F.coalesce(F.col(column), "_found")).drop("_found")
+    told = give(cut, resolve_name(named(cut, "_sport"), sports), "sport")
+    told = give(told, resolve_season(named(told, "_season"), seasons), "season").withColumn("year", F.coalesce("year", "_year"))
+    years = events.where("year > 0").select(F.col("year").cast("string").alias("_y")).distinct()
+    words = told.where("year is null").select("question_id", F.explode(tx.tokens(F.col("_phrase"))).alias("_y")).where("length(_y) = 4")
+    single = words.join(years, "_y").groupBy("question_id").agg(F.count(F.lit(1)).alias("_k"), F.max(F.col("_y").cast("int")).alias("_known")).where("_k = 1")
+    told = told.join(single.select("question_id", "_known"), "question_id", "left").withColumn("year", F.coalesce("year", "_known"))
+    told = give(told, longest_within(named(told.where("sport is null"), "_phrase"), sports), "sport")
+    return told.select(*[c for c in questions.columns if c != "phrase"], F.col("_phrase").alias("phrase"))
+
+
+def link_events(questions: DataFrame, events: DataFrame) -> DataFrame:
+    """(question_id, event_id, score, method, rank): the best events of each phrase, ten at most.
+
+    questions has question_id, phrase and what is given of sport, year, season and gender; events has
+    event_id, name and these four. A title that is equal but for spaces and signs decides (of equal
+    titles the later event). Else the F1 of the phrase's words, framing and constraints left out,
+    and the label's words counts, for events that meet the constraints; numbers must be the same, and a given
+    gender counts as a word of the phrase.
+    """
+    order = W.partitionBy("question_id").orderBy(F.desc("score"), "name", "event_id")
+    titles = events.groupBy(tx.compact(F.col("name")).alias("_key")).agg(F.max(F.struct("event_id", "year")).alias("_t"))
+    exact = questions.select("question_id", F.col("year").alias("_asked"), tx.compact(F.col("phrase")).alias("_key")).join(titles, "_key").where("_asked is null or _asked = _t.year")
+    exact = exact.select("question_id", "_t.event_id", F.lit(1.0).alias("score"), F.lit("exact_title").alias("method"), F.lit(1).alias("rank"))
+    told = understood(questions.join(exact.select("question_id"), "question_id", "left_anti"), events)
+    empty = F.array().cast("array<string>")
+    of = lambda c: F.coalesce(tx.tokens(F.col(c)), empty)
+    noise = F.concat(F.array(*[F.lit(w) for w in FRAMING]), of("sport"), of("season"), F.coalesce(F.array(F.col("year").cast("string")), empty))
+    wanted = told.select("question_id", *[F.col(c).alias(f"_{c}") for c in ("sport", "year", "season", "gender")], F.array_except(tx.tokens(F.col("phrase")), noise).alias("_w")).where(F.size("_w") > 0)
+    wanted = wanted.withColumn("_w", F.when(F.coalesce("_gender", F.lit("")) != "", F.array_union("_w", of("_gender"))).otherwise(F.col("_w"))).withColumn("_n", F.array_join(numbers(F.col("_w")), " "))
+    labels = events.select("event_id", "name", "sport", "year", "season", "gender", tx.tokens(label_of(F.col("name"))).alias("_l")).withColumn("_n", F.array_join(numbers(F.col("_l")), " "))
+    left = wanted.select("*", F.size("_w").alias("_nw"), F.explode("_w").alias("token")).drop("_w")
+    right = labels.select("*", F.size("_l").alias("_nl"), F.explode("_l").alias("token")).drop("_l")
+    meets = " and ".join(f"(_{c} is null or _{c} = {c})" for c in ("sport", "year", "season", "gender"))
+    shared = left.join(right, ["token", "_n"]).where(meets).groupBy("question_id", "event_id", "name", "_nw", "_nl").agg(F.count(F.lit(1)).alias("n"))
+    scored = shared.withColumn("score", F.round(2.0 * F.col("n") / (F.col("_nw") + F.col("_nl")), 3)).where(F.col("score") >= LEAST)
+    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= KEPT)
+    return exact.unionByName(top.select("question_id", "event_id", "score", F.lit("label_token_f1").alias("method"), "rank"))
+
+
+def resolved(links: DataFrame) -> DataFrame:
+    """(question_id, event_id): the one event of each question whose links have a clear winner."""
+    first = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
+    best = links.groupBy("question_id").agg(first(1).alias("_1"), first(2).alias("_2"), F.max(F.when(F.col("rank") == 1, F.col("event_id"))).alias("event_id"))
+    clear = F.col("_2").isNull() | ((F.col("_1") == 1.0) & (F.col("_2") < 1.0)) | (F.round(F.col("_1") - F.col("_2"), 3) >= MARGIN)
+    return best.where(clear).select("question_id", "event_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventgraph.operators import graph
+from eventgraph.operators import agent, graph, linking
 
 #: Comparison words and the inclusive bounds that each means for a threshold t.
 #: Forms that are bounded above begin at 1, because 0 is an unknown count.
@@ -112,3 +112,128 @@ def leaders(events: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, the same for a seed: the first in order of a hash of key and seed."""
     return rows.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
+
+
+#: Events of a listing, articles that support an answer and characters of each.
+LISTED, SUPPORTING, SHOWN = 25, 3, 700
+
+
+def attribute_of(links: DataFrame, events: DataFrame, attribute: str) -> DataFrame:
+    """(question_id, event_id, value): an attribute of the event that each question clearly means; empty and unknown ones are null."""
+    value = F.nullif(attribute_text(attribute), F.lit("")) if attribute.endswith("_count") else F.nullif(F.col(attribute).cast("string"), F.lit(""))
+    return linking.resolved(links).join(events.select("event_id", value.alias("value")), "event_id").select("question_id", "event_id", "value")
+
+
+def attributes_at_venue(asked: DataFrame, events: DataFrame, attribute: str) -> DataFrame:
+    """(question_id, status, candidates): the attribute of the event at a venue and date, or of each that ties.
+
+    candidates are (event, value) in order of name; status is conclusive for one event, else ambiguous.
+    """
+    found = linking.at_venue_date(asked, events).join(events.select("event_id", "name", F.coalesce(F.col(attribute).cast("string"), F.lit("")).alias("value")), "event_id")
+    options = F.array_sort(F.collect_list(F.struct(F.col("name").alias("event"), "value")))
+    return found.groupBy("question_id").agg(F.when(F.count(F.lit(1)) == 1, "conclusive").otherwise("ambiguous").alias("status"), options.alias("candidates"))
+
+
+def find_events(questions: DataFrame, events: DataFrame) -> DataFrame:
+    """(question_id, total, event_ids): for a phrase its ranked links, without one the events that meet the constraints.
+
+    Of a listing the first LISTED by id are named and all counted.
+    """
+    phrased = linking.link_events(questions.where("phrase is not null and phrase <> ''"), events)
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"])
+    linked = phrased.groupBy("question_id").agg(F.count(F.lit(1)).alias("total"), ranked.alias("event_ids"))
+    free = questions.where("phrase is null or phrase = ''").select("question_id", *[F.col(c).alias(f"_{c}") for c in ("sport", "year", "season", "gender")])
+    # by year and sport, so that a question meets only events of its own where it gives them
+    cube = events.select("event_id", "sport", "year", "season", "gender")
+    keyed = cube.select("*", F.explode(F.array(F.struct(F.col("sport").alias("s"), F.col("year").alias("y")), F.struct(F.col("sport").alias("s"), F.lit(None).cast("int").alias("y")), F.struct(F.lit(None).cast("string").alias("s"), F.col("year").alias("y")), F.struct(F.lit(None).cast("string").alias("s"), F.lit(None).cast("int").alias("y")))).alias("k"))
+    groups = keyed.join(free.select("_sport", "_year").distinct(), F.expr("k.s <=> _sport and k.y <=> _year"), "left_semi").select("event_id", "season", "gender", "k.s", "k.y")
+    met = free.join(groups, F.expr("s <=> _sport and y <=> _year and (_season is null or _season = season) and (_gender is null or _gender = gender)"))
+    placed = met.withColumn("_k", F.row_number().over(W.partitionBy("question_id").orderBy("event_id")))
+    listed = placed.groupBy("question_id").agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.when(F.col("_k") <= LISTED, F.col("event_id")))).alias("event_ids"))
+    return linked.unionByName(listed)
+
+
+def supporting(cited: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, doc_id, passage): the beginning of the first chunk of each question's first cited documents; cited has question_id, doc_id and position."""
+    first = cited.withColumn("_k", F.row_number().over(W.partitionBy("question_id").orderBy("position"))).where(F.col("_k") <= SUPPORTING)
+    return first.join(chunks.where("chunk_index = 0").select("doc_id", F.substring("text", 1, SHOWN).alias("passage")), "doc_id").select("question_id", "doc_id", "passage")
+
+
+def ties_broken(ranked: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """The leaders of rank_events, of tied ones only the one whose article says the count again, if just one does; chunks has doc_id = event_id."""
+    tied = ranked.where("n_tied > 1").select(*keys, "event_id", "competitor_count")
+    said = agent.prose(chunks.join(tied.select(F.col("event_id").alias("doc_id"), "competitor_count"), "doc_id")).where(F.rlike("sentence", F.concat(F.lit("\\b"), F.col("competitor_count").cast("string"), F.lit("\\b"))))
+    confirmed = tied.join(said.select(F.col("doc_id").alias("event_id")).distinct(), "event_id", "left_semi")
+    single = confirmed.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where("_n = 1").select(*keys, F.col("event_id").alias("_winner"))
+    return ranked.join(single, keys, "left").where("_winner is null or _winner = event_id").withColumn("n_tied", F.when(F.col("_winner").isNotNull(), 1).otherwise(F.col("n_tied"))).drop("_winner")
+
+
+def previous_or_linked(questions: DataFrame, events: DataFrame, precedes: DataFrame, attribute: str) -> DataFrame:
+    """(question_id, event_id, value, traversal): an attribute of the edition before the one that each question names.
+
+    By the PRECEDES edge of the linked event if it has exactly one; else the phrase is linked again at
+    the season's Games before the asked year. questions has question_id, phrase, year and what is given besides.
+    """
+    current = linking.resolved(linking.link_events(questions, events))
+    single = precedes.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("src"))).where("_n = 1").select(F.col("src").alias("event_id"), "dst")
+    direct = current.join(single, "event_id").select("question_id", F.col("dst").alias("event_id"), F.lit("PRECEDES").alias("traversal"))
+    left = questions.join(direct.select("question_id"), "question_id", "left_anti").join(current.join(events.select("event_id", F.col("season").alias("_season")), "event_id").select("question_id", "_season"), "question_id", "left")
+    alone = events.where("season is not null and season <> ''").groupBy("year").agg(F.min("season").alias("_only"), F.count_distinct("season").alias("_n")).where("_n = 1").select("year", "_only")
+    left = left.join(alone, "year", "left").withColumn("season", F.coalesce("season", "_season", "_only"))
+    back = left.join(previous_year(events), ["season", "year"]).where("previous_year is not null").withColumn("year", F.col("previous_year"))
+    again = linking.resolved(linking.link_events(back.select(*questions.columns), events)).select("question_id", "event_id", F.lit("previous_games").alias("traversal"))
+    both = direct.unionByName(again)
+    return both.join(events.select("event_id", F.nullif(F.col(attribute).cast("string"), F.lit("")).alias("value")), "event_id").select("question_id", "event_id", "value", "traversal")
+
+
+#: The wordings of templated questions, tried in this order.
+TEMPLATES = (
+    "how many (.+?) events at the (\\d{4}) (Summer|Winter) Olympics had more than (\\d+)",
+    "which (.+?) event at the (\\d{4}) (Summer|Winter) Olympics had the highest",
+    "held at (.+?) on (.+?)(?: at the (\\d{4}) (?:Summer|Winter) Olympics)?\\?$",
+    "in the (.+?) event at the (Summer|Winter) Olympics held immediately before (\\d{4})",
+    "competed in (.+?) at the (\\d{4}) (Summer|Winter) Olympics\\s*[–—-]\\s*(.+)\\?$",
+)
+
+
+def template_answers(questions: DataFrame, events: DataFrame) -> DataFrame:
+    """(question_id, template, answer): every answer that the events support for templated questions (question_id, question).
+
+    events has event_id, name, sport, year, season, label, competitor_count, nation_count,
+    gold_athlete, venue and start_date. More than one answer means that the question is ambiguous.
+    """
+    from eventgraph.functions import text as tx
+
+    asked, q = questions, F.col("question")
+    number = F.coalesce(*[F.when(q.rlike(t), i) for i, t in enumerate(TEMPLATES, 1)])
+    asked = asked.select("question_id", "question", number.alias("template")).where("template is not null")
+    of = lambda k, **parts: asked.where(F.col("template") == k).select("question_id", "template", *[F.regexp_extract("question", TEMPLATES[k - 1], g).alias(n) for n, g in parts.items()])
+    own = events.select("*", tx.fold(F.col("sport")).alias("_sport"))
+    same = F.expr("_sport = s and year = y and season = g")
+    games = lambda rows: rows.withColumn("s", tx.fold(F.col("s"))).withColumn("y", F.col("y").cast("int"))
+    answer = lambda rows, value: rows.select("question_id", "template", value.cast("string").alias("answer"))
+    counted = games(of(1, s=1, y=2, g=3, n=4)).join(own, same, "left").groupBy("question_id", "template").agg(F.count_if(F.col("competitor_count") > F.col("n").cast("long")).alias("answer"))
+    pool = games(of(2, s=1, y=2, g=3)).join(own.where("competitor_count > 0"), same)
+    highest = pool.withColumn("_k", F.rank().over(W.partitionBy("question_id").orderBy(F.desc("competitor_count")))).where("_k = 1")
+    golden = own.where("gold_athlete is not null and gold_athlete <> ''")
+    at = of(3, v=1, d=2, y=3).select("question_id", "template", tx.compact(F.col("v")).alias("v"), tx.compact(F.col("d")).alias("d"), F.nullif("y", F.lit("")).cast("int").alias("y"))
+    held = at.join(golden.select("*", tx.compact(F.coalesce("venue", F.lit(""))).alias("_v"), tx.compact(F.coalesce("start_date", F.lit(""))).alias("_d")), F.expr("_v = v and _d = d and (y is null or y = year)"))
+    before = of(4, p=1, g=2, y=3).withColumn("y", F.col("y").cast("int"))
+    prior = before.join(events.select(F.col("season").alias("_g"), F.col("year").alias("_y")).distinct(), F.expr("_g = g and _y < y")).groupBy("question_id", "template", "p", "g").agg(F.max("_y").alias("y"))
+    label, wanted, sport = tx.tokens(F.col("label")), tx.tokens(F.col("p")), tx.tokens(F.col("sport"))
+    fits = (F.size(F.array_except(label, wanted)) == 0) & (F.size(F.array_except(wanted, F.array_union(label, sport))) == 0)
+    earlier = prior.join(golden, F.expr("season = g and year = y")).where(fits)
+    told = of(5, s=1, y=2, g=3, e=4)
+    title = F.concat("s", F.lit(" at the "), "y", F.lit(" "), "g", F.lit(" Olympics – "), "e")
+    nations = told.select("question_id", "template", tx.compact(title).alias("_key")).join(events.where("nation_count > 0").select("nation_count", tx.compact(F.col("name")).alias("_key")), "_key")
+    parts = [answer(counted, F.col("answer")), answer(highest, F.col("name")), answer(held, F.col("gold_athlete")), answer(earlier, F.col("gold_athlete")), answer(nations, F.col("nation_count"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+def agreement(answers: DataFrame, results: DataFrame) -> DataFrame:
+    """(pipeline, agree, scored): how many of a pipeline's results (qid, pipeline, answer) equal the single answer of a templated question."""
+    from eventgraph.operators import metrics
+
+    single = answers.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"), F.min("answer").alias("_want")).where("_n = 1")
+    scored = results.join(single.select(F.col("question_id").alias("qid"), "_want"), "qid")
+    return scored.groupBy("pipeline").agg(F.count_if(metrics.answer_key(F.col("answer")) == metrics.answer_key(F.col("_want"))).alias("agree"), F.count(F.lit(1)).alias("scored"))

@@ -61,11 +61,28 @@ def version_conflicts(spark, folder):
     return bitemporal.conflicting_pairs(long, changed)
 
 
-@query("time_parsing", "select event_id, ts::timestamp parsed_iso, make_timestamp(year(ts), 1, 1, 0, 0, 0) parsed_year, to_timestamp(epoch(date_trunc('day', ts))::bigint)::timestamp parsed_epoch, null::timestamp parsed_bad from (select event_id, date_trunc('second', ts) ts from events)")
+@query("time_parsing", "select event_id, ts::timestamp parsed_iso, make_timestamp(year(ts), 1, 1, 0, 0, 0) parsed_year, to_timestamp(epoch(date_trunc('day', ts))::bigint)::timestamp parsed_epoch, make_timestamp(1800 + event_id % 400, 1, 1, 0, 0, 0) year_number, to_timestamp(event_id % 1800)::timestamp small_number, null::timestamp parsed_bad from (select event_id, date_trunc('second', ts) ts from events)")
 def time_parsing(spark, folder):
     rows = table(spark, folder, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
-    iso, year, epoch = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("ts", "yyyy"), F.unix_timestamp(F.date_trunc("day", "ts")).cast("string")
-    return rows.select("event_id", *[bitemporal.parse_time(c).alias(n) for c, n in ((iso, "parsed_iso"), (year, "parsed_year"), (epoch, "parsed_epoch"), (F.lit("no date"), "parsed_bad"))])
+    iso, year, epoch = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("ts", "yyyy"), F.unix_timestamp(F.date_trunc("day", "ts"))
+    texts = {"parsed_iso": iso, "parsed_year": year, "parsed_bad": F.lit("no date")}
+    numbers = {"parsed_epoch": epoch, "year_number": 1800 + F.col("event_id") % 400, "small_number": F.col("event_id") % 1800}
+    return rows.select("event_id", *[bitemporal.parse_time(c).alias(n) for n, c in texts.items()], *[bitemporal.time_of_number(c).alias(n) for n, c in numbers.items()])
+
+
+@query("superseded_facts", f"with {RESOLVED} select fact_id, case when reason in ('authority', 'valid_from_timestamp') and value is distinct from wv then winner end superseded_by from fa left join w on fa.subject = w.subject and fa.predicate = w.predicate")
+def superseded_facts(spark, folder):
+    rows = facts(spark, folder)
+    return bitemporal.superseded(rows, bitemporal.resolve(rows)).select("fact_id", "superseded_by")
+
+
+@query("strategy_shifts", f"with {RESOLVED}, l as (select w.subject, w.predicate, list_sort(list(fact_id::varchar)) ids from w join fa on fa.subject = w.subject and fa.predicate = w.predicate where reason in ('authority', 'valid_from_timestamp') and value is distinct from wv group by all) select w.subject, w.predicate, reason <> 'no_conflict' changed, reason resolved_by, winner::varchar winner_fact_id, coalesce(len(ids), 0)::int n_superseded from w left join l using (subject, predicate) where reason <> 'single'")
+def strategy_shifts(spark, folder):
+    rows = facts(spark, folder)
+    resolved = bitemporal.resolve(rows)
+    told = bitemporal.strategy_shifts(bitemporal.superseded(rows, resolved), resolved)
+    event = F.from_json("event", "resolved_by string, winner_fact_id string, superseded_fact_ids array<string>")
+    return told.select("subject", "predicate", "changed", event.alias("e")).select("subject", "predicate", "changed", "e.resolved_by", "e.winner_fact_id", F.size("e.superseded_fact_ids").alias("n_superseded"))
 
 
 @query("tumbling", "select time_bucket(interval '1 hour', ts) window_start, time_bucket(interval '1 hour', ts) + interval 1 hour window_end, event_type, count(*) n, round(sum(value), 6) total from events group by all")

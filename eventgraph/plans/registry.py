@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from eventgraph.plans import agent_queries, corpus_queries, fact_queries, graph_queries, metric_queries, text_queries  # noqa: E402, F401
+from eventgraph.plans import agent_queries, corpus_queries, fact_queries, graph_queries, metric_queries, text_queries, tool_queries  # noqa: E402, F401

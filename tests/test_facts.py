@@ -51,10 +51,24 @@ def test_overlap(spark):
 
 
 def test_times(spark):
-    texts = ["2001", "1700", "2001-02-03T04:05:06Z", "3 February 2001", "nothing", None, "981173106"]
+    at, day = datetime.datetime(2001, 2, 3, 4, 5, 6), datetime.datetime(2001, 2, 3)
+    texts = {"2001": datetime.datetime(2001, 1, 1), "1700": datetime.datetime(1700, 1, 1), "2001-02-03T04:05:06Z": at, "2001-02-03T05:05:06+01:00": at, " 2001-02-03 04:05:06": at, "2001-02-03": day, "20010203": day, "3 February 2001": None, "nothing": None, "981173106": None, "": None, None: None}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(bt.parse_time(F.col("t")).alias("v")).collect()
-    at = datetime.datetime(2001, 2, 3, 4, 5, 6)
-    assert [r.v for r in rows] == [datetime.datetime(2001, 1, 1), None, at, datetime.datetime(2001, 2, 3), None, None, at]
+    assert [r.v for r in rows] == list(texts.values())
+    numbers = {1896.0: datetime.datetime(1896, 1, 1), 2200.0: datetime.datetime(2200, 1, 1), 5.0: datetime.datetime(1970, 1, 1, 0, 0, 5), 981173106.0: at}
+    rows = spark.createDataFrame([(n,) for n in numbers], "n double").select(bt.time_of_number(F.col("n")).alias("v")).collect()
+    assert [r.v for r in rows] == list(numbers.values())
+
+
+def test_written_back(spark):
+    at = datetime.datetime(2001, 1, 1)
+    facts = spark.createDataFrame([("e1#a", 1, "p", "A", at, None, 0.9, 1.0), ("e2#a", 1, "p", "B", at, None, 0.5, 1.0), ("e3#a", 1, "p", "A", at, None, 0.4, 1.0), ("e4#a", 2, "p", "C", at, None, 0.9, 1.0)], SCHEMA)
+    resolved = bt.resolve(facts)
+    marked = bt.superseded(facts, resolved)
+    assert {r.fact_id: r.superseded_by for r in marked.collect()} == {"e1#a": None, "e2#a": "e1#a", "e3#a": None, "e4#a": None}
+    assert [tuple(r) for r in bt.superseded_events(marked).collect()] == [("e2", "e1")]
+    (shift,) = bt.strategy_shifts(marked, resolved).collect()
+    assert shift.changed and '"winner_fact_id":"e1#a","superseded_fact_ids":["e2#a"]' in shift.event
 
 
 SEQUENCE = [(0, True), (10, True), (20, False), (3600, True), (3605, False), (3611, True)]
