@@ -1,8 +1,9 @@
 """Text normalisation as column expressions.
 
 ``normalize`` is exact for any text (NFKD, then ASCII only) and runs as an Arrow UDF; ``ascii_fold``
-is the same for letters whose decomposition is a single ASCII letter, stays in the JVM, and is what
-the large scans use.
+is the same for all characters of the basic plane, stays in the JVM, and is what the large scans use:
+letters that decompose to one sign are translated, those that decompose to several (ligatures,
+fractions, units) are looked up sign by sign, in the few texts that hold one.
 """
 
 from __future__ import annotations
@@ -15,17 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def _latin_letters() -> tuple[str, str]:
-    """Letters beyond ASCII that decompose to one ASCII letter, and these letters."""
-    pairs = []
-    for point in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00)):
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII that decompose to one ASCII sign, and to several."""
+    one, several = {}, {}
+    for point in range(0xA0, 0xFFFE):
+        if 0xD800 <= point < 0xE000:
+            continue
         plain = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
-        if len(plain) == 1:
-            pairs.append((chr(point), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        if plain:
+            (one if len(plain) == 1 else several)[chr(point)] = plain
+    return one, several
 
 
-_ACCENTED, _PLAIN = _latin_letters()
+_ONE, _SEVERAL = _decomposed()
+_ANY_SEVERAL = "[" + "".join(_SEVERAL) + "]"
 #: Typographic signs and what they stand for in names and titles.
 _SIGNS = {"‘": "'", "’": "'", "ʼ": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", " ": " "}
 #: Months by number.
@@ -39,8 +43,11 @@ def normalize(texts: pd.Series) -> pd.Series:
 
 
 def ascii_fold(text: Column) -> Column:
-    """Accents off Latin letters, everything else beyond ASCII dropped, ends stripped."""
-    return F.trim(F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), "[^\\x00-\\x7F]", ""))
+    """Characters decomposed, everything beyond ASCII dropped, ends stripped."""
+    signs = F.str_to_map(F.lit("\n".join(f"{c}\t{plain}" for c, plain in _SEVERAL.items())), F.lit("\n"), F.lit("\t"))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(signs, c), c)), "")
+    whole = F.when(text.rlike(_ANY_SEVERAL), spelled).otherwise(text)
+    return F.trim(F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), "[^\\x00-\\x7F]", ""))
 
 
 def search_text(text: Column) -> Column:

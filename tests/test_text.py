@@ -54,6 +54,12 @@ def test_bm25(spark, query, want):
     assert retrieval.bm25(queries, docs, 0).count() == 0
 
 
+def test_fold_is_exact(spark):
+    texts = ["ﬁnal Ａthens", "Ⅻ ½ km² №7 ﬀoﬄe", "Süleymanoğlu Łódź Øre", "①② ｆｕｌｌ ㎏ …", "ǅ ǆ Ǳ", "plain", "", "中文 é", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.ascii_fold(F.col("t")).alias("a"), tx.normalize("t").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a == "final Athens"
+
+
 def test_fusion(spark):
     lists = spark.createDataFrame([(1, 0, "x", 1), (1, 0, "y", 2), (1, 0, "z", 3), (1, 1, "y", 1), (1, 1, "w", 2)], "query_id int, list_no int, id string, rank int")
     got = [(r.id, round(r.score, 6)) for r in retrieval.fused(lists, 9).orderBy("rank").collect()]
