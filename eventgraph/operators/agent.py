@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -182,3 +184,73 @@ def evidence_block(results: DataFrame) -> DataFrame:
     no_number = ~plain(F.col("answer")).rlike("^[0-9]*$") & ~tx.not_found(F.col("answer"))
     supported = F.forall(F.filter(parts, lambda p: p != ""), lambda p: F.exists("passages", lambda t: F.contains(plain(t), p)))
     return results.groupBy("pipeline").agg(F.count_if(tx.not_found(F.col("answer"))).alias("abstained"), F.count_if(F.exists(parts, lambda p: p == plain(F.col("gold")))).alias("gold_among"), F.count_if(no_number & supported).alias("grounded"), F.count_if(no_number).alias("groundable"))
+
+
+#: Fixed value: events that are read off one reply.
+CANDIDATES = 10
+
+
+@F.pandas_udf("array<struct<name:string,competitor_count:long>>")
+def event_candidates(replies: pd.Series) -> pd.Series:
+    """Name and count of the events within each JSON reply, however deep, in order, ten at most; no JSON: none.
+
+    An event is an object with v_type Event and attributes whose last part, behind dots, is name.
+    """
+
+    def walk(value, found: list) -> list:
+        if isinstance(value, dict):
+            fields = value.get("attributes") if str(value.get("v_type", "")).lower() == "event" else None
+            named = [(k.rsplit(".", 1)[-1].lower(), v) for k, v in fields.items()] if isinstance(fields, dict) else []
+            name = next((v.strip() for k, v in named if k == "name" and isinstance(v, str) and v.strip()), None)
+            if name:
+                found.append({"name": name, "competitor_count": next((v for k, v in named if k == "competitor_count" and type(v) is int), None)})
+        for inner in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
+            walk(inner, found)
+        return found
+
+    def read(text: str | None) -> list:
+        try:
+            return walk(json.loads(text), [])[:CANDIDATES]
+        except (TypeError, ValueError, RecursionError):
+            return []
+
+    return replies.map(read)
+
+
+#: Other names under which models give a tool's arguments.
+ARGUMENT_NAMES = {
+    "target_year": "year", "current_year": "year",
+    "event_name": "event", "event_name_fragment": "event", "event_fragment": "event",
+    "venue_name_fragment": "venue", "venue_fragment": "venue",
+    "target_date_fragment": "date", "order_by": "order",
+}
+
+
+def _argument(name: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in ARGUMENT_NAMES.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, name), name)
+
+
+def tool_arguments(arguments: Column, known: tuple[str, ...], numbers: tuple[str, ...] = ("year", "threshold")) -> Column:
+    """Arguments (a map of texts) under their proper names, the last of a name: empty ones and unknown names left out, numbers only if they are whole."""
+    entries = F.transform(F.map_entries(arguments), lambda e: F.struct(_argument(e["key"]).alias("key"), F.trim(e["value"]).alias("value"), (e["value"] != "").alias("given")))
+    good = F.filter(entries, lambda e: e["key"].isin(*known) & e["given"] & (~e["key"].isin(*numbers) | e["value"].rlike("^[+-]?[0-9]+$")))
+    last = F.filter(good, lambda e, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+
+def unsupported_arguments(arguments: Column, known: tuple[str, ...]) -> Column:
+    """The names of given arguments that a tool does not have; they mostly mean that another tool was meant."""
+    return F.map_keys(F.map_filter(arguments, lambda k, v: v.isNotNull() & ~v.isin("", "0") & ~_argument(k).isin(*known)))
+
+
+def presets(questions: DataFrame) -> DataFrame:
+    """Questions to choose from, without anything that gives their answers away."""
+    return questions.select("qid", "question", "qtype")
+
+
+def batch_rows(lanes: dict[str, DataFrame], chosen: list[str]) -> DataFrame:
+    """(qid, pipeline, answer) of the chosen pipelines' results; an unknown name is an error."""
+    if unknown := set(chosen) - set(lanes):
+        raise ValueError(f"unknown pipelines: {sorted(unknown)}")
+    return reduce(DataFrame.unionByName, [lanes[p].select("qid", F.lit(p).alias("pipeline"), "answer") for p in chosen])

@@ -78,3 +78,61 @@ def citations(spark, folder):
     rows = table(spark, folder, "events")
     results = rows.select(F.col("user_id").alias("qid"), (F.col("event_id") % 3).alias("lane"), F.when(F.col("value") < 3, "Not found in corpus.").otherwise(F.col("event_type")).alias("answer"), F.array(F.col("event_id") % 7, F.col("event_id") % 5, F.col("event_id") % 7).alias("doc_ids"))
     return agent.cited(results).withColumnRenamed("at", "n")
+
+
+@query("event_candidates", f"{WITH}, g as (select series_id, list({{'n': name, 'c': competitor_count}} order by event_id) l from ev group by series_id), x as (select series_id, unnest(l[:10]) e, generate_subscripts(l[:10], 1) pos from g) select series_id, (pos - 1)::int as pos, e.n as name, case when e.c > 0 then e.c end competitor_count from x")
+def event_candidates(spark, folder):
+    """Replies that nest a series' events two objects deep."""
+    count = F.when(F.col("competitor_count") > 0, F.col("competitor_count"))
+    event = F.struct(F.lit("Event").alias("v_type"), F.struct(F.col("name").alias("Events.name"), count.alias("competitor_count")).alias("attributes"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", event.alias("e")))), lambda x: x["e"])
+    replies = events(spark, folder).groupBy("series_id").agg(F.to_json(F.struct(F.struct(ordered.alias("Events")).alias("results"))).alias("reply"))
+    return replies.select("series_id", F.posexplode(agent.event_candidates("reply")).alias("pos", "e")).select("series_id", "pos", "e.*")
+
+
+@query("tool_arguments", "select event_id, case when event_id % 2 = 0 then event_type end event, case when event_id % 3 = 0 then (user_id)::varchar end as year, 'colour' unsupported from events")
+def tool_arguments(spark, folder):
+    given = F.create_map(F.lit("event_name"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), "event_type")).otherwise(""), F.lit("target_year"), F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).otherwise("about 1990"), F.lit("colour"), F.lit("red"))
+    known = ("event", "year")
+    clean = table(spark, folder, "events").select("event_id", agent.tool_arguments(given, known).alias("a"), F.array_join(agent.unsupported_arguments(given, known), ",").alias("unsupported"))
+    return clean.select("event_id", F.try_element_at("a", F.lit("event")).alias("event"), F.try_element_at("a", F.lit("year")).alias("year"), "unsupported")
+
+
+@query("batch_rows", "select event_id qid, 'rag' pipeline, event_type answer from events where event_id % 2 = 0 union all select event_id, 'graph', props from events where event_id % 3 = 0")
+def batch_rows(spark, folder):
+    rows = table(spark, folder, "events").withColumnRenamed("event_id", "qid")
+    lanes = {"rag": rows.where("qid % 2 = 0").withColumnRenamed("event_type", "answer"), "graph": rows.where("qid % 3 = 0").withColumnRenamed("props", "answer"), "agentic": rows.withColumnRenamed("props", "answer")}
+    return agent.batch_rows(lanes, ["rag", "graph"])
+
+
+@query("asked_kinds", "select event_id, case event_id % 5 when 0 then 'event' when 1 then 'person' when 2 then 'number' when 3 then 'venue' end kind from events")
+def asked_kinds(spark, folder):
+    texts = ["Which {} event had most competitors?", "Who won in {}?", "How many nations took part in {}?", "In what arena was {} held?", "What of {} then?"]
+    text = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, folder, "events").select("event_id", agent.asked_kind(F.replace(text, F.lit("{}"), F.col("event_type"))).alias("kind"))
+
+
+@query("backend_states", "select event_id, event_id % 4 in (0, 1) unavailable, case when event_id % 3 = 0 then 'chat' else 'ask' end intent from events")
+def backend_states(spark, folder):
+    message = F.element_at(F.array(*[F.lit(t) for t in ("HTTP status 503", "Request Timed Out", "no such event", "connection refused")]), (F.col("event_id") % 4 + 1).cast("int"))
+    reply = F.element_at(F.array(F.lit(" chat."), F.lit("ASK"), F.lit(None).cast("string")), (F.col("event_id") % 3 + 1).cast("int"))
+    return table(spark, folder, "events").select("event_id", agent.unavailable(message).alias("unavailable"), agent.intent(reply).alias("intent"))
+
+
+@query("evidence_block", "with r as (select event_type pipeline, event_id % 4 k, user_id % 2 = 0 known from events) select pipeline, count(*) filter (k = 0) abstained, count(*) filter (k = 1 and known) gold_among, count(*) filter (k in (1, 3) and known) grounded, count(*) filter (k in (1, 3)) groundable from r group by pipeline")
+def evidence_block(spark, folder):
+    answer = F.element_at(F.array(F.lit("Not found in corpus."), F.lit("Bo; Ada Berg"), F.lit("1,234"), F.lit("Bo")), (F.col("event_id") % 4 + 1).cast("int"))
+    known = F.col("user_id") % 2 == 0
+    rows = table(spark, folder, "events").select(F.col("event_type").alias("pipeline"), answer.alias("answer"), F.when(known, "ada berg!").otherwise("x").alias("gold"), F.when(known, F.array(F.lit("Åda Berg and Bo won."), F.lit("t"))).otherwise(F.array(F.lit("nothing"))).alias("passages"))
+    return agent.evidence_block(rows)
+
+
+@query("call_keys", "select count(distinct (event_type, user_id))::bigint n_keys from events")
+def call_keys(spark, folder):
+    """Keys of repeated calls do not depend on the order of the arguments."""
+    from eventgraph.operators import guard
+
+    one = F.create_map(F.lit("type"), "event_type", F.lit("user"), F.col("user_id").cast("string"))
+    other = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), "event_type")
+    keyed = table(spark, folder, "events").select(guard.call_key("count", F.when(F.col("event_id") % 2 == 0, one).otherwise(other)).alias("k"))
+    return keyed.agg(F.count_distinct("k").alias("n_keys"))

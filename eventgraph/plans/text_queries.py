@@ -264,3 +264,37 @@ def metadata_header(spark, folder):
 @query("guarded_query", f"{WITH} select sport, count(*) n from ev where year = 1999 group by sport")
 def guarded_query(spark, folder):
     return guard.checked(spark, "select sport, count(*) as n from events where year = 1999 group by sport", {"events": events(spark, folder, counted=False)})
+
+
+@query("distance_map", f"with {COSINE} select query_id, count(*)::int n, round(min(1 - score), 6) nearest from ct where rank <= 5 group by query_id")
+def distance_map(spark, folder):
+    found = retrieval.distance_map(near(spark, folder, 5))
+    return found.select("query_id", F.size("distances").alias("n"), F.array_min(F.map_values("distances")).alias("nearest"))
+
+
+@query("article_fields", f"{WITH} select event_id, case event_id % 4 when 0 then 'Women' when 1 then 'Men' when 2 then 'Mixed' end gender, case when event_id % 3 = 0 then 'FRA' end country, 'Ann ' || gold_athlete as athlete, event_id % 1000 as first_number, 'women' as filter from ev")
+def article_fields(spark, folder):
+    n = F.col("event_id")
+    title = F.concat(F.lit("Luge at the 2002 Winter Olympics – "), F.element_at(F.array(F.lit("Women's "), F.lit("men's "), F.lit("Mixed "), F.lit("")), (n % 4 + 1).cast("int")), F.lit("singles"))
+    gold = F.concat(F.lit("Ann "), "gold_athlete", F.when(n % 3 == 0, " (FRA)").otherwise(""))
+    number = F.concat(F.lit("about "), (n % 1000).cast("string"), F.lit(" of 7"))
+    none = F.lit(None).cast("string")
+    return events(spark, folder, counted=False).select("event_id", ingest.gender_of(none, none, title).alias("gender"), ingest.country_code(gold).alias("country"), ingest.without_country(gold).alias("athlete"), ingest.first_integer(number).alias("first_number"), ingest.gender_filter(F.lit(" Women’s")).alias("filter"))
+
+
+@query("query_keys", "select item_id, sha256('m|64|search_query|' || text) as key from benchmark")
+def query_keys(spark, folder):
+    return table(spark, folder, "benchmark").select("item_id", files.query_key("m", 64).alias("key"))
+
+
+@query("missing_queries", "with q as (select text, min(item_id) item_id from benchmark group by text) select count(*) n from q where item_id % 3 <> 0")
+def missing_queries(spark, folder):
+    asked_ = table(spark, folder, "benchmark")
+    first = asked_.groupBy("text").agg(F.min("item_id").alias("item_id"))
+    cache = first.where("item_id % 3 = 0").select(files.query_key("m", 64).alias("key"))
+    return files.missing_queries(asked_, cache, "m", 64).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("manifest", "select count(*) n_questions, '{\"k\":\"10\",\"model\":\"m\"}' settings from benchmark")
+def manifest(spark, folder):
+    return files.manifest(table(spark, folder, "benchmark"), {"model": "m", "k": "10"}).drop("questions_hash")

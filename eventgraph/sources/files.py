@@ -15,10 +15,20 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CORPUS).option("mode", "FAILFAST").json(path)
 
 
+#: Where a line stands: its file, its part of the file, and its place in that part.
+PLACE = ("file", "part", "line")
+
+
+def _place():
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"))
+
+
 def questions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Questions, the first of the file if a limit is given."""
+    """Questions; with a limit the first of the files in order of name and line."""
     rows = spark.read.schema(QUESTIONS).option("mode", "FAILFAST").json(path)
-    return rows.limit(limit) if limit else rows
+    if not limit:
+        return rows
+    return rows.select("*", _place().alias("_place")).orderBy("_place").limit(limit).drop("_place")
 
 
 def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -31,8 +41,8 @@ def corpus_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embedding_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Cache rows with the order of their lines; bad lines are left out."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """Cache rows with the place of their lines, which orders them; bad lines are left out."""
+    lines = spark.read.text(path).select("value", _place().alias("line_no"))
     return lines.select(F.from_json("value", EMBEDDINGS, {"mode": "PERMISSIVE"}).alias("r"), "line_no").where("r.chunk_id is not null").select("r.*", "line_no")
 
 
@@ -54,6 +64,23 @@ def query_key(model: str, size: int, text: str = "text"):
     return F.sha2(F.concat_ws("|", F.lit(model), F.lit(str(size)), F.lit("search_query"), F.col(text)).cast("binary"), 256)
 
 
+def missing_queries(queries: DataFrame, cache: DataFrame, model: str, size: int) -> DataFrame:
+    """Queries (text and others) whose vector is not in a cache (key) yet, each text once."""
+    keyed = queries.withColumn("key", query_key(model, size)).dropDuplicates(["key"])
+    return keyed.join(cache.select("key"), "key", "left_anti")
+
+
+def request_key(*parts: str):
+    """Key of a whole request: a hash of all its columns as JSON, so that any change is another request."""
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def answered(spark: SparkSession, requests: DataFrame, path: str, parts: tuple[str, ...]) -> DataFrame:
+    """requests with the reply that a cache of JSON lines (key, reply) has for each, else null; a malformed line is an error."""
+    cache = spark.read.schema("key string, reply string, line_no long").option("mode", "FAILFAST").json(path).dropDuplicates(["key"])
+    return requests.withColumn("key", request_key(*parts)).join(cache.select("key", "reply"), "key", "left")
+
+
 def append_embeddings(rows: DataFrame, path: str, size: int) -> None:
     """Append cache rows, all or none: a bad vector is an error before anything is written."""
     from eventgraph.operators.retrieval import valid_vector
@@ -82,8 +109,52 @@ def append_results(rows: DataFrame, path: str, spark: SparkSession, schema: str,
     rows.join(there, key, "left_anti").write.mode("append").json(path)
 
 
+def write_counted(rows: DataFrame, path: str, expected: int | None = None) -> int:
+    """Write rows as Parquet and compare what is there afterwards with what was sent; a difference is an error.
+
+    Spark repeats failed tasks itself, so there is no loop of tries.
+    """
+    sent = rows.count() if expected is None else expected
+    rows.write.mode("overwrite").parquet(path)
+    there = rows.sparkSession.read.schema(rows.schema).parquet(path).count()
+    if there != sent:
+        raise ValueError(f"{there} of {sent} rows were accepted")
+    return there
+
+
+def manifest(questions_: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """One row about a run: how many questions, a hash of them that does not depend on their order, and the settings."""
+    digest = F.sum(F.xxhash64(*questions_.columns).cast("decimal(38,0)")).cast("string")
+    told = F.to_json(F.create_map(*[F.lit(x) for kv in sorted(settings.items()) for x in kv])) if settings else F.lit("{}")
+    return questions_.agg(F.count(F.lit(1)).alias("n_questions"), F.coalesce(digest, F.lit("0")).alias("questions_hash"), told.alias("settings"))
+
+
+def create_tables(spark: SparkSession, schemas: dict[str, str]) -> None:
+    """Create what is not there of the tables, and add the columns that existing ones lack; nothing is dropped or changed."""
+    for name, columns in schemas.items():
+        spark.sql(f"create table if not exists {name} ({columns}) using parquet")
+        have = {c.lower() for c in spark.table(name).columns}
+        new = [f"{c.name} {c.dataType.simpleString()}" for c in spark.createDataFrame([], columns).schema if c.name.lower() not in have]
+        if new:
+            spark.sql(f"alter table {name} add columns ({', '.join(new)})")
+
+
+def missing_tables(spark: SparkSession, required: dict[str, str]) -> dict[str, list[str]]:
+    """Of the required tables those that are not there (no columns named), and the columns that others lack."""
+    there = {t.name.lower() for t in spark.catalog.listTables()}
+    out: dict[str, list[str]] = {}
+    for name, columns in required.items():
+        if name.lower() not in there:
+            out[name] = []
+        elif lacking := {c.name.lower() for c in spark.createDataFrame([], columns).schema} - {c.lower() for c in spark.table(name).columns}:
+            out[name] = sorted(lacking)
+    return out
+
+
 def markdown(rows: DataFrame, most: int = 200) -> str:
-    """A small report table."""
-    found = rows.limit(most).collect()
+    """A small report table in the order of its rows; more rows than that are an error, not cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows are no report")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)]) + "\n"

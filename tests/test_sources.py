@@ -45,3 +45,57 @@ def test_export(spark, tmp_path):
     files.export(rows, f"file://{tmp_path}/j", f"file://{tmp_path}/c", ("ids",))
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").first()["ids"] == "a;b"
     assert files.markdown(rows.select("qid")) == "| qid |\n|---|\n| q1 |\n"
+    with pytest.raises(ValueError, match="more than 0"):
+        files.markdown(rows.select("qid"), 0)
+
+
+def test_first_questions_of_the_files(spark, tmp_path):
+    for name, first in (("b", 3), ("a", 0)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"qid": f"q{first + i}", "question": "?"}) + "\n" for i in range(3)))
+    assert [r.qid for r in files.questions(spark, f"file://{tmp_path}", 4).collect()] == ["q0", "q1", "q2", "q3"]
+    assert files.questions(spark, f"file://{tmp_path}").count() == 6
+
+
+def test_last_row_wins_over_files(spark, tmp_path):
+    row = lambda v: json.dumps({"chunk_id": "c1", "embedding": v, "model": "m", "dimension": 1, "task": "d", "text_sha256": "x"})
+    (tmp_path / "2.jsonl").write_text(row([2.0]) + "\n" + row([3.0]))
+    (tmp_path / "1.jsonl").write_text(row([1.0]))
+    rows = files.embedding_cache(spark, f"file://{tmp_path}").orderBy("line_no").collect()
+    assert [r.embedding for r in rows] == [[1.0], [2.0], [3.0]]
+
+
+def test_response_cache(spark, tmp_path):
+    requests = spark.createDataFrame([("m", "hello", 0), ("m", "other", 0)], "model string, prompt string, temperature int")
+    parts = ("model", "prompt", "temperature")
+    key = requests.select(files.request_key(*parts).alias("k")).first()["k"]
+    (tmp_path / "c.jsonl").write_text(json.dumps({"key": key, "reply": "hi"}) + "\n")
+    assert {r.prompt: r.reply for r in files.answered(spark, requests, f"file://{tmp_path}/c.jsonl", parts).collect()} == {"hello": "hi", "other": None}
+    (tmp_path / "c.jsonl").write_text('{"key": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.answered(spark, requests, f"file://{tmp_path}/c.jsonl", parts).collect()
+
+
+def test_accepted_counts(spark, tmp_path):
+    rows = spark.range(5)
+    assert files.write_counted(rows, f"file://{tmp_path}/out") == 5
+    with pytest.raises(ValueError, match="5 of 6"):
+        files.write_counted(rows, f"file://{tmp_path}/out", 6)
+
+
+def test_manifest_ignores_order(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "qid string, question string")
+    one, other = (files.manifest(r, {"k": "1"}).first() for r in (rows, rows.orderBy("qid", ascending=False)))
+    assert one == other and one.n_questions == 2 and one.questions_hash != files.manifest(rows.limit(1), {}).first().questions_hash
+
+
+def test_tables_are_created_and_checked(spark):
+    schemas = {"vertex_a": "id string, n int", "edge_b": "src string"}
+    assert files.missing_tables(spark, schemas) == {"vertex_a": [], "edge_b": []}
+    try:
+        files.create_tables(spark, schemas)
+        assert files.missing_tables(spark, schemas | {"vertex_a": "id string, n int, valid_from timestamp"}) == {"vertex_a": ["valid_from"]}
+        files.create_tables(spark, {"vertex_a": "id string, n int, valid_from timestamp"})
+        assert spark.table("vertex_a").columns == ["id", "n", "valid_from"]
+    finally:
+        for name in schemas:
+            spark.sql(f"drop table if exists {name}")
