@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from eventgraph.functions import text as tx
 
@@ -190,7 +191,7 @@ def evidence_block(results: DataFrame) -> DataFrame:
 CANDIDATES = 10
 
 
-@F.pandas_udf("array<struct<name:string,competitor_count:long>>")
+@F.pandas_udf(ArrayType(StructType([StructField("name", StringType()), StructField("competitor_count", LongType())])))
 def event_candidates(replies: pd.Series) -> pd.Series:
     """Name and count of the events within each JSON reply, however deep, in order, ten at most; no JSON: none.
 
