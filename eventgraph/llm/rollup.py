@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventgraph.llm.common import WORD, columns_of, reliable, shared_folder, text_or_empty
+from eventgraph.llm.common import WORD, columns_of, reliable, shared_folder, spread_join, text_or_empty
 
 KEYS = ("source", "language", "tokenizer")
 SCHEMA = "source string, language string, tokenizer string, n_docs long, n_tokens long, batch long"
@@ -38,7 +38,7 @@ class Rollup:
         columns_of(deltas, "source language tokenizer sign n_tokens")
         sign = F.coalesce(F.col("sign"), F.lit(1)).cast("long")
         sums = deltas.groupBy(*KEYS).agg(F.sum(sign).alias("n_docs"), F.sum(sign * F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
-        sums = sums.withColumn("batch", F.lit(batch).cast("long")).coalesce(1)  # one row a key
+        sums = sums.withColumn("batch", F.lit(batch).cast("long"))
         sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.folder)
 
     def batches(self) -> DataFrame:
@@ -60,11 +60,11 @@ def op6_token_rollup(spark, folder: str) -> DataFrame:
     old, new = VERSIONS
     counted = docs.select("doc_id", "source", F.col("lang").alias("language"), F.sha2(text_or_empty("text").cast("binary"), 256).alias("digest"), count("text", old).alias("old"), count("text", new).alias("new"))
     counted = reliable(counted)
-    first = reliable(counted.groupBy("digest").agg(F.min("doc_id").alias("first")))
+    first = reliable(counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows")))
     delta = lambda rows, version, sign, n: rows.select("source", "language", F.lit(version).alias("tokenizer"), F.lit(sign).alias("sign"), F.col(n).alias("n_tokens"))
     inserts = delta(counted, old, 1, "old")
     revised = delta(counted, old, -1, "old").unionByName(delta(counted, new, 1, "new"))
-    copies = delta(counted.join(first, "digest").where("doc_id > first"), new, -1, "new")
+    copies = delta(spread_join(counted, first, "digest", "n_rows").where("doc_id > first"), new, -1, "new")
     store = Rollup(spark, shared_folder(spark, "token-rollup"))
     for batch, deltas in ((1, inserts), (2, revised), (3, copies), (2, revised)):
         store.commit(deltas, batch)
