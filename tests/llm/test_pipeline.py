@@ -78,6 +78,27 @@ def test_run_is_the_stages(spark, folder, stages):
     assert Counter(map(str, corpus_pipeline.run(spark, folder).select("doc_id", "ids").collect())) == Counter(map(str, stages[5].select("doc_id", "ids").collect()))
 
 
+ODD = [(1, "one two three four five six", "en", "a", 27), (1, "one two three four five six", "en", "a", 27), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "Dr Ada Berg, 555-123-4567", "en", "b", 10), (5, "word " * 30_000 + "end", "en", "b", 150_003)]
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_odd_rows_and_clashing_names(spark, folder, name, stage):
+    """Nulls, copies, a long text and columns with the names that stages use within; and an empty table."""
+    own = ("_quality", "n_entities", "_entities", "_digest", "_row", "repeats", "score", "ids")
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'mine' as `{c}`" for c in own])
+    found = stage(spark, docs, folder)
+    rows = found.collect()
+    if name == "pieces":
+        assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 1, 2, 3, 5] and all(r.text == (dict((d[0], d[1]) for d in ODD)[r.doc_id] or "") for r in rows)
+    else:
+        assert found.columns == docs.columns and all(r[c] == "mine" for r in rows for c in own)
+    if name == "near_duplicates":
+        assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 2, 3, 5]
+    if name == "personal_data":
+        assert len(rows) == len(ODD) and [r.text for r in rows if r.doc_id is None][0] != ODD[4][1] and all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+    assert stage(spark, docs.limit(0), folder).count() == 0
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_same_rows_as_sql(spark, folder, name):
     con = duckdb.connect()
