@@ -157,10 +157,10 @@ def exact_title(spark, folder):
     return linking.exact_titles(asked_, events(spark, folder, counted=False).select(F.col("event_id").alias("title_id"), F.col("name").alias("title")))
 
 
-@query("containment_join", f"{WITH}, qs as (select event_id question_id, case when event_id % 2 = 0 then venue || ' arena' else venue end v, start_date || case when event_id % 3 = 0 then ' ' || year else '' end d, year qy, event_id % 3 = 0 hasyear from ev), m as (select question_id, e.event_id, case when lower(replace(v, ' ', '')) = lower(venue) and d = start_date then 1.0 else round(0.6 + 0.1 * ((lower(replace(v, ' ', '')) = lower(venue))::int + (d = start_date)::int), 1) end score from qs join ev e on split_part(qs.d, ' ', 1) = split_part(e.start_date, ' ', 1) and split_part(qs.d, ' ', 2) = split_part(e.start_date, ' ', 2) where (contains(lower(replace(replace(v, ' ', ''), '_', '')), lower(replace(venue, '_', ''))) or contains(lower(replace(venue, '_', '')), lower(replace(replace(v, ' ', ''), '_', '')))) and (not hasyear or e.year = qy)) select question_id, event_id, score from (select *, max(score) over (partition by question_id) b from m) where score = b")
+@query("containment_join", f"{WITH}, qs as (select event_id question_id, case when event_id % 2 = 0 then venue || ' arena' else venue end v, start_date || case when event_id % 3 = 0 then ' ' || year else '' end d, year qy, event_id % 3 = 0 hasyear from ev where event_id % 100 = 0), m as (select question_id, e.event_id, case when lower(replace(v, ' ', '')) = lower(venue) and d = start_date then 1.0 else round(0.6 + 0.1 * ((lower(replace(v, ' ', '')) = lower(venue))::int + (d = start_date)::int), 1) end score from qs join ev e on split_part(qs.d, ' ', 1) = split_part(e.start_date, ' ', 1) and split_part(qs.d, ' ', 2) = split_part(e.start_date, ' ', 2) where (contains(lower(replace(replace(v, ' ', ''), '_', '')), lower(replace(venue, '_', ''))) or contains(lower(replace(venue, '_', '')), lower(replace(replace(v, ' ', ''), '_', '')))) and (not hasyear or e.year = qy)) select question_id, event_id, score from (select *, max(score) over (partition by question_id) b from m) where score = b")
 def containment_join(spark, folder):
     all_events = events(spark, folder, counted=False)
-    asked_ = all_events.select(F.col("event_id").alias("question_id"), F.when(F.col("event_id") % 2 == 0, F.concat("venue", F.lit(" arena"))).otherwise(F.col("venue")).alias("venue"), F.when(F.col("event_id") % 3 == 0, F.concat("start_date", F.lit(" "), F.col("year").cast("string"))).otherwise(F.col("start_date")).alias("date"))
+    asked_ = all_events.where("event_id % 100 = 0").select(F.col("event_id").alias("question_id"), F.when(F.col("event_id") % 2 == 0, F.concat("venue", F.lit(" arena"))).otherwise(F.col("venue")).alias("venue"), F.when(F.col("event_id") % 3 == 0, F.concat("start_date", F.lit(" "), F.col("year").cast("string"))).otherwise(F.col("start_date")).alias("date"))
     return linking.at_venue_date(asked_, all_events)
 
 
