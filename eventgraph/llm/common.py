@@ -120,3 +120,11 @@ def columns_of(df: DataFrame, needed: str) -> None:
     missing = [c for c in needed.split() if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
+
+
+def crc32_sql(digits: str, table: str) -> str:
+    """DuckDB's SQL for the CRC-32 of an ASCII string, over a table made by CRC32_TABLE_SQL."""
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({digits}, ''), lambda x: ascii(x)::ubigint)), lambda c, b: xor(c >> 8, {table}[((xor(c, b) & 255) + 1)::bigint])), 4294967295)::bigint"
+
+
+CRC32_TABLE_SQL = "select list(c order by i) crc from (select i, list_reduce(list_prepend(i::ubigint, range(8)::ubigint[]), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) r(i))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, pseudo, rollup, rules, surrogates
+from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, pseudo, rollup, rules, runs, surrogates
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_pseudo_likelihood": pseudo.op8_pseudo_likelihood,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_near_duplicates": neardup.op10_near_duplicates,
+    "op12_periodic_runs": runs.op12_periodic_runs,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op6_token_rollup": rollup.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op9_quality_rules": rules.OP9_SQL,
+    "op12_periodic_runs": runs.OP12_SQL,
 }
