@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, pseudo, rollup, rules, runs, surrogates
+from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, pseudo, rollup, rules, runs, surrogates, trie
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_near_duplicates": neardup.op10_near_duplicates,
     "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_chat_format": chat.OP7_SQL,
     "op9_quality_rules": rules.OP9_SQL,
     "op12_periodic_runs": runs.OP12_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }
