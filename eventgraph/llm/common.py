@@ -60,12 +60,12 @@ def word_count(column: str | Column) -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("long")
 
 
-def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of at most ROWS_AT_ONCE rows and, unless it is one row, BYTES_AT_ONCE bytes."""
-    if batch.num_rows > 1 and (batch.num_rows > ROWS_AT_ONCE or batch.nbytes > BYTES_AT_ONCE):
+def sliced(batch: pa.RecordBatch, rows: int = ROWS_AT_ONCE, size: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Parts of at most so many rows and, unless it is one row, so many bytes."""
+    if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > size):
         half = batch.num_rows // 2
-        yield from sliced(batch.slice(0, half))
-        yield from sliced(batch.slice(half))
+        yield from sliced(batch.slice(0, half), rows, size)
+        yield from sliced(batch.slice(half), rows, size)
     elif batch.num_rows:
         yield batch
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, pseudo, rollup, rules, runs, surrogates, trie
+from eventgraph.llm import chat, classifier, media, mixing, neardup, pieces, postings, pseudo, rollup, rules, runs, surrogates, trie
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pseudo_likelihood": pseudo.op8_pseudo_likelihood,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_near_duplicates": neardup.op10_near_duplicates,
+    "op11_decontamination": postings.op11_decontamination,
     "op12_periodic_runs": runs.op12_periodic_runs,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
@@ -23,6 +24,7 @@ ORACLES = {
     "op6_token_rollup": rollup.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op9_quality_rules": rules.OP9_SQL,
+    "op11_decontamination": postings.OP11_SQL,
     "op12_periodic_runs": runs.OP12_SQL,
     "op13_prefix_trie": trie.OP13_SQL,
 }
