@@ -190,7 +190,7 @@ def table_ranges(data: memoryview, found: dict) -> tuple[np.ndarray, np.ndarray]
 
 def fragment_ranges(data: memoryview, track: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Start, end and whether it is a key frame of each sample of a track's fragments, and their duration."""
-    starts, ends, keys, length = [], [], [], 0
+    starts, ends, keys, length, many = [], [], [], 0, 0
     for fragment in track["fragments"]:
         a, b = fragment[b"tfhd"]
         flags = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF
@@ -212,10 +212,11 @@ def fragment_ranges(data: memoryview, track: dict) -> tuple[np.ndarray, np.ndarr
                 place, at = base + struct.unpack_from(">i", data, at)[0], at + 4
             first, at = (struct.unpack_from(">I", data, at)[0], at + 4) if flags & 0x4 else (None, at)
             given = [k for k in (0x100, 0x200, 0x400, 0x800) if flags & k]
-            if at + 4 * n * len(given) > b or (not given and n * size > len(data)):
-                raise ValueError("a fragment has more samples than bytes")
+            many += n  # over all fragments: samples without bytes or tables of their own have a bound as well
+            if at + 4 * n * len(given) > b or many > len(data) or (0x200 not in given and n * size > len(data)):
+                raise ValueError("fragments have more samples than bytes")
             values = dict(zip(given, np.frombuffer(data, ">u4", n * len(given), at).astype(np.int64).reshape(n, len(given)).T)) if given else {}
-            each = values.get(0x200, np.full(n if n * bool(size) <= len(data) else 0, size, np.int64))
+            each = values[0x200] if 0x200 in values else np.full(n, size, np.int64)
             marks = values.get(0x400, np.full(len(each), plain, np.int64)).copy()
             if first is not None and len(marks):
                 marks[0] = first
@@ -248,6 +249,8 @@ def sample_ranges(data: memoryview, track: dict) -> tuple[np.ndarray, np.ndarray
         starts, ends, keys, length = np.r_[starts, more[0]], np.r_[ends, more[1]], np.r_[keys, more[2]], length + more[3]
     if len(starts) and (starts.min() < 0 or ends.max() > len(data)):
         raise ValueError("samples lie outside the file")
+    if len(starts) and int((ends - starts).sum()) > len(data):
+        raise ValueError("samples overlap")
     return starts, ends, keys, length
 
 
@@ -262,7 +265,7 @@ def _main(data: memoryview, tracks: list[dict]) -> int:
 
 def _read(data: memoryview) -> list[dict]:
     """The tracks with ranges, handler, codec, time scale and duration."""
-    tracks = layout(data)
+    tracks, many = layout(data), 0
     for track in tracks:
         a, _ = track[b"stsd"]
         track["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1")
@@ -271,6 +274,9 @@ def _read(data: memoryview) -> list[dict]:
         a, _ = track.get(b"hdlr", (None, None))
         track["handler"] = None if a is None else bytes(data[a + 8 : a + 12]).decode("latin-1")
         *track["ranges"], length = sample_ranges(data, track)
+        many += len(track["ranges"][0])
+        if many > len(data):
+            raise ValueError("tracks have more samples than bytes")
         track["duration"] = length or (stated if len(track["ranges"][0]) == 0 else 0)
         if track["duration"] >= 2**63:
             raise ValueError("a duration is out of range")
