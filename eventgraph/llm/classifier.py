@@ -7,8 +7,8 @@ minimum go into one logistic output. Scoring is linear in a text's length and ke
 memory at a time.
 
 Fit. On at most ``sample`` labelled documents (a third of them of label 0, if there are as many) and
-BYTES bytes, the first ones in order of a hash of the id that still fit; of each its whole text, all
-chunks. Only rows outside the held-out fold (crc32 of the id as text, modulo FOLDS, is 0) are
+BYTES bytes. Documents are taken in order of a hash of the id; one that does not fit into what is left
+of the bytes is passed over, and the next ones are taken all the same. Of each its whole text, all chunks. Only rows outside the held-out fold (crc32 of the id as text, modulo FOLDS, is 0) are
 read for it, and only text and label. The sample is the only thing that the driver ever holds.
 
 Defined cases. Null and empty texts: scored as one chunk of padding. Null label or id: not used for
@@ -24,10 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventgraph.llm.common import arrow_map, columns_of, utf8_views, without
+from eventgraph.llm.common import arrow_map, columns_of, reliable, utf8_views, without
 
 CHUNK, STRIDE, WIDTH, FILTERS, DEPTH = 512, 384, 5, 16, 8
 FOLDS, THRESHOLD = 5, 0.3
@@ -172,9 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     good = known.where("_label = 1").orderBy(*order).limit(sample - sample // 3)
     chosen = bad.unionByName(good)  # at most sample ids: a proven bound
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(sample)
-    upto = F.sum(F.octet_length("text").cast("long")).over(W.orderBy(*order, "text").rowsBetween(W.unboundedPreceding, 0))  # over at most sample rows
-    rows = rows.withColumn("_upto", upto).where(F.col("_upto") <= BYTES).select("doc_id", "text", F.col("_label").cast("int").alias("_label"))
-    rows = sorted((str(x["doc_id"]), bytes(x["text"]), x["_label"]) for x in rows.collect())
+    rows = reliable(rows.select("doc_id", "text", F.sha2("text", 256).alias("_digest"), F.octet_length("text").cast("long").alias("_size"), F.col("_label").cast("int").alias("_label"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("_order")))
+    left, fitting = BYTES, set()
+    for x in sorted(rows.select("_order", "_digest", "_size").collect()):  # at most sample rows
+        if x["_size"] <= left:
+            left -= x["_size"]
+            fitting.add((x["_order"], x["_digest"]))
+    some = docs.sparkSession.createDataFrame(sorted(fitting), "_order string, _digest string")
+    rows = rows.join(F.broadcast(some), ["_order", "_digest"])
+    rows = sorted((str(x["doc_id"]), bytes(x["text"]), x["_label"]) for x in rows.select("doc_id", "text", "_label").collect())
     return fit([x[1] for x in rows], [x[2] for x in rows])
 
 
