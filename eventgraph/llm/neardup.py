@@ -63,7 +63,7 @@ def shingles(data: np.ndarray) -> np.ndarray:
     starts, ends = words.word_spans(data)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    hashes = words.span_hashes(words.running(data, lower=True), starts, ends)
+    hashes = words.span_hashes(words.lanes(data, lower=True), starts, ends)
     if len(hashes) < SHINGLE:
         return words.mixed(words.windows(hashes, len(hashes)) + np.uint64(len(hashes)))
     return np.unique(words.windows(hashes, SHINGLE))

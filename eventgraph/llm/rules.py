@@ -57,7 +57,7 @@ def counts(data: np.ndarray) -> tuple[int, ...]:
         return (0,) * len(COUNTS)
     starts, ends = words.word_spans(data)
     n = len(starts)
-    sums = words.running(data)
+    view = words.lanes(data)
     inside = ~words.SPACES[data]
     chars = int((inside & ((data & 0xC0) != 0x80)).sum())
     breaks = np.flatnonzero(data == 0x0A)
@@ -65,10 +65,10 @@ def counts(data: np.ndarray) -> tuple[int, ...]:
     worded = np.searchsorted(starts, last) > np.searchsorted(starts, first)
     first, last = first[worded], last[worded]
     lines = len(first)
-    repeated_lines = lines - len(np.unique(words.span_hashes(sums, first, last))) if lines > 1 else 0
+    repeated_lines = lines - len(np.unique(words.span_hashes(view, first, last))) if lines > 1 else 0
     repeated = 0
     if n > 3:
-        threes = words.windows(words.span_hashes(sums, starts, ends), 3)
+        threes = words.windows(words.span_hashes(view, starts, ends), 3)
         order = np.argsort(threes, kind="stable")
         ranked = threes[order]
         same = ranked[1:] == ranked[:-1]
