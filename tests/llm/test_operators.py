@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -209,6 +211,46 @@ def test_hostile_files():
             assert found["error"] or found["n_samples"] == 27
 
 
+def fragmented(per_sample: bytes = b"", n: int = 3, flags: int = 0x1, size: int = 0):
+    """A file whose only track has one fragment of n samples."""
+    pack, full, b = struct.pack, media.full, media.box
+    moof = b(b"moof", b(b"traf", full(b"tfhd", pack(">I", 2)), full(b"trun", pack(">Ii", n, 200), per_sample, flags=flags)))
+    return movie((2, b"vide", b"hvc1", [], [], None), more=b(b"mvex", full(b"trex", pack(">5I", 2, 1, 40, size, 0x10000))), after=moof + b(b"mdat", bytes(400)))
+
+
+def test_fragments_of_more_samples_than_bytes():
+    """A run of samples without bytes or fields of their own is bounded by the file, alone and with others."""
+    for n in (2**32 - 1, 200_000, 10_000):
+        assert "more samples" in media.probe_bytes(fragmented(n=n))["error"]
+    assert media.probe_bytes(fragmented(n=9))["n_samples"] == 9
+    file = fragmented(n=700)
+    traf = file[file.index(b"traf") - 4 : file.index(b"mdat") - 4]
+    many = file[: file.index(b"moof") - 4] + media.box(b"moof", traf * 20) + file[file.index(b"mdat") - 4 :]
+    assert "more samples" in media.probe_bytes(many)["error"]
+
+
+def test_broken_fragments_under_a_memory_limit():
+    """Any bytes of the fragment boxes may be wrong: each file ends in a row, within a bounded memory."""
+    code = """
+import random, resource, struct, sys
+from eventgraph.llm import media
+from tests.llm.test_operators import fragmented
+files = [fragmented(), fragmented(struct.pack(">9I", *range(9)), 3, 0x701), fragmented(size=7)]
+used = int(open("/proc/self/statm").read().split()[0]) * resource.getpagesize()
+resource.setrlimit(resource.RLIMIT_AS, (used + (256 << 20),) * 2)
+r, errors = random.Random(8), 0
+for _ in range(6000):
+    file = bytearray(r.choice(files))
+    low = file.index(r.choice([b"moof", b"trun", b"tfhd", b"trex", b"moov"]))
+    for _ in range(r.randint(1, 6)):
+        at = r.randrange(low, min(low + 60, len(file) - 4))
+        file[at : at + 4] = r.choice([b"\\xff" * 4, bytes(4), struct.pack(">I", r.randrange(2**32)), struct.pack(">I", r.randrange(900))])
+    errors += media.probe_bytes(bytes(file))["error"] is not None
+assert errors > 1000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+
+
 def test_media_query(spark, folder, texts):
     for r in queries.QUERIES["op3_media"](spark, folder).collect():
         data = (texts[r.doc_id] or "").encode()
@@ -250,6 +292,23 @@ def test_score_by_brute_force(n):
     assert abs(net.score(data, net.tables()) - want) < 1e-5
 
 
+def test_a_text_that_does_not_fit_removes_no_other(spark, monkeypatch):
+    """The bound on bytes passes over a long text, first in order, and the fit is the same as without it."""
+    monkeypatch.setattr(classifier, "BYTES", 200_000)
+    rows = [(i, ("good words in a row " if i % 2 else "#$%& 123 !!! ??? ") * 6, i % 2) for i in range(400)]
+    order = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    first = min((i for i in range(1000, 20000) if zlib.crc32(str(i).encode()) % 5), key=order)
+    assert order(first) < min(order(i) for i, _, _ in rows)
+
+    def fitted(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+        return classifier.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+
+    plain, crowded = fitted(rows), fitted([*rows, (first, "x" * 300_000, 0)])
+    scores = [net.score(np.frombuffer(rows[k][1].encode(), np.uint8), net.tables()) for net in (plain, crowded) for k in (0, 1)]
+    assert scores[:2] == scores[2:] and scores[0] < 0.1 < 0.9 < scores[1]
+
+
 def test_fit_reads_whole_texts():
     """What marks a bad text stands anywhere in it, also deep in long ones."""
     r = random.Random(7)
@@ -476,6 +535,24 @@ def test_bound_holds():
         assert at <= 0.01
 
 
+def thue_morse(bits: int) -> str:
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+@pytest.mark.parametrize("bits", [3, 6, 10, 14])
+def test_hashes_of_structured_words(spark, bits):
+    """Complementary Thue-Morse strings collide under any polynomial modulo a power of two; as words, lines and shingles they differ here."""
+    one = thue_morse(bits)
+    other = one.translate(str.maketrans("ab", "ba"))
+    for a, b in ((one, other), (one + "a", one + "b"), ("a" + one, "b" + one), (one, one + "\0"), (one[:-1], one)):
+        assert rules.counts(np.frombuffer(f"{a}\n{b}".encode(), np.uint8))[3] == 0
+        assert rules.counts(np.frombuffer(f"{a}\n{a}".encode(), np.uint8))[3] == 1
+        x, y = (neardup.shingles(np.frombuffer(t.encode(), np.uint8)) for t in (a, b))
+        assert x.tolist() != y.tolist()
+    docs = spark.createDataFrame([(1, f"one two three {one} four"), (2, f"one two three {other} four")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 2}
+
+
 def test_verdicts_spare_good_documents(spark):
     good = [(i, "en", " ".join(f"w{(i * 31 + k * 17) % 997}" for k in range(80))) for i in range(400)]
     bad = [(1000 + i, "en", " ".join(f"w{(i * 37 + k * 13) % 997}###" for k in range(80))) for i in range(60)]
