@@ -1,14 +1,16 @@
 """Text normalisation as column expressions.
 
 ``normalize`` is exact for any text (NFKD, then ASCII only) and runs as an Arrow UDF; ``ascii_fold``
-is the same for all characters of the basic plane, stays in the JVM, and is what the large scans use:
-letters that decompose to one sign are translated, those that decompose to several (ligatures,
-fractions, units) are looked up sign by sign, in the few texts that hold one.
+is the same for all characters of the basic plane, stays in the JVM, and is what the large scans use.
+It does no more than a text needs: plain ASCII stays as it is; letters that decompose to one sign
+are translated; those that decompose to several (ligatures, fractions, units) are looked up sign by
+sign, in the few texts that hold one, which a test of a few wide ranges and then one of the exact ranges find.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,8 +30,20 @@ def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
     return one, several
 
 
+def _ranges(signs, gap: int) -> str:
+    """A character class that holds the signs, and what lies between signs at most gap apart."""
+    parts: list[list[int]] = []
+    for point in sorted(map(ord, signs)):
+        if parts and point - parts[-1][1] <= gap:
+            parts[-1][1] = point
+        else:
+            parts.append([point, point])
+    return "[" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in parts) + "]"
+
+
 _ONE, _SEVERAL = _decomposed()
-_ANY_SEVERAL = "[" + "".join(_SEVERAL) + "]"
+_MAYBE_SEVERAL, _ANY_SEVERAL = _ranges(_SEVERAL, 4096), _ranges(_SEVERAL, 1)
+_BEYOND_ASCII = "[^\\x00-\\x7F]"
 #: Typographic signs and what they stand for in names and titles.
 _SIGNS = {"‘": "'", "’": "'", "ʼ": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", " ": " "}
 #: Months by number.
@@ -42,12 +56,18 @@ def normalize(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().strip(), na_action="ignore")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated a single time however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ascii_fold(text: Column) -> Column:
     """Characters decomposed, everything beyond ASCII dropped, ends stripped."""
     signs = F.str_to_map(F.lit("\n".join(f"{c}\t{plain}" for c, plain in _SEVERAL.items())), F.lit("\n"), F.lit("\t"))
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(signs, c), c)), "")
-    whole = F.when(text.rlike(_ANY_SEVERAL), spelled).otherwise(text)
-    return F.trim(F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), "[^\\x00-\\x7F]", ""))
+    spelled = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(signs, c), c)), "")
+    whole = lambda t: F.when(t.rlike(_MAYBE_SEVERAL) & t.rlike(_ANY_SEVERAL), spelled(t)).otherwise(t)
+    plain = lambda t: F.regexp_replace(F.translate(whole(t), "".join(_ONE), "".join(_ONE.values())), _BEYOND_ASCII, "")
+    return once(text, lambda t: F.trim(F.when(t.rlike(_BEYOND_ASCII), plain(t)).otherwise(t)))
 
 
 def search_text(text: Column) -> Column:
