@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from eventgraph.functions import text as tx
+from eventgraph.operators.ordering import settled
 
 FIRST_DOCS, MOST_TIED, MOST_FOCUS = 5, 6, 20
 #: Head nouns behind "which", "what" and "name", and the kind of answer that they ask for.
@@ -191,31 +189,36 @@ def evidence_block(results: DataFrame) -> DataFrame:
 CANDIDATES = 10
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("name", StringType()), StructField("competitor_count", LongType())])))
-def event_candidates(replies: pd.Series) -> pd.Series:
-    """Name and count of the events within each JSON reply, however deep, in order, ten at most; no JSON: none.
+def event_candidates(replies: DataFrame, key: str = "reply_id", reply: str = "reply") -> DataFrame:
+    """(key, pos, name, competitor_count): the first CANDIDATES events within each JSON reply, however deep.
 
-    An event is an object with v_type Event and attributes whose last part, behind dots, is name.
+    An event is an object whose v_type is Event; its name and count are the attributes of which the part
+    behind the last dot says so, a text that is not blank and a whole number. Replies are read as VARIANT,
+    one level of all of them at a time; order is that of the paths, where an object's fields stand in order of their
+    names. What is no JSON holds none. Keys tell replies apart.
     """
-
-    def walk(value, found: list) -> list:
-        if isinstance(value, dict):
-            fields = value.get("attributes") if str(value.get("v_type", "")).lower() == "event" else None
-            named = [(k.rsplit(".", 1)[-1].lower(), v) for k, v in fields.items()] if isinstance(fields, dict) else []
-            name = next((v.strip() for k, v in named if k == "name" and isinstance(v, str) and v.strip()), None)
-            if name:
-                found.append({"name": name, "competitor_count": next((v for k, v in named if k == "competitor_count" and type(v) is int), None)})
-        for inner in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-            walk(inner, found)
-        return found
-
-    def read(text: str | None) -> list:
-        try:
-            return walk(json.loads(text), [])[:CANDIDATES]
-        except (TypeError, ValueError, RecursionError):
-            return []
-
-    return replies.map(read)
+    spark, found = replies.sparkSession, None
+    read = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    inner = lambda df, v: df.lateralJoin(spark.tvf.variant_explode(F.col(v).outer()))
+    level = replies.select(key, F.array().cast("array<int>").alias("path"), F.try_parse_json(reply).alias("node"))
+    while True:
+        level = settled(level.where("node is not null"))
+        if level.isEmpty():
+            break
+        events = level.where(F.lower(read(F.col("node"), "$.v_type", "string")) == "event").select(key, "path", read(F.col("node"), "$.attributes", "variant").alias("node"))
+        found = events if found is None else found.unionByName(events)
+        within = inner(level, "node").select(key, F.concat("path", F.array("pos")).alias("path"), F.col("value").alias("node"))
+        level = within.where(F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)"))
+    if found is None:
+        return replies.select(key, F.lit(0).alias("pos"), F.lit("").alias("name"), F.lit(0).cast("long").alias("competitor_count")).where(F.lit(False))
+    fields = inner(found.where("node is not null"), "node").select(key, "path", "pos", F.lower(F.regexp_extract("key", "([^.]*)$", 1)).alias("field"), F.col("value").alias("v"))
+    kind = F.schema_of_variant("v")
+    name = F.when((F.col("field") == "name") & (kind == "STRING"), F.nullif(F.trim(read(F.col("v"), "$", "string")), F.lit("")))
+    count = F.when((F.col("field") == "competitor_count") & (kind == "BIGINT"), read(F.col("v"), "$", "long"))
+    first = lambda c, as_: F.min_by(c, F.when(c.isNotNull(), F.col("pos"))).alias(as_)
+    named = fields.groupBy(key, "path").agg(first(name, "name"), first(count, "competitor_count")).where("name is not null")
+    place = F.row_number().over(W.partitionBy(key).orderBy("path")) - 1
+    return named.withColumn("pos", place).where(F.col("pos") < CANDIDATES).select(key, "pos", "name", "competitor_count")
 
 
 #: Other names under which models give a tool's arguments.

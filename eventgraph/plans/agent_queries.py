@@ -87,7 +87,7 @@ def event_candidates(spark, folder):
     event = F.struct(F.lit("Event").alias("v_type"), F.struct(F.col("name").alias("Events.name"), count.alias("competitor_count")).alias("attributes"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", event.alias("e")))), lambda x: x["e"])
     replies = events(spark, folder).groupBy("series_id").agg(F.to_json(F.struct(F.struct(ordered.alias("Events")).alias("results"))).alias("reply"))
-    return replies.select("series_id", F.posexplode(agent.event_candidates("reply")).alias("pos", "e")).select("series_id", "pos", "e.*")
+    return agent.event_candidates(replies, key="series_id")
 
 
 @query("tool_arguments", "select event_id, case when event_id % 2 = 0 then event_type end event, case when event_id % 3 = 0 then (user_id)::varchar end as year, 'colour' unsupported from events")

@@ -1,5 +1,7 @@
 """Literal questions, answers and run steps."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +57,18 @@ def test_evidence(spark):
     wanted = spark.createDataFrame([(9, 1, 1, "ADA BERG")], "question_id int, doc_id int, position int, value string")
     assert agent.evidence(chunks, wanted).first()["line"] == "gold: Ada Berg"
     assert agent.restated(chunks, "won twice").first()["sentence"] == "Ada Berg won twice."
+
+
+def test_events_within_replies(spark):
+    """Any depth, dotted field names, the first of several, ten at most; what is no JSON holds none."""
+    event = lambda name, **more: {"v_type": "Event", "attributes": {"Events.name": name} | more}
+    replies = [
+        (1, json.dumps({"results": [{"Events": [event("a", competitor_count=3), event(" b ", **{"x.competitor_count": 4})]}, [[event("c", competitor_count="5")]]]})),
+        (2, json.dumps([event(f"n{i:02}") for i in range(15)])),
+        (3, "no json"), (4, None), (5, json.dumps({"v_type": "Event", "attributes": {"name": "  "}})), (6, "7"),
+        (7, json.dumps({"v_type": "EVENT", "attributes": {"a.name": 1, "b.name": "in", "sub": event("deep", competitor_count=True)}})),
+        (8, json.dumps({"v_type": "Event", "attributes": None})), (9, json.dumps({"v_type": "Venue", "attributes": {"name": "x"}})),
+    ]
+    got = [tuple(r) for r in agent.event_candidates(spark.createDataFrame(replies, "reply_id long, reply string")).orderBy("reply_id", "pos").collect()]
+    assert got == [(1, 0, "a", 3), (1, 1, "b", 4), (1, 2, "c", None), *((2, i, f"n{i:02}", None) for i in range(10)), (7, 0, "in", None), (7, 1, "deep", None)]
+    assert agent.event_candidates(spark.createDataFrame([], "reply_id long, reply string")).count() == 0
