@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from eventgraph.functions import text as tx
 from eventgraph.operators import guard, ingest, linking, retrieval
+from eventgraph.operators.text_index import TextIndex
 from eventgraph.plans.proxy import EVENTS, events
 from eventgraph.plans.registry import query
-from eventgraph.session import table
+from eventgraph.session import shared_folder, table
 from eventgraph.sources import files
 
 WITH = f"with {EVENTS}"
@@ -42,14 +43,47 @@ def corpus(spark, folder):
     return table(spark, folder, "documents").select("doc_id", "text", "lang")
 
 
-@query("bm25_top30", f"with {BM25} select query_id, doc_id, round(score, 6) score, rank from bm where rank <= 30")
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def index_of(spark, folder) -> TextIndex:
+    """The stored index of a folder's documents; the first query of a session writes it."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _INDEXES:
+        index = TextIndex(spark, shared_folder(spark, "text-index"))
+        index.add(corpus(spark, folder))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+BM25_TOP = f"with {BM25} select query_id, doc_id, round(score, 6) score, rank from bm where rank <= 30"
+
+
+@query("bm25_top30", BM25_TOP)
 def bm25_top30(spark, folder):
+    return index_of(spark, folder).search(asked(spark, folder), 30).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_after_adding", BM25_TOP)
+def bm25_after_adding(spark, folder):
+    """The same rows from an index of the documents in German to which the others, and then all once more, are added."""
+    index, docs = TextIndex(spark, shared_folder(spark, "text-index")), corpus(spark, folder)
+    german = F.coalesce(F.col("lang") == "de", F.lit(False))
+    for part in (docs.where(german), docs.where(~german), docs):
+        index.add(part)
+    return index.search(asked(spark, folder), 30).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_scan", BM25_TOP)
+def bm25_scan(spark, folder):
+    """The same rows without an index, from one pass over the texts."""
     return retrieval.bm25(asked(spark, folder), corpus(spark, folder), 30).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_filtered", f"with {BM25}, fi as (select *, row_number() over (partition by query_id order by score desc, doc_id) k from sc where lang = 'de') select query_id, doc_id, round(score, 6) score, k as rank from fi where k <= 10")
 def bm25_filtered(spark, folder):
-    return retrieval.bm25(asked(spark, folder), corpus(spark, folder), 10, F.col("lang") == "de").withColumn("score", F.round("score", 6))
+    german = corpus(spark, folder).where("lang = 'de'").select("doc_id")
+    return index_of(spark, folder).search(asked(spark, folder), 10, german).withColumn("score", F.round("score", 6))
 
 
 @query("index_stats", f"with dt as (select {TOKENS.format(t='''coalesce(text, '')''')} ws from documents) select count(*) documents, sum(len(ws))::bigint tokens, round(avg(len(ws)), 6) average_length, (select count(distinct token) from (select unnest(ws) token from dt)) vocabulary from dt")
@@ -75,14 +109,14 @@ fr as (select query_id, id, score, row_number() over (partition by query_id orde
 
 @query("rrf_fusion", f"with {BM25}, {COSINE}, {FUSED} select query_id, id, round(score, 6) score, rank from fr where rank <= 20")
 def rrf_fusion(spark, folder):
-    sparse = retrieval.bm25(asked(spark, folder), corpus(spark, folder), 30).select("query_id", F.lit(0).alias("list_no"), F.col("doc_id").alias("id"), "rank")
+    sparse = index_of(spark, folder).search(asked(spark, folder), 30).select("query_id", F.lit(0).alias("list_no"), F.col("doc_id").alias("id"), "rank")
     dense = near(spark, folder, 30).select("query_id", F.lit(1).alias("list_no"), "id", "rank")
     return retrieval.fused(sparse.unionByName(dense), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("hybrid_distinct_docs", f"with {BM25}, {COSINE}, {FUSED}, pa as (select query_id, id, doc_id // 2 doc_id, rank from fr join (select doc_id id, doc_id from documents) using (id) where rank <= 60), on1 as (select *, row_number() over (partition by query_id, doc_id order by rank) k from pa), fin as (select query_id, id, doc_id, row_number() over (partition by query_id order by rank) final_rank from on1 where k = 1) select query_id, id, doc_id, final_rank, round(1.0 / final_rank, 9) score, true fallback from fin where final_rank <= 8")
 def hybrid_distinct_docs(spark, folder):
-    sparse = retrieval.bm25(asked(spark, folder), corpus(spark, folder), 30).select("query_id", F.col("doc_id").alias("id"), "rank")
+    sparse = index_of(spark, folder).search(asked(spark, folder), 30).select("query_id", F.col("doc_id").alias("id"), "rank")
     passages = corpus(spark, folder).select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 2).alias("doc_id"))
     return retrieval.hybrid(sparse, near(spark, folder, 30), passages, 8)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -24,3 +26,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a dataset folder; the folder may be on any store that Spark reads."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, or in the warehouse where the session names no checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
