@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventgraph.functions import text as tx
+from eventgraph.operators import setjoin
+from eventgraph.operators.ordering import settled
 
 LEAST, MARGIN, KEPT = 0.5, 0.15, 10
 #: Words that frame a question and name no event, and titles as questions write them.
@@ -22,14 +24,14 @@ def token_f1(phrases: DataFrame, labels: DataFrame) -> DataFrame:
     """(phrase_id, label_id, score): token F1 of at least LEAST; different numbers halve it.
 
     phrases has phrase_id and phrase, labels has label_id and label. Halved scores never reach LEAST
-    (numbers are tokens, so the F1 is below 1 where they differ); so pairs are joined on a token and
-    on their numbers at once, which keeps common words from meeting all labels.
+    (numbers are tokens, so the F1 is below 1 where they differ); so pairs must have equal numbers.
     """
-    left = phrases.select("phrase_id", tx.tokens(F.col("phrase")).alias("_p")).withColumn("_n", F.array_join(numbers(F.col("_p")), " "))
-    right = labels.select("label_id", tx.tokens(F.col("label")).alias("_l")).withColumn("_n", F.array_join(numbers(F.col("_l")), " "))
-    shared = left.select("phrase_id", "_n", F.size("_p").alias("_np"), F.explode("_p").alias("token")).join(right.select("label_id", "_n", F.size("_l").alias("_nl"), F.explode("_l").alias("token")), ["token", "_n"])
-    counted = shared.groupBy("phrase_id", "label_id", "_np", "_nl").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("phrase_id", "label_id", F.round(2.0 * F.col("n") / (F.col("_np") + F.col("_nl")), 3).alias("score")).where(F.col("score") >= LEAST)
+    grouped = lambda rows, text: rows.withColumn("tokens", tx.tokens(F.col(text))).withColumn("group", F.array_join(numbers(F.col("tokens")), " "))
+    left = grouped(phrases.select("phrase_id", "phrase", F.col("phrase_id").alias("row_id")), "phrase").drop("phrase")
+    right = grouped(labels.select("label_id", "label", F.col("label_id").alias("row_id")), "label").drop("label")
+    met = setjoin.similar_pairs(left, right, LEAST - 0.0005)
+    score = F.round(setjoin.dice(F.col("n"), F.size("left.tokens"), F.size("right.tokens")), 3)
+    return met.select("left.phrase_id", "right.label_id", score.alias("score")).where(F.col("score") >= LEAST)
 
 
 def ranked(matches: DataFrame) -> DataFrame:
@@ -74,28 +76,20 @@ def exact_titles(phrases: DataFrame, titles: DataFrame) -> DataFrame:
     return phrases.select("phrase_id", tx.compact(F.col("phrase")).alias("_key")).join(keyed, "_key").select("phrase_id", "title_id")
 
 
-def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
-    """The distinct stretches of the given sizes of a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.filter(F.array(*[F.substr(text, i, F.lit(n)) for n in sizes]), lambda g: g != ""))))
-
-
 def at_venue_date(asked: DataFrame, events: DataFrame) -> DataFrame:
     """(question_id, event_id, score): venue and date matches, only the best score of each question.
 
     Days and months must be equal, one venue must hold the other, and the asked years be among the
     event's. 1.0: equal venue and date; 0.6, and 0.1 more for an equal venue or an equal date text.
-    What holds a venue also holds its first three letters, so the join is on date and these; dates
-    alone are few and would let pairs grow with the square of the events.
+    Distinct venues are matched once; questions and events then meet on venue and date.
     """
     left = asked.select("question_id", tx.compact(F.col("venue")).alias("_venue"), tx.date_keys(F.col("date")).alias("_k"), tx.compact(F.col("date")).alias("_date"))
     left = left.select("question_id", "_venue", "_date", F.to_json(F.struct("_k.days", "_k.months")).alias("_at"), F.col("_k.years").alias("_years"))
     right = events.select("event_id", tx.compact(F.col("venue")).alias("_v"), tx.date_keys(F.col("start_date")).alias("_d"), F.col("year").cast("string").alias("_y"), tx.compact(F.col("start_date")).alias("_t"))
     right = right.select("event_id", "_v", "_t", "_y", F.to_json(F.struct("_d.days", "_d.months")).alias("_at"))
-    head, grams = (lambda c: F.substring(c, 1, 3)), (lambda c: F.explode(_grams(F.col(c), (1, 2, 3))))
-    holds = left.withColumn("_g", grams("_venue")).join(right.withColumn("_g", head("_v")), ["_at", "_g"]).where(F.contains("_venue", "_v"))
-    held = left.withColumn("_g", head("_venue")).join(right.withColumn("_g", grams("_v")), ["_at", "_g"]).where(F.contains("_v", "_venue") & (F.col("_v") != F.col("_venue")))
-    near = holds.unionByName(held).where(F.size(F.array_except("_years", F.array("_y"))) == 0)
+    within = setjoin.contained(left.select("_venue"), right.select("_v")).toDF("_venue", "_v")
+    met = left.join(within, "_venue").join(right, ["_v", "_at"])
+    near = met.where(F.size(F.array_except("_years", F.array("_y"))) == 0)
     equal = (F.col("_venue") == F.col("_v")).cast("int") + (F.col("_date") == F.col("_t")).cast("int")
     scored = near.select("question_id", "event_id", F.when(equal == 2, 1.0).otherwise(F.round(0.6 + 0.1 * equal, 1)).alias("score"))
     best = F.max("score").over(W.partitionBy("question_id"))
@@ -164,11 +158,11 @@ def link_events(questions: DataFrame, events: DataFrame) -> DataFrame:
     wanted = told.select("question_id", *[F.col(c).alias(f"_{c}") for c in ("sport", "year", "season", "gender")], F.array_except(tx.tokens(F.col("phrase")), noise).alias("_w")).where(F.size("_w") > 0)
     wanted = wanted.withColumn("_w", F.when(F.coalesce("_gender", F.lit("")) != "", F.array_union("_w", of("_gender"))).otherwise(F.col("_w"))).withColumn("_n", F.array_join(numbers(F.col("_w")), " "))
     labels = events.select("event_id", "name", "sport", "year", "season", "gender", tx.tokens(label_of(F.col("name"))).alias("_l")).withColumn("_n", F.array_join(numbers(F.col("_l")), " "))
-    left = wanted.select("*", F.size("_w").alias("_nw"), F.explode("_w").alias("token")).drop("_w")
-    right = labels.select("*", F.size("_l").alias("_nl"), F.explode("_l").alias("token")).drop("_l")
-    meets = " and ".join(f"(_{c} is null or _{c} = {c})" for c in ("sport", "year", "season", "gender"))
-    shared = left.join(right, ["token", "_n"]).where(meets).groupBy("question_id", "event_id", "name", "_nw", "_nl").agg(F.count(F.lit(1)).alias("n"))
-    scored = shared.withColumn("score", F.round(2.0 * F.col("n") / (F.col("_nw") + F.col("_nl")), 3)).where(F.col("score") >= LEAST)
+    grouped = lambda rows, key, tokens: rows.withColumn("row_id", F.col(key)).withColumnRenamed(tokens, "tokens").withColumnRenamed("_n", "group")
+    met = setjoin.similar_pairs(settled(grouped(wanted, "question_id", "_w")), settled(grouped(labels, "event_id", "_l")), LEAST - 0.0005)
+    meets = " and ".join(f"(left._{c} is null or left._{c} = right.{c})" for c in ("sport", "year", "season", "gender"))
+    score = F.round(setjoin.dice(F.col("n"), F.size("left.tokens"), F.size("right.tokens")), 3)
+    scored = met.where(meets).select("left.question_id", "right.event_id", "right.name", score.alias("score")).where(F.col("score") >= LEAST)
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= KEPT)
     return exact.unionByName(top.select("question_id", "event_id", "score", F.lit("label_token_f1").alias("method"), "rank"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventgraph.operators import bitemporal
+from eventgraph.operators import bitemporal, setjoin
 from eventgraph.plans.proxy import EVENTS, FACTS, events, facts
 from eventgraph.plans.registry import query
 from eventgraph.session import table
@@ -49,9 +49,8 @@ def unpivot_facts(spark, folder):
 @query("interval_overlap", "with o as (select o_orderkey, o_custkey, o_orderdate f, o_orderdate + interval 30 day t from orders) select a.o_orderkey a, b.o_orderkey b from o a join o b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and a.f <= b.t and b.f <= a.t")
 def interval_overlap(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("f"), (F.col("o_orderdate") + F.expr("interval 30 days")).alias("t"))
-    a, b = orders.alias("a"), orders.alias("b")
-    shared = bitemporal.overlaps(F.col("a.f"), F.col("a.t"), F.col("b.f"), F.col("b.t"))
-    return a.join(b, "o_custkey").where((F.col("a.o_orderkey") < F.col("b.o_orderkey")) & shared).select(F.col("a.o_orderkey").alias("a"), F.col("b.o_orderkey").alias("b"))
+    pairs = setjoin.overlapping(orders, orders, ["o_custkey"], 30 * 86400, "f", "t")
+    return pairs.where("left.o_orderkey < right.o_orderkey").select(F.col("left.o_orderkey").alias("a"), F.col("right.o_orderkey").alias("b"))
 
 
 @query("version_conflicts", f"{WITH}, v as (select event_id, predicate, value from (select event_id, unnest(['name', 'venue', 'gender']) predicate, unnest([name, venue, gender]) as value from ev)) select a.event_id subject, predicate, a.value value_a, case when a.event_id % 4 = 0 then 'other' else a.value end value_b from v a where a.value is not null and a.event_id % 4 = 0 and a.value <> 'other'")
