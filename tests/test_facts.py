@@ -1,6 +1,7 @@
 """Literal facts and requests: resolution edge cases, intervals, the rate cap and its streaming twin."""
 
 import datetime
+import random
 
 import pandas as pd
 import pytest
@@ -79,11 +80,43 @@ def test_refusals_do_not_count(spark):
     got = {r.request_id: r.accepted for r in limits.capped(rows, per_hour=2).collect()}
     assert [got[i] for i in range(len(SEQUENCE))] == [ok for _, ok in SEQUENCE]
     left = limits.snapshot(rows, limits.capped(rows, per_hour=2), 3611.0, per_hour=2).first()
-    assert (left.hour_left, left.day_left) == (0, 96)
+    assert (left.spent_today, left.visitors_last_hour, left.daily_cap, left.hourly_cap_per_visitor) == (4, 1, 100, 2)
+
+
+def one_by_one(rows, per_hour, per_day):
+    """All requests in order of time, with one counter for the day and the accepted times of each client."""
+    day, spent, times, out = None, 0, {}, {}
+    for request, client, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        if at // 86400 != day:
+            day, spent = at // 86400, 0
+        recent = [t for t in times.get(client, []) if t > at - 3600]
+        out[request] = (not per_day or spent < per_day) and (not per_hour or len(recent) < per_hour)
+        if out[request]:
+            spent += 1
+            recent.append(at)
+        times[client] = recent
+    return out
+
+
+@pytest.mark.parametrize(("per_hour", "per_day"), [(2, 25), (1, 12), (3, 0), (0, 20), (0, 0), (1, 1000)])
+def test_caps_of_all_clients_together(spark, per_hour, per_day):
+    """Both caps reached, days in a row, and a client with a third of all requests; 0 switches a cap off."""
+    r = random.Random(per_day)
+    near_midnight = lambda: r.choice([r.uniform(0, 86400), r.uniform(84000, 90000), r.uniform(84000, 90000)])
+    rows = [(i, r.choice([0, 0, 0, 1, 2, 3, 4, 5, 6]), round(86400 * r.randrange(4) + near_midnight())) for i in range(400)]
+    df = spark.createDataFrame([(i, c, float(t)) for i, c, t in rows], "request_id long, client long, at double").repartition(5)
+    got = {x.request_id: x.accepted for x in limits.capped(df, per_hour, per_day).collect()}
+    assert got == one_by_one(rows, per_hour, per_day)
+
+
+def test_requests_without_client_or_time(spark):
+    rows = spark.createDataFrame([(1, None, 5.0), (2, None, 6.0), (3, 1, None), (4, 1, 7.0)], "request_id long, client long, at double")
+    assert {x.request_id: x.accepted for x in limits.capped(rows, 1, 9).collect()} == {1: True, 2: False, 3: False, 4: True}
+    assert limits.capped(rows.limit(0)).count() == 0
 
 
 def test_day_cap(spark):
-    rows = spark.createDataFrame([(i, 1, i * 4000.0) for i in range(25)], "request_id long, client long, at double")
+    rows = spark.createDataFrame([(i, i % 3, i * 4000.0) for i in range(25)], "request_id long, client long, at double")
     got = [r.accepted for r in limits.capped(rows, per_day=5).orderBy("request_id").collect()]
     assert got[:6] == [True] * 5 + [False]
     assert got[22]  # the next day
@@ -99,8 +132,14 @@ def test_streaming_twin(spark, tmp_path):
         q = limits.capped_stream(stream, per_hour=2, expire=False).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
         assert q.awaitTermination(60)
         assert q.exception() is None
-    got = {r.request_id: r.accepted for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert [got[i] for i in range(len(SEQUENCE))] == [ok for _, ok in SEQUENCE]
+    hours = {r.request_id: r.accepted for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert [hours[i] for i in range(len(SEQUENCE))] == [ok for _, ok in SEQUENCE]
+    decided = spark.readStream.schema("request_id long, client long, at double, accepted boolean").parquet(f"{tmp_path}/out")
+    q = limits.day_capped_stream(decided, per_day=3, expire=False).writeStream.format("parquet").option("path", f"{tmp_path}/days").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    assert q.awaitTermination(60) and q.exception() is None
+    states = spark.read.format("statestore").option("stateVarName", "day").load(f"{tmp_path}/cp2")  # the snapshot of a running cap
+    assert [x.value.spent for x in states.collect()] == [3]
+    assert spark.read.parquet(f"{tmp_path}/days").where("accepted").count() == 3
 
 
 def test_windows_on_a_stream(spark, tmp_path):
