@@ -127,6 +127,16 @@ def approximate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
 
+def paced_tokens(text: Column) -> Column:
+    """A third of the characters, rounded up, as requests are paced by."""
+    return F.floor((F.length(text) + 2) / 3).cast("long")
+
+
 def register(spark) -> None:
-    """The text functions for use in SQL text."""
+    """The text functions for use in SQL text: normalize_text, search_text, fold_text and compact_text."""
     spark.udf.register("normalize_text", normalize)
+    signs = "translate(t, '" + "".join(_SIGNS).replace("'", "''") + "', '" + "".join(_SIGNS.values()).replace("'", "''") + "')"
+    spelled = f"replace(replace(lower(normalize_text({signs})), '\\'', ''), '+', ' plus ')"
+    bodies = {"search_text": "trim(regexp_replace(lower(normalize_text(t)), '[^a-z0-9]+', ' '))", "fold_text": f"trim(regexp_replace({spelled}, '[^a-z0-9]+', ' '))", "compact_text": f"regexp_replace({spelled}, '[^a-z0-9]+', '')"}
+    for name, body in bodies.items():
+        spark.sql(f"create or replace temporary function {name}(t string) returns string return {body}")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventgraph.functions import text as tx
+from eventgraph.operators.ordering import settled
 
 #: Prices of a million input and output tokens.
 PRICES = (2.50, 10.00)
 Z = 1.96
 
+#: Ranges that an order statistic is sought in at once, and pipelines that a report may have as columns.
+RANGES, MOST_COLUMNS = 1024, 100
+
 
 def answer_key(answer: Column) -> Column:
     """An answer by its letters and digits only."""
@@ -87,13 +93,30 @@ def wilson(successes: str | Column, total: str | Column) -> Column:
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles that are values of the data: the one at index round(share * (n - 1)), halves to even.
 
-    Positions come from a sort within each group, so no group is gathered in one value.
+    Nothing is sorted: rows are counted by RANGES equal ranges of value within their group, the range that
+    holds the rank is cut again between its least and greatest value, until it holds one value. A round
+    is one pass with map-side counts; three do for 10^9 different values. Null values count as not there; groups without
+    values have no row.
     """
-    given = rows.where(F.col(value).isNotNull())
-    order = W.partitionBy(*keys).orderBy(value)
-    placed = given.select(*keys, value, F.row_number().over(order).alias("_k"), F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("_n"))
-    wanted = [F.max(F.when(F.col("_k") == F.bround(F.lit(share) * (F.col("_n") - 1), 0) + 1, F.col(value))).alias(name) for name, share in shares.items()]
-    return placed.groupBy(*keys).agg(*wanted)
+    given = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    same = lambda a, b: reduce(lambda x, k: x & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")), keys, F.lit(True))
+    whole = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(s)).alias("_share")) for n, s in shares.items()]))
+    wanted = whole.select("*", named.alias("_p")).select(*keys, F.col("_p._name").alias("_name"), F.bround(F.col("_p._share") * (F.col("_n") - 1), 0).cast("long").alias("_left"), "_low", "_high")
+    wanted, done = settled(wanted), None
+    while True:
+        ready = wanted.where("_low = _high").select(*keys, "_name", F.col("_low").alias("_value"))
+        done = ready if done is None else done.unionByName(ready)
+        open_ = wanted.where("_low < _high")
+        if open_.isEmpty():
+            break
+        met = given.alias("g").join(open_.alias("w"), same("g", "w") & F.col("_v").between(F.col("_low"), F.col("_high")))
+        cut = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES), F.lit(RANGES - 1)).alias("_range")
+        counted = met.groupBy(*[F.col(f"w.{k}").alias(k) for k in keys], "_name", "_left", cut).agg(F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        before = F.coalesce(F.sum("_k").over(W.partitionBy(*keys, "_name").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # RANGES rows at most
+        placed = counted.withColumn("_before", before).where((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_k")))
+        wanted = settled(placed.select(*keys, "_name", (F.col("_left") - F.col("_before")).alias("_left"), "_low", "_high"))
+    return done.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in shares])
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -177,7 +200,9 @@ def spread(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 def measures_wide(rows: DataFrame, pipeline: str, measures: list[str]) -> DataFrame:
     """One row a measure, a column a pipeline, as thousandths rounded to tenths of a percent."""
-    names = [r[0] for r in rows.select(pipeline).distinct().orderBy(pipeline).limit(100).collect()]  # pipelines are few
+    names = [r[0] for r in rows.select(pipeline).distinct().orderBy(pipeline).limit(MOST_COLUMNS + 1).collect()]
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} pipelines are no columns")
     long = rows.select(pipeline, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot([pipeline], measures, "measure", "value")
     return long.groupBy("measure").pivot(pipeline, names).agg(F.floor(F.avg("value") * 1000 + 0.5) / 10)
 

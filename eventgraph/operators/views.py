@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventgraph.operators.ordering import numbered
+
 LINKS, RIVALS = 400, 12
 
 
@@ -73,19 +73,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Contiguous batch numbers in key order; a size of 0 or less is one batch.
 
-    Positions come from range partitions and their counts, so no task sees all rows.
+    Positions come from ranges of the key, of any type, and their counts, so no task sees all rows.
     """
     if size <= 0:
         return rows.withColumn("batch", F.lit(0).cast("long"))
-    return _numbered(rows, key).select(*rows.columns, F.floor((F.col("_n") - 1) / size).cast("long").alias("batch"))
-
-
-def _numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with _n, the position of each in key order, from the counts of 64 key ranges and positions within each."""
-    edges = rows.approxQuantile(key, [i / 64 for i in range(1, 64)], 0.005)
-    cuts = sorted(set(edges))
-    part = reduce(lambda rest, c: rest + F.when(F.col(key) >= c, 1).otherwise(0), cuts, F.lit(0))
-    dealt = rows.withColumn("_part", part)
-    ahead = dealt.groupBy("_part").count().withColumn("_ahead", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_ahead")
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(key))
-    return dealt.withColumn("_k", inside).join(F.broadcast(ahead), "_part").withColumn("_n", F.col("_k") + F.col("_ahead")).drop("_k", "_part", "_ahead")  # at most 64 rows
+    return numbered(rows, key, into="_n").select(*rows.columns, F.floor(F.col("_n") / size).cast("long").alias("batch"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventgraph.functions import tools
 from eventgraph.operators import graph, toolkit, views
 from eventgraph.plans.proxy import EVENTS, events
 from eventgraph.plans.registry import query
@@ -222,6 +223,18 @@ def running_titles(spark, folder):
     return events(spark, folder).select("event_id", F.count(F.lit(1)).over(W.partitionBy("gold_athlete").orderBy("event_date", "event_id").rowsBetween(W.unboundedPreceding, 0)).alias("titles"))
 
 
+@query("sql_count_events", f"{WITH} select sport, year, count(*) filter (competitor_count > 40) n from ev group by sport, year")
+def sql_count_events(spark, folder):
+    tools.register(events(spark, folder))
+    return spark.sql("select * from count_events(40)")
+
+
+@query("sql_leading_events", f"{WITH}, r as (select *, rank() over (partition by sport, year order by competitor_count desc) k from ev where competitor_count > 0) select sport, year, event_id, competitor_count, count(*) over (partition by sport, year) n_tied from r where k = 1")
+def sql_leading_events(spark, folder):
+    tools.register(events(spark, folder))
+    return spark.sql("select * from leading_events(true)")
+
+
 @query("batch_assign", f"{WITH} select event_id, (row_number() over (order by event_id) - 1) // 500 batch from ev")
 def batch_assign(spark, folder):
     return views.batches(events(spark, folder).select("event_id"), "event_id", 500)

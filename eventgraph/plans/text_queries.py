@@ -324,7 +324,7 @@ def metadata_header(spark, folder):
 
 @query("guarded_query", f"{WITH} select sport, count(*) n from ev where year = 1999 group by sport")
 def guarded_query(spark, folder):
-    return guard.checked(spark, "select sport, count(*) as n from events where year = 1999 group by sport", {"events": events(spark, folder, counted=False)})
+    return guard.ad_hoc(spark, "select sport, count(*) as n from {events} where year = 1999 group by sport", {"events": events(spark, folder, counted=False)})
 
 
 @query("distance_map", f"with {COSINE} select query_id, count(*)::int n, round(min(1 - score), 6) nearest from ct where rank <= 5 group by query_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from eventgraph.sources.snapshots import Snapshots
+
 CORPUS = "doc_id string, wikidata_qid string, wikipedia_pageid int, title string, url string, text string, approx_tokens int"
 QUESTIONS = "qid string, question string, qtype string, answer string, gold_doc_ids array<string>, source_qid string"
 EMBEDDINGS = "chunk_id string, embedding array<double>, model string, dimension int, task string, text_sha256 string"
@@ -76,8 +78,9 @@ def request_key(*parts: str):
 
 
 def answered(spark: SparkSession, requests: DataFrame, path: str, parts: tuple[str, ...]) -> DataFrame:
-    """requests with the reply that a cache of JSON lines (key, reply) has for each, else null; a malformed line is an error."""
-    cache = spark.read.schema("key string, reply string, line_no long").option("mode", "FAILFAST").json(path).dropDuplicates(["key"])
+    """requests with the reply that a cache of JSON lines (key, reply) has for each, the last of a key, else null; a malformed line is an error."""
+    lines = spark.read.schema("key string, reply string").option("mode", "FAILFAST").json(path).withColumn("_at", _place())
+    cache = lines.groupBy("key").agg(F.max_by("reply", "_at").alias("reply"))
     return requests.withColumn("key", request_key(*parts)).join(cache.select("key", "reply"), "key", "left")
 
 
@@ -112,16 +115,38 @@ def append_results(rows: DataFrame, path: str, spark: SparkSession, schema: str,
 def write_counted(rows: DataFrame, path: str, expected: int | None = None) -> int:
     """Write rows as Parquet and compare what is there afterwards with what was sent; a difference is an error.
 
-    Spark repeats failed tasks itself, so there is no loop of tries.
+    What is sent is counted as it is written, what is there by the files' footers: the rows are made once. Spark repeats
+    failed tasks itself, so there is no loop of tries.
     """
-    sent = rows.count() if expected is None else expected
-    rows.write.mode("overwrite").parquet(path)
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    sent = seen.get["n"] if expected is None else expected
     there = rows.sparkSession.read.schema(rows.schema).parquet(path).count()
     if there != sent:
         raise ValueError(f"{there} of {sent} rows were accepted")
     return there
 
 
+def planned(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Dry run: how many rows each table would get; everything is computed, nothing written."""
+    return {name: rows.count() for name, rows in tables.items()}
+
+
+def commit_embeddings(rows: DataFrame, store: Snapshots, size: int, table: str = "embeddings") -> int:
+    """Append cache rows in one commit, all or none: a bad vector fails the write before any row is visible."""
+    from eventgraph.operators.retrieval import valid_vector
+
+    sound = F.coalesce(valid_vector("embedding", size), F.lit(False))
+    checked = rows.withColumn("embedding", F.when(sound, F.col("embedding")).otherwise(F.raise_error(F.lit("a vector is not valid")).cast(rows.schema["embedding"].dataType)))
+    return store.commit(append={table: checked})
+
+
+def commit_results(rows: DataFrame, store: Snapshots, told: DataFrame, key: str = "qid") -> int:
+    """Append the results that are not there yet and the manifest of their run, in one commit."""
+    new = rows.join(store.read("results").select(key), key, "left_anti")
+    return store.commit(append={"results": new.select(*store.read("results").columns), "manifests": told})
+
+
 def manifest(questions_: DataFrame, settings: dict[str, str]) -> DataFrame:
     """One row about a run: how many questions, a hash of them that does not depend on their order, and the settings."""
     digest = F.sum(F.xxhash64(*questions_.columns).cast("decimal(38,0)")).cast("string")

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-_VERSION = "parts map<string,array<string>>, info map<string,string>"
+_VERSION = "parts map<string,array<string>>, info map<string,string>, counts map<string,long>"
 
 
 class Snapshots:
@@ -23,14 +23,14 @@ class Snapshots:
 
     def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str], partitions: dict[str, list[str]] | None = None):
         self.spark, self.folder, self.schemas, self.partitions = spark, folder.rstrip("/"), schemas, partitions or {}
-        self._write_version(0, {}, {}, "ignore")
+        self._write_version(0, {}, {}, {}, "ignore")
 
-    def _write_version(self, number: int, parts: dict[str, list[str]], info: dict[str, str], mode: str = "error") -> None:
-        row = self.spark.createDataFrame([(parts, info)], _VERSION).coalesce(1)
+    def _write_version(self, number: int, parts: dict[str, list[str]], info: dict[str, str], counts: dict[str, int], mode: str = "error") -> None:
+        row = self.spark.createDataFrame([(parts, info, counts)], _VERSION).coalesce(1)
         row.write.mode(mode).json(f"{self.folder}/versions/version={number}")
 
     def versions(self) -> DataFrame:
-        """(version, parts, info) of all commits."""
+        """(version, parts, info, counts) of all commits; counts are the rows that a commit wrote, by table."""
         return self.spark.read.schema(f"{_VERSION}, version long").json(f"{self.folder}/versions")
 
     def latest(self, at: int | None = None) -> Row:
@@ -52,16 +52,18 @@ class Snapshots:
     def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, info: dict[str, str] | None = None) -> int:
         """Add rows to tables, exchange others' rows, and keep info (what is not named in it stays): all of it or nothing."""
         now = self.latest()
-        parts, told = {k: list(v) for k, v in (now["parts"] or {}).items()}, dict(now["info"] or {}) | (info or {})
+        parts, told, counts = {k: list(v) for k, v in (now["parts"] or {}).items()}, dict(now["info"] or {}) | (info or {}), {}
         for changes, keep in ((append or {}, True), (replace or {}, False)):
             for name, rows in changes.items():
                 part = f"{name}/part={uuid.uuid4().hex}"
-                rows.write.partitionBy(*self.partitions.get(name, [])).parquet(f"{self.folder}/{part}")
+                seen = Observation()  # counted as they are written, not in a pass of its own
+                rows.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy(*self.partitions.get(name, [])).parquet(f"{self.folder}/{part}")
                 parts[name] = [*(parts.get(name, []) if keep else []), part]
+                counts[name] = counts.get(name, 0) + seen.get["n"]
         number = now["version"] + 1
         if self.latest()["version"] != now["version"]:
             raise RuntimeError("another commit came first")
-        self._write_version(number, parts, told)
+        self._write_version(number, parts, told, counts)
         return number
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], info: dict[str, str] | None = None) -> int:

@@ -4,7 +4,10 @@ import json
 
 import pytest
 
+from eventgraph.session import shared_folder
 from eventgraph.sources import files
+from eventgraph.sources.snapshots import Snapshots
+from eventgraph.streaming import ingestion
 
 
 def test_cache_keeps_the_last_valid_row(spark, tmp_path):
@@ -70,6 +73,8 @@ def test_response_cache(spark, tmp_path):
     key = requests.select(files.request_key(*parts).alias("k")).first()["k"]
     (tmp_path / "c.jsonl").write_text(json.dumps({"key": key, "reply": "hi"}) + "\n")
     assert {r.prompt: r.reply for r in files.answered(spark, requests, f"file://{tmp_path}/c.jsonl", parts).collect()} == {"hello": "hi", "other": None}
+    (tmp_path / "c.jsonl").write_text("".join(json.dumps({"key": key, "reply": r}) + "\n" for r in ("old", "newer", "newest")))
+    assert files.answered(spark, requests, f"file://{tmp_path}/c.jsonl", parts).where("prompt = 'hello'").first()["reply"] == "newest"
     (tmp_path / "c.jsonl").write_text('{"key": ')
     with pytest.raises(Exception, match="(?i)malformed"):
         files.answered(spark, requests, f"file://{tmp_path}/c.jsonl", parts).collect()
@@ -99,3 +104,58 @@ def test_tables_are_created_and_checked(spark):
     finally:
         for name in schemas:
             spark.sql(f"drop table if exists {name}")
+
+
+def test_one_pass_counts_and_writes(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for row in rows:
+            made.add(1)
+            yield row
+
+    rows = spark.createDataFrame(spark.range(50).rdd.mapPartitions(counted), "id long")
+    assert files.write_counted(rows, f"file://{tmp_path}/once") == 50 and made.value == 50
+    assert files.planned({"a": spark.range(3), "b": spark.range(0)}) == {"a": 3, "b": 0}
+
+
+def test_embeddings_and_results_in_one_commit(spark):
+    store = Snapshots(spark, shared_folder(spark, "store"), {"embeddings": "chunk_id string, embedding array<double>", "results": "qid long, answer string", "manifests": "n long"})
+    rows = lambda *r: spark.createDataFrame(list(r), store.schemas["embeddings"])
+    files.commit_embeddings(rows(("a", [1.0, 2.0])), store, 2)
+    with pytest.raises(Exception, match="not valid"):
+        files.commit_embeddings(rows(("b", [1.0, 2.0]), ("c", [0.0, 0.0])), store, 2)
+    assert [r.chunk_id for r in store.read("embeddings").collect()] == ["a"]
+    told = spark.createDataFrame([(2,)], "n long")
+    result = lambda *q: spark.createDataFrame([(i, f"a{i}") for i in q], store.schemas["results"])
+    files.commit_results(result(1, 2), store, told)
+    files.commit_results(result(2, 3), store, told)
+    assert sorted(r.qid for r in store.read("results").collect()) == [1, 2, 3] and store.read("manifests").count() == 2
+    assert store.latest()["counts"] == {"results": 1, "manifests": 1}
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_stopped_stream_goes_on(spark, tmp_path, when):
+    """Stopped before or after the commit of its second batch, and started again, a stream gives what one batch gives."""
+    for k in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.jsonl").write_text("".join(json.dumps({"doc_id": f"d{k}{i}", "title": f"T{i}", "text": "one\n\ntwo" * i or None}) + "\n" for i in range(4)))
+    store = Snapshots(spark, shared_folder(spark, "chunks"), ingestion.SCHEMAS)
+    stream = lambda: spark.readStream.schema(files.CORPUS).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    sink = ingestion.once(store, "chunks", ingestion.to_chunks)
+
+    def stopped(batch, number):
+        if number == 1 and when == "before":
+            raise RuntimeError("stopped")
+        sink(batch, number)
+        if number == 1:
+            raise RuntimeError("stopped")
+
+    first = ingestion.run(stream(), store, f"file://{tmp_path}/cp", stopped)
+    with pytest.raises(Exception, match="stopped"):
+        first.awaitTermination(120)
+    assert store.read("manifests").count() == (1 if when == "before" else 2)
+    assert ingestion.run(stream(), store, f"file://{tmp_path}/cp").awaitTermination(120)
+    want = ingestion.to_chunks(files.corpus(spark, f"file://{tmp_path}/in"))
+    assert sorted(map(tuple, store.read("chunks").collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert sorted((r.batch, r.n_documents) for r in store.read("manifests").collect()) == [(0, 4), (1, 4), (2, 4)]
