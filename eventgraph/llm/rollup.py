@@ -4,14 +4,16 @@ A delta is a row (source, language, tokenizer, sign, n_tokens): an insert has si
 revised count is a delete of the old and an insert of the new one, under its tokenizer version.
 Totals are additive, so a batch of deltas is summed by key first and only sums are stored.
 
-Commits. A batch is one partition of the store, written by a dynamic partition overwrite: to commit
-a batch again, after a failure or twice by mistake, replaces the same partition by the same sums, so
-totals count every batch once. ``commit`` fits ``foreachBatch``, whose batch ids come again after a
-restart. Batches may arrive in any order.
+Totals are maintained. A commit sums its batch by key, takes off what the same batch committed before,
+and adds the difference to the totals; sums of the batch, difference and new totals become visible in
+one commit of a snapshot store. So a batch that comes again, after a failure or twice by mistake, changes nothing, one
+that comes again with other rows, or none, replaces what it said, and reading totals reads one row a key
+however many batches there were. ``close`` forgets the sums of old batches; those then count as they stand and are not taken again.
+``commit`` fits ``foreachBatch``, whose batch ids come again after a restart. Batches may arrive in any order.
 
 Defined cases. Null source or language: a key of its own. Null or missing counts count 0 tokens and
-one document. Null sign: an insert. Repeated rows are repeated changes. An empty batch changes
-nothing. Extra columns are ignored. Keys whose documents and tokens are both back at 0 are left out.
+one document. Null sign: an insert. Repeated rows are repeated changes. An empty batch
+changes nothing; one that comes again empty takes back what it said. Extra columns are ignored. Keys whose documents and tokens are both back at 0 are left out.
 """
 
 from __future__ import annotations
@@ -20,34 +22,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventgraph.llm.common import WORD, columns_of, reliable, shared_folder, spread_join, text_or_empty
+from eventgraph.sources.snapshots import Snapshots
 
-KEYS = ("source", "language", "tokenizer")
-SCHEMA = "source string, language string, tokenizer string, n_docs long, n_tokens long, batch long"
+KEYS, SUMS = ("source", "language", "tokenizer"), ("n_docs", "n_tokens")
+_KEYED = "source string, language string, tokenizer string, n_docs long, n_tokens long"
+SCHEMAS = {"totals": _KEYED, "batches": f"{_KEYED}, batch long"}
 #: Two versions of a counting rule: words, and letters, digits and signs apart.
 VERSIONS = {"words-1": WORD, "parts-2": "[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\\x20\\x09-\\x0D0-9A-Za-zÀ-ÖØ-öø-ÿ]"}
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    """rows by key; what is back at nothing is left out."""
+    sums = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
+    return sums.where(" or ".join(f"{c} <> 0" for c in SUMS))
+
+
 class Rollup:
     """Totals by source, language and tokenizer version in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.store = Snapshots(spark, folder, SCHEMAS, {"batches": ["batch"]})
 
     def commit(self, deltas: DataFrame, batch: int) -> None:
-        """Add a batch of deltas, once, however often it is committed."""
+        """Make a batch count what its deltas say, once, however often it is committed."""
         columns_of(deltas, "source language tokenizer sign n_tokens")
+        if batch <= int((self.store.latest()["info"] or {}).get("closed", -1)):
+            return
         sign = F.coalesce(F.col("sign"), F.lit(1)).cast("long")
-        sums = deltas.groupBy(*KEYS).agg(F.sum(sign).alias("n_docs"), F.sum(sign * F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
-        sums = sums.withColumn("batch", F.lit(batch).cast("long"))
-        sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.folder)
+        told = deltas.select(*KEYS, sign.alias("n_docs"), (sign * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
+        before = self.store.read("batches").where(F.col("batch") == batch).select(*KEYS, *(-F.col(c) for c in SUMS)).toDF(*KEYS, *SUMS)
+        change = reliable(_summed(told.unionByName(before)))
+        totals = _summed(self.store.read("totals").unionByName(change))
+        self.store.commit(append={"batches": change.withColumn("batch", F.lit(batch).cast("long"))}, replace={"totals": totals})
 
-    def batches(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.folder)
+    def close(self, batch: int) -> None:
+        """Forget the sums of all batches up to one; committed again, they change nothing."""
+        self.store.commit(replace={"batches": self.store.read("batches").where(F.col("batch") > batch)}, info={"closed": str(batch)})
 
     def totals(self) -> DataFrame:
         """source, language, tokenizer, n_docs and n_tokens over all committed batches."""
-        sums = self.batches().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+        return self.store.read("totals")
 
 
 def count(text: str | Column, version: str) -> Column:
