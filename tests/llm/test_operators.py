@@ -443,6 +443,19 @@ def test_batches_count_once(spark):
     for i in (2, 1, 3, 2, 1):
         store.commit(spark.createDataFrame(batches[i], schema), i)
     assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v2", 1, 12)]
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    now = lambda: sorted((tuple(r) for r in store.totals().collect()), key=repr)
+    store.commit(make((None, "en", "v2", None, 5), ("c", None, "v2", 1, None)), 4)
+    store.commit(make(("c", "en", "v2", 1, 6)), 4)  # other rows in place of the first ones
+    assert now() == [("a", "en", "v2", 1, 12), ("c", "en", "v2", 1, 6)]
+    before = store.store.latest()["version"]
+    store.commit(make(), 4)  # and none in place of these
+    assert now() == [("a", "en", "v2", 1, 12)] and store.store.latest()["version"] == before + 1
+    store.commit(make((None, "en", "v2", None, 5), ("c", None, "v2", 1, None)), 5)
+    store.close(5)
+    store.commit(make(("z", "z", "z", 1, 1)), 5)
+    store.commit(make(("a", "en", "v2", -1, 12)), 6)
+    assert now() == [("c", None, "v2", 1, 0), (None, "en", "v2", 1, 5)] and {r.batch for r in store.store.read("batches").collect()} == {6}
 
 
 # chat
