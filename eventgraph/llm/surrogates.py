@@ -13,7 +13,9 @@ issued. Given and family names are entities of their own, in the script (Latin,
 the original: "Dr. Anna Smith", "Ms Anna Smith" and "Dr Smith" share one new family name, the first
 two one new given name. A given name has the gender that titles show for it anywhere in the data,
 none if they differ. A surface form gets its surrogates in its own format (title, case, separators), so mentions
-of one entity stay mentions of one entity in all documents.
+of one entity stay mentions of one entity in all documents. Names may have particles, apostrophes, hyphens, several
+blanks or capitals throughout. Once a titled name stands in a document, its given and family name are
+entities there without a title too: "Dr. Anna Smith ... Anna Smith ... Smith's". A number with the code +1 and the same one without it are one.
 
 Collision checks. If two entities have one candidate, or a candidate is itself an entity of the
 data, the later one (by attempt, then form) tries again with the next attempt number, until all
@@ -28,8 +30,8 @@ once; hot surfaces and hot texts are joined by broadcast. The table of entities
 
 Defined cases. Null text: stays null, no entity. Empty text: unchanged. Null ids and repeated rows:
 each row is replaced for itself. Empty table: no rows. Extra columns are kept; one with the name of
-the count is replaced. Not found: names without a title, postal addresses, dates of birth, and
-numbers in no known grouping.
+the count is replaced. Not found: names that stand in a document without any title, postal addresses,
+dates of birth, and numbers in no known grouping.
 """
 
 from __future__ import annotations
@@ -45,7 +47,10 @@ KEY = "an example key; give your own"
 MAX_ATTEMPTS = 32
 _GAP = "[\\s#*$%&|!<>]{0,6}"
 #: Titles by gender.
-TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Κυρία|Госпожа", "m": "Mr|Herr|Monsieur|Señor|Sr|Κύριος|Господин", "n": "Dr|Prof"}
+TITLES = {"f": "Mrs|MRS|Ms|MS|Miss|MISS|Frau|Madame|Mme|Señora|Sra|Κυρία|Госпожа", "m": "Mr|MR|Herr|Monsieur|Señor|Sr|Κύριος|Господин", "n": "Dr|DR|Prof|PROF|Professor|Doctor|Rev|Reverend|President|Senator"}
+#: Particles of family names, and words that follow a title in small letters but are no name.
+PARTICLES = "de|da|di|del|della|van|von|der|den|la|le|dos|du|af|zu|al|bin|ibn|ter|ten"
+NO_NAMES = "and|or|the|who|is|was|has|had|have|did|does|do|will|would|can|could|should|may|not|in|on|at|of|to|for|with|from|are|were|be|said|that|this|as|but|so|und|oder|et|ou|y|e"
 #: Common given names by script and gender, and syllables of made-up names.
 NAMES = {
     "latin": {"f": "Ada Berta Clara Dora Emma Flora Greta Hanna Irma Julia Lena Maria", "m": "Adam Bruno Carl David Emil Felix Georg Hugo Igor Jonas Karl Leo", "n": "Alex Chris Dana Jean Kim Lou Noel Robin Sam Sasha Toni Uli"},
@@ -55,8 +60,13 @@ NAMES = {
 SYLLABLES = {"latin": "ba de fi go ku la me ni po ru sa te vi wo za bor den fal gun hol kas lin mor nes", "greek": "βα δε φι γο κου λα με νι πο ρου σα τε βι ζα κορ δεν φαλ γον χολ κας λιν μορ νες θα", "cyrillic": "ба де фи го ку ла ме ни по ру са те ви жо за бор ден фал гун хол кас лин мор нес"}
 ENDINGS = {"latin": {"f": "a", "m": "o", "n": "i"}, "greek": {"f": "α", "m": "ος", "n": "ι"}, "cyrillic": {"f": "а", "m": "ан", "n": "и"}}
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя"}
-_TITLE = f"(?:{'|'.join(TITLES.values())})"
-_WORD = "\\p{Lu}\\p{Ll}+(?:-\\p{Lu}\\p{Ll}+)?"
+_SMALL = "mrs|mr|dr"
+_TITLE = f"(?:{'|'.join(TITLES.values())}|{_SMALL})"
+_BLANK = "[ \\t\\u00A0]+"
+_WORD = "(?:(?:\\p{Lu}['’])?\\p{Lu}\\p{Ll}+(?:[-'’]\\p{Lu}\\p{Ll}+)*|(?:\\p{Lu}['’])?\\p{Lu}{2,}(?:[-'’]\\p{Lu}{2,})*)(?!\\p{L})"
+_NAME = f"(?:(?:{PARTICLES}){_BLANK}){{0,3}}{_WORD}"
+#: Marks a given name that stands alone, without a title.
+_GIVEN = "\x01"
 _PREFIX = "(?:sk-|AKIA|gh[pousr]_|xox[abprs]-|AIza)"
 _HEX4 = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
@@ -71,11 +81,11 @@ PATTERNS = {
     "phone": f"\\+[0-9]{{1,3}}{_GAP}\\(?[0-9]{{3}}\\)?{_GAP}[ .-]?[0-9]{{3}}{_GAP}[ .-]?[0-9]{{4}}(?![0-9])"
     "|\\+[1-9][0-9]{0,2}[ -]?\\(?[0-9]{1,4}\\)?(?:[ -]?[0-9]{2,4}){1,3}(?![0-9])|\\+[1-9][0-9]{0,2}(?:\\.[0-9]{2,4}){2,4}(?![0-9])"
     "|(?<![0-9A-Za-z-])(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])|(?<![0-9-])[0-9]{3}-[0-9]{4}(?![0-9-])",
-    "name": f"(?<!\\p{{L}}){_TITLE}\\.? {_WORD}(?: {_WORD})?",
+    "name": f"(?<!\\p{{L}})(?:{_TITLE}\\.?{_BLANK}{_NAME}(?:{_BLANK}{_NAME})?|(?:{_SMALL})\\.?{_BLANK}(?!(?:{NO_NAMES})(?!\\p{{L}}))\\p{{Ll}}{{3,}}(?!\\p{{L}}))",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: No entity is without a digit, an @ or a title; most places of a text fail at their first sign.
-HINT = f"[0-9@]|(?=[DFHMPSΚГ]){_TITLE}[. ]"
+HINT = f"[0-9@]|(?=[{''.join(sorted({t[0] for t in '|'.join([*TITLES.values(), _SMALL]).split('|')}))}]){_TITLE}[. \\t\\u00A0]"
 
 
 def entities(text: Column) -> Column:
@@ -92,7 +102,31 @@ def _gender(surface: Column) -> Column:
 
 
 def _title(surface: Column) -> Column:
-    return F.regexp_extract(surface, f"^{_TITLE}\\.? ", 0)
+    return F.regexp_extract(surface, f"^{_TITLE}\\.?{_BLANK}", 0)
+
+
+def name_words(surface: Column) -> Column:
+    """The words of a name as they stand, without title and particles; the last is the family name."""
+    return F.filter(F.split(F.substr(surface, F.length(_title(surface)) + 1), _BLANK), lambda w: (w != "") & ~w.rlike(f"^(?:{PARTICLES})$"))
+
+
+def later_mentions(found: Column) -> Column:
+    """A pattern of the names that a text's titled entities give it, for where they stand without a title; null if there are none.
+
+    Names in capitals or with a capital; alone or two in a row, as whole words, also before an apostrophe and s.
+    """
+    titled = F.filter(found, lambda s: s.rlike(f"^{_TITLE}\\.?{_BLANK}"))
+    names = F.array_distinct(F.filter(F.flatten(F.transform(titled, name_words)), lambda w: w.rlike("^\\p{Lu}.")))
+    one = F.concat(F.lit("(?:"), F.array_join(F.transform(names, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|"), F.lit(")"))
+    edge = "(?!\\p{L}|[-'’](?!s(?!\\p{L}))\\p{L})"
+    return F.when(F.size(names) > 0, F.concat(F.lit("(?<!\\p{L}|\\p{L}[-'’])"), one, F.lit(f"{edge}(?:{_BLANK}"), one, F.lit(f"{edge})?")))
+
+
+def roles_marked(found: Column, first: Column) -> Column:
+    """found with a mark at given names that stand alone; first is what the titled names were found by."""
+    words = F.transform(F.filter(first, lambda s: s.rlike(f"^{_TITLE}\\.?{_BLANK}")), name_words)
+    families, givens = F.transform(words, lambda w: F.element_at(w, -1)), F.flatten(F.transform(words, lambda w: F.slice(w, 1, F.size(w) - 1)))
+    return F.transform(found, lambda s: F.when(F.array_contains(givens, s) & ~F.array_contains(families, s), F.concat(F.lit(_GIVEN), s)).otherwise(s))
 
 
 def parts(kind: Column, surface: Column) -> Column:
@@ -101,13 +135,15 @@ def parts(kind: Column, surface: Column) -> Column:
     form = (
         F.when(kind.isin("email", "token", "ipv6"), F.lower(surface))
         .when(kind.isin("card", "id"), digits)
+        .when((kind == "phone") & surface.startswith("+1") & (F.length(digits) == 11), F.substr(digits, F.lit(2)))  # the same as without its country's code
         .when(kind == "phone", F.concat(F.when(surface.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.replace(surface, F.lit(" "), F.lit("")))
         .otherwise(surface)
     )
     one = lambda k, f, g: F.struct(k.alias("kind"), f.alias("form"), g.alias("gender"))
-    words = F.split(F.lower(F.substr(surface, F.length(_title(surface)) + 1)), " ")
-    named = F.transform(words, lambda w, i: one(F.when(i == F.size(words) - 1, "family").otherwise("given"), w, _gender(surface)))
+    alone = surface.startswith(_GIVEN)
+    words = F.when(alone, F.array(F.substr(surface, F.lit(2)))).otherwise(name_words(surface))
+    named = F.transform(words, lambda w, i: one(F.when((i == F.size(words) - 1) & ~alone, "family").otherwise("given"), F.lower(w), _gender(surface)))
     return F.when(kind == "name", named).otherwise(F.array(one(kind, form, F.lit("n"))))
 
 
@@ -203,14 +239,22 @@ def candidate(kind: Column, form: Column, gender: Column, attempt: Column, key:
 def in_format(kind: Column, surface: Column, news: Column) -> Column:
     """Canonical surrogates (of the parts, in order) in the format of a surface form."""
     new = F.get(news, F.lit(0))
-    signs = F.when(kind == "iban", new).otherwise(F.regexp_replace(new, "[^0-9]", ""))
+    plain, had = F.regexp_replace(new, "[^0-9]", ""), F.regexp_replace(surface, "[^0-9]", "")
+    signs = F.when(kind == "iban", new).when(kind == "phone", F.concat(F.substr(had, F.lit(1), F.length(had) - F.length(plain)), plain)).otherwise(plain)
     zero = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
     walked = F.aggregate(
         F.split(surface, ""), zero,
         lambda s, c: F.when(c.rlike("[0-9]") | ((kind == "iban") & c.rlike("[A-Z]")), F.struct(F.concat(s["out"], F.substr(signs, s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))),
     )["out"]
     cased = F.when(F.upper(surface) == surface, F.upper(new)).otherwise(new)
-    named = F.array_join(F.transform(news, lambda n: F.array_join(F.transform(F.split(n, "-"), lambda w: F.initcap(w)), "-")), " ")
+    rest = F.regexp_replace(F.substr(surface, F.length(_title(surface)) + 1), f"^{_GIVEN}", "")
+    dressed = lambda w, n: F.when((F.upper(w) == w) & (F.length(w) > 1), F.upper(n)).when(F.lower(w) == w, n).otherwise(F.array_join(F.transform(F.split(n, "-"), lambda x: F.initcap(x)), "-"))
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
+    kept = lambda w: w.rlike(f"^(?:{_BLANK}|{PARTICLES})$")
+    named = F.aggregate(
+        F.regexp_extract_all(rest, F.lit(f"{_BLANK}|[^ \\t\\u00A0]+"), F.lit(0)), begin,
+        lambda s, w: F.struct(F.concat(s["out"], F.when(kept(w), w).otherwise(dressed(w, F.get(news, s["i"])))).alias("out"), (s["i"] + F.when(kept(w), 0).otherwise(1)).alias("i")),
+    )["out"]
     return F.when(kind.isin("email", "token", "ipv6"), cased).when(kind.isin("ip", "key"), new).when(kind == "name", F.concat(_title(surface), named)).otherwise(walked)
 
 
@@ -246,20 +290,24 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text", count: str = "n
     columns_of(docs, text)
     docs = without(docs, count)
     names = docs.columns
-    found, digest = own(docs, "_entities"), own(docs, "_digest")
+    found, digest, names_of = own(docs, "_entities"), own(docs, "_digest"), own(docs, "_names")
     hint = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     marked = docs.withColumn(found, F.when(hint, entities(F.col(text))).otherwise(F.array().cast("array<string>")))
     columns = [F.col(f"`{c}`") for c in names]
     plain = marked.where(F.size(found) == 0).select(*columns, F.lit(0).cast("long").alias(count))
-    holding = reliable(marked.where(F.size(found) > 0).withColumn(digest, F.sha2(F.col(text).cast("binary"), 256)))
+    some = marked.where(F.size(found) > 0).withColumn(digest, F.sha2(F.col(text).cast("binary"), 256)).withColumn(names_of, later_mentions(F.col(found)))
+    pattern = F.coalesce(F.concat(F.lit(ANY + "|"), F.col(names_of)), F.lit(ANY))
+    # a text with titled names is searched again for the same names without a title
+    whole = F.when(F.col(names_of).isNotNull(), roles_marked(F.regexp_extract_all(F.col(text), pattern, F.lit(0)), F.col(found))).otherwise(F.col(found))
+    holding = reliable(some.withColumn(found, whole))
 
     texts = reliable(holding.groupBy(digest).agg(F.first(found).alias("found"), F.count(F.lit(1)).alias("copies")))
     mentions = texts.select(F.col(digest).alias("digest"), "copies", F.posexplode("found").alias("at", "surface"))
     placed = spread_join(mentions, reliable(renamed(mentions, key)), "surface", "n").groupBy("digest", "copies").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("news"))
     placed = reliable(placed.select(F.col("digest").alias(digest), F.col("copies").alias("_copies"), F.transform("news", lambda n: n["new"]).alias("_news")))
-    rows = holding.select(digest, F.struct(*columns).alias("_row"))
+    rows = holding.select(digest, F.struct(*columns).alias("_row"), pattern.alias("_pattern"))
     joined = spread_join(rows, placed, digest, "_copies")
-    between = F.split(F.col(f"_row.`{text}`"), ANY, -1)
+    between = F.split(F.col(f"_row.`{text}`"), F.col("_pattern"), -1)
     new_text = F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_news"), i), F.lit("")))), "")
     replaced = joined.select(*[new_text.alias(c) if c == text else F.col(f"_row.`{c}`") for c in names], F.size("_news").cast("long").alias(count))
     return plain.unionByName(replaced)
