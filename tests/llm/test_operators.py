@@ -415,6 +415,30 @@ def test_replacements_by_brute_force(spark, folder, texts):
     assert not forms & {re.sub(r"[ ()-]", "", b).lower() for b in made.values()}
 
 
+def test_names_without_their_title(spark):
+    """Once a name is a document's entity, its mentions there are replaced alike; elsewhere the words stay."""
+    texts = {
+        1: "Dr. Anna Smith came. Later Anna Smith and Smith left; Anna's hat, Smith’s coat, Smithson, Annabel and anna stay.",
+        2: "Smith and Anna are no one here.",
+        3: "MR SMITH met Mrs O'Brien, Mr de Souza, Rev. Joan Hill, President Ada Lovelace-King and dr brown. SMITH, O'Brien, Souza, Hill and Ada Lovelace-King went; mr and mrs did not.",
+        4: "Dr. Anna  Smith and Prof van der Berg; Berg too.",
+        5: "+1 555 123 4567 or (555) 123-4567",
+        6: "Ms Ida Vale (Ida) and Mr Ida Vale",
+    }
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
+    one = got[1].text
+    given, family = re.match(r"Dr\. (\w+) (\w+) came\.", one).groups()
+    assert one == f"Dr. {given} {family} came. Later {given} {family} and {family} left; {given}'s hat, {family}’s coat, Smithson, Annabel and anna stay." and got[1].n_entities == 5
+    assert got[2].text == texts[2] and got[2].n_entities == 0
+    names = re.fullmatch(r"MR (\S+) met Mrs (\S+), Mr de (\S+), Rev\. (\S+) (\S+), President (\S+) (\S+-\S+) and dr (\S+)\. (\S+), (\S+), (\S+), (\S+) and (\S+) (\S+) went; mr and mrs did not\.", got[3].text).groups()
+    assert names[0] == names[8] == family.upper() and names[1] == names[9] and names[2] == names[10] and names[4] == names[11] and names[5:7] == names[12:14] and names[7].islower()
+    assert not set(re.findall(r"\w+", texts[3])) & set(names)
+    assert re.fullmatch(rf"Dr\. {given}  {family} and Prof van der (\S+); \1 too\.", got[4].text)
+    assert re.sub(r"\D", "", got[5].text.split(" or ")[0])[1:] == re.sub(r"\D", "", got[5].text.split(" or ")[1]) and got[5].text.startswith("+1 ")
+    six = re.fullmatch(r"Ms (\w+) (\w+) \((\w+)\) and Mr (\w+) (\w+)", got[6].text).groups()
+    assert six[0] == six[2] == six[3] and six[1] == six[4]
+
+
 def test_gender_of_a_given_name(spark):
     """A title anywhere tells it; titles that differ tell none."""
     text = ["Dr Kim Alder and Mrs Kim Berg", "Dr Robin Dahl", "Mr Toni Eck", "Ms Toni Fink"]
