@@ -106,12 +106,12 @@ def first_write_wins(spark, folder):
 
 #: All requests one after the other; the day's cap is one for all users.
 RATE = """
-with recursive q as (select event_id id, user_id client, epoch_us(ts) / 1e6 as at, row_number() over (order by ts, event_id) n from events),
+with recursive q as (select event_id id, user_id client, epoch_us(ts) / 1e6 as tm, row_number() over (order by ts, event_id) n from events),
 w as (select 0::bigint n, null::bigint id, null::bigint client, null::boolean accepted, -1::bigint as day, 0::bigint used, []::struct(c bigint, t double)[] recent
   union all
-  select n2, id2, c2, ok, d2, case when d2 = day then used else 0 end + ok::int, case when ok then list_append(kept, {'c': c2, 't': at}) else kept end from (
-    select q.n n2, q.id id2, q.client c2, floor(q.at / 86400)::bigint d2, w.day, w.used, q.at, list_filter(w.recent, lambda x: x.t > q.at - 3600) kept,
-      len(list_filter(w.recent, lambda x: x.c = q.client and x.t > q.at - 3600)) < 1 and (case when floor(q.at / 86400)::bigint = w.day then w.used else 0 end) < 300 ok
+  select n2, id2, c2, ok, d2, case when d2 = day then used else 0 end + ok::int, case when ok then list_append(kept, {'c': c2, 't': tm}) else kept end from (
+    select q.n n2, q.id id2, q.client c2, floor(q.tm / 86400)::bigint d2, w.day, w.used, q.tm, list_filter(w.recent, lambda x: x.t > q.tm - 3600) kept,
+      len(list_filter(w.recent, lambda x: x.c = q.client and x.t > q.tm - 3600)) < 1 and (case when floor(q.tm / 86400)::bigint = w.day then w.used else 0 end) < 300 ok
     from w join q on q.n = w.n + 1))
 select id request_id, client, accepted from w where n > 0"""
 
