@@ -144,6 +144,12 @@ def last_written(rows: DataFrame, key: str, value: str, order: str) -> DataFrame
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+def catalog(events: DataFrame, held_at: DataFrame) -> DataFrame:
+    """events with the start_date of the last of their HELD_AT edges (event_id, seq, start_date); an event without one has an empty date."""
+    dates = last_written(held_at.where("start_date is not null"), "event_id", "start_date", "seq")
+    return events.join(dates, "event_id", "left").withColumn("start_date", F.coalesce("start_date", F.lit("")))
+
+
 def chronology(events: DataFrame, series: str = "series_id") -> DataFrame:
     """Each event's neighbours in its series and the gap to the previous, else to the next, else 0."""
     by_time = W.partitionBy(series).orderBy("year", "event_date", "event_id")

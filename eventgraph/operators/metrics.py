@@ -135,6 +135,22 @@ def summary(rows: DataFrame) -> DataFrame:
     return totals.where("_g < 3").drop("_g").withColumn("ci", wilson("correct", "n")).select("*", "ci.low", "ci.high").drop("ci")
 
 
+def overall(rows: DataFrame) -> DataFrame:
+    """One row a pipeline: exact matches with their interval, mean F1, mean tokens, latency at the middle and at 95 percent, and cost of 100.
+
+    rows has pipeline, correct (0 or 1), f1, input_tokens, output_tokens and latency.
+    """
+    sums = rows.groupBy("pipeline").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("correct").alias("correct"),
+        F.round(F.avg("f1"), 6).alias("mean_f1"),
+        F.round(F.avg(F.col("input_tokens") + F.col("output_tokens")), 6).alias("mean_tokens"),
+        F.round(100 * (PRICES[0] * F.avg("input_tokens") + PRICES[1] * F.avg("output_tokens")) / 1e6, 6).alias("cost_per_100"),
+    )
+    ranks = nearest_rank(rows, ["pipeline"], "latency", {"latency_p50": 0.5, "latency_p95": 0.95})
+    return sums.withColumn("ci", wilson("correct", "n")).select("*", "ci.low", "ci.high").drop("ci").join(ranks, "pipeline", "left")
+
+
 def verdict(totals: DataFrame) -> DataFrame:
     """The cheapest of the pipelines with most correct answers, and whether it alone has so many."""
     best = totals.withColumn("_k", F.rank().over(W.orderBy(F.desc("correct")))).where("_k = 1")  # one row a pipeline

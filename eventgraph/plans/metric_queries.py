@@ -97,6 +97,12 @@ def summary_by_type(spark, folder):
     return metrics.summary(results(spark, folder))
 
 
+@query("overall_block", f"with {RESULTS}, o as (select *, case when correct = 1 then 1.0 else (input_tokens % 10) / 10.0 end f1, row_number() over (partition by pipeline order by latency nulls last) k, count(latency) over (partition by pipeline) m from re), s as (select pipeline, count(*)::double n, sum(correct)::double c, round(avg(f1), 6) mean_f1, round(avg(input_tokens + output_tokens), 6) mean_tokens, round(100 * (2.5 * avg(input_tokens) + 10 * avg(output_tokens)) / 1e6, 6) cost_per_100, max(case when k = round_even(0.5 * (m - 1), 0) + 1 then latency end) latency_p50, max(case when k = round_even(0.95 * (m - 1), 0) + 1 then latency end) latency_p95 from o group by pipeline) select pipeline, n::bigint n, c::bigint correct, mean_f1, mean_tokens, cost_per_100, latency_p50, latency_p95, {WILSON} from s")
+def overall_block(spark, folder):
+    f1 = F.when(F.col("correct") == 1, 1.0).otherwise((F.col("input_tokens") % 10) / 10.0)
+    return metrics.overall(results(spark, folder).withColumn("f1", f1))
+
+
 @query("wilson", f"with {RESULTS}, s as (select output_tokens user_id, count(*)::double n, sum(correct)::double c from re group by output_tokens) select user_id, {WILSON} from s")
 def wilson(spark, folder):
     users = results(spark, folder).groupBy(F.col("output_tokens").alias("user_id")).agg(F.sum("correct").alias("c"), F.count(F.lit(1)).alias("n"))

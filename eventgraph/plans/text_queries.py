@@ -148,6 +148,27 @@ def hybrid_distinct_docs(spark, folder):
     return retrieval.hybrid(sparse, near(spark, folder, 30), passages, 8)
 
 
+HYBRID = f"with {BM25}, {COSINE}, {FUSED}, pa as (select query_id, id, doc_id // 2 doc_id, rank, n from fr join (select doc_id id, doc_id, length(text) n from documents) using (id) where rank <= 60)"
+
+
+def hybrid_lists(spark, folder):
+    """Both rankings, and documents as passages, two of them a document."""
+    sparse = index_of(spark, folder).search(asked(spark, folder), 30).select("query_id", F.col("doc_id").alias("id"), "rank")
+    passages = corpus(spark, folder).select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 2).alias("doc_id"), F.length("text").alias("n"))
+    return sparse, near(spark, folder, 30), passages
+
+
+@query("hybrid_rescored", f"{HYBRID}, rr as (select *, row_number() over (partition by query_id order by n desc nulls last, rank) r from pa), on1 as (select *, row_number() over (partition by query_id, doc_id order by r) k from rr), fin as (select query_id, id, doc_id, n::double score, row_number() over (partition by query_id order by r) final_rank from on1 where k = 1) select query_id, id, doc_id, final_rank, score, false fallback from fin where final_rank <= 8")
+def hybrid_rescored(spark, folder):
+    """A scorer that is given: the longer a text, the more relevant."""
+    return retrieval.hybrid(*hybrid_lists(spark, folder), 8, scorer=lambda rows: rows.withColumn("relevance", F.col("n")))
+
+
+@query("hybrid_stages", f"{HYBRID}, st as (select query_id, 's' s from bm where rank <= 30 union all select query_id, 'd' from ct where rank <= 30 union all select query_id, 'f' from fr where rank <= 60 union all select query_id, 'k' from pa union all (select query_id, 'n' from (select query_id, row_number() over (partition by query_id order by min(rank)) r from pa group by query_id, doc_id) where r <= 8)) select query_id, count(*) filter (s = 's') n_sparse, count(*) filter (s = 'd') n_dense, count(*) filter (s = 'f') n_fused, count(*) filter (s = 'k') n_known, count(*) filter (s = 'n') n_final from st group by query_id")
+def hybrid_stages(spark, folder):
+    return retrieval.hybrid_stages(*hybrid_lists(spark, folder), 8)
+
+
 @query("vector_valid", "select vec_id, embedding is not null and len(embedding) = 64 and not list_bool_or(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0)) valid from embeddings")
 def vector_valid(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", retrieval.valid_vector("embedding", 64).alias("valid"))
