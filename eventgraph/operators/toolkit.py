@@ -142,14 +142,19 @@ def find_events(questions: DataFrame, events: DataFrame) -> DataFrame:
     phrased = linking.link_events(questions.where("phrase is not null and phrase <> ''"), events)
     ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"])
     linked = phrased.groupBy("question_id").agg(F.count(F.lit(1)).alias("total"), ranked.alias("event_ids"))
-    free = questions.where("phrase is null or phrase = ''").select("question_id", *[F.col(c).alias(f"_{c}") for c in ("sport", "year", "season", "gender")])
-    # by year and sport, so that a question meets only events of its own where it gives them
-    cube = events.select("event_id", "sport", "year", "season", "gender")
-    keyed = cube.select("*", F.explode(F.array(F.struct(F.col("sport").alias("s"), F.col("year").alias("y")), F.struct(F.col("sport").alias("s"), F.lit(None).cast("int").alias("y")), F.struct(F.lit(None).cast("string").alias("s"), F.col("year").alias("y")), F.struct(F.lit(None).cast("string").alias("s"), F.lit(None).cast("int").alias("y")))).alias("k"))
-    groups = keyed.join(free.select("_sport", "_year").distinct(), F.expr("k.s <=> _sport and k.y <=> _year"), "left_semi").select("event_id", "season", "gender", "k.s", "k.y")
-    met = free.join(groups, F.expr("s <=> _sport and y <=> _year and (_season is null or _season = season) and (_gender is null or _gender = gender)"))
-    placed = met.withColumn("_k", F.row_number().over(W.partitionBy("question_id").orderBy("event_id")))
-    listed = placed.groupBy("question_id").agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list(F.when(F.col("_k") <= LISTED, F.col("event_id")))).alias("event_ids"))
+    constraints = ("sport", "year", "season", "gender")
+    said = lambda c: F.concat(F.lit("="), F.col(c).cast("string"))
+    any_, together = F.lit("*"), lambda columns: F.concat_ws("\x01", *columns)
+    free = questions.where("phrase is null or phrase = ''").select("question_id", together([F.coalesce(said(c), any_) for c in constraints]).alias("asked"))
+    # an event stands under each set of constraints that it meets; every set is counted and listed once, for all its questions
+    each = events.select("event_id", *constraints)
+    for c in constraints:
+        each = each.withColumn(c, F.explode(F.array_compact(F.array(any_, said(c)))))
+    met = each.select("event_id", together(constraints).alias("asked")).join(free.select("asked").distinct(), "asked", "left_semi")
+    total = met.groupBy("asked").agg(F.count(F.lit(1)).alias("total"))
+    placed = met.withColumn("_k", F.row_number().over(W.partitionBy("asked").orderBy("event_id"))).where(F.col("_k") <= LISTED)
+    first = placed.groupBy("asked").agg(F.array_sort(F.collect_list("event_id")).alias("event_ids"))
+    listed = free.join(total.join(first, "asked"), "asked").select("question_id", "total", "event_ids")
     return linked.unionByName(listed)
 
 
