@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -64,20 +65,20 @@ def header() -> Column:
     return F.concat_ws(" | ", F.concat(F.lit("Title: "), "title"), *parts)
 
 
-def chronology(docs: DataFrame) -> DataFrame:
+def chronology(docs: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """(doc_id, prev_event_id, next_event_id, time_diff) of the articles whose titles are of the grammar.
 
     A series is a sport and an event's name; its articles stand by year, those of one year by id.
-    time_diff is the distance to the edition before, or to the next where there is none before.
+    time_diff is the distance to the edition before, or to the next where there is none before. Columns of kept stay.
     """
     title = F.trim("title")
     named = docs.where(title.rlike(ingest.TITLE))
     part = lambda k: F.trim(F.regexp_extract(title, ingest.TITLE, k))
-    series = named.select("doc_id", F.lower(part(1)).alias("_sport"), ingest.subname(part(4)).alias("_name"), part(2).cast("int").alias("_year"))
+    series = named.select("doc_id", *kept, F.lower(part(1)).alias("_sport"), ingest.subname(part(4)).alias("_name"), part(2).cast("int").alias("_year"))
     order = W.partitionBy("_sport", "_name").orderBy("_year", "doc_id")
     before, after = F.col("_year") - F.lag("_year").over(order), F.lead("_year").over(order) - F.col("_year")
-    linked = series.select("doc_id", F.lag("doc_id").over(order).alias("prev_event_id"), F.lead("doc_id").over(order).alias("next_event_id"), before.alias("_b"), after.alias("_a"))
-    return linked.select("doc_id", "prev_event_id", "next_event_id", F.coalesce(F.nullif("_b", F.lit(0)), "_a", F.lit(0)).alias("time_diff"))
+    linked = series.select("doc_id", *kept, F.lag("doc_id").over(order).alias("prev_event_id"), F.lead("doc_id").over(order).alias("next_event_id"), before.alias("_b"), after.alias("_a"))
+    return linked.select("doc_id", *kept, "prev_event_id", "next_event_id", F.coalesce(F.nullif("_b", F.lit(0)), "_a", F.lit(0)).alias("time_diff"))
 
 
 def admitted(articles: DataFrame) -> DataFrame:
@@ -109,21 +110,34 @@ def graph_frames(docs: DataFrame) -> dict[str, DataFrame]:
     Edges have src, dst and, where they carry one, a value.
     """
     articles = parsed(docs)
-    linked = chronology(docs)
-    events = event_rows(articles).join(linked.withColumnRenamed("doc_id", "event_id"), "event_id", "left")
     cut = ingest.chunks(articles)
-    venue = F.trim("venue")
-    held = events.where("venue <> ''").select(F.col("event_id").alias("src"), ingest.venue_id(venue).alias("dst"), venue.alias("name"))
-    dates = articles.select(F.col("doc_id").alias("src"), F.coalesce("dates", F.lit("")).alias("value"))
-    edge = lambda to: events.where(F.col(to).isNotNull()).select(F.col("event_id").alias("src"), F.col(to).alias("dst"), F.col("time_diff").cast("string").alias("value"))
+    linked = chronology(docs).withColumnRenamed("doc_id", "event_id")
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    events = event_rows(articles).join(linked.drop("time_diff"), "event_id", "left")
     return {
         "documents": articles.select("doc_id", "title", "url", "wikidata_qid", "wikipedia_pageid", "approx_tokens", "filter_mask"),
         "chunks": ingest.stored_chunks(cut.join(articles.select("doc_id", F.col("title").alias("section_title"), "filter_mask"), "doc_id")),
-        "events": events.withColumn("prev_event_id", F.coalesce(F.col("prev_event_id").cast("string"), F.lit(""))).withColumn("next_event_id", F.coalesce(F.col("next_event_id").cast("string"), F.lit(""))).drop("time_diff"),
-        "venues": held.groupBy(F.col("dst").alias("venue_id")).agg(F.max_by("name", "src").alias("name")),
+        "events": events.select(*[told(c) if c in ("prev_event_id", "next_event_id") else c for c in events.columns]),
         "has_chunk": cut.select(F.col("doc_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit(None).cast("string").alias("value")),
-        "documented_in": events.select(F.col("event_id").alias("src"), F.col("event_id").alias("dst"), F.lit(None).cast("string").alias("value")),
-        "held_at": held.select("src", "dst").join(dates, "src"),
+        **edge_frames(articles),
+    }
+
+
+#: What venues and the edges other than those of chunks are made of.
+READ = ("doc_id", "title", "year", "season", "sport", "venue", "dates")
+
+
+def edge_frames(articles: DataFrame) -> dict[str, DataFrame]:
+    """Venues and edges of parsed articles (doc_id and the other columns of READ), by name; give settled ones if several frames are used."""
+    known = admitted(articles.select(*READ))
+    venue = F.trim("venue")
+    held = known.where("venue <> ''").select(F.col("doc_id").alias("src"), ingest.venue_id(venue).alias("dst"), venue.alias("name"), F.coalesce("dates", F.lit("")).alias("value"))
+    linked = chronology(articles.select("doc_id", "title", "year", "season", "sport"), kept=("year", "season", "sport"))
+    edge = lambda to: admitted(linked).where(F.col(to).isNotNull()).select(F.col("doc_id").alias("src"), F.col(to).alias("dst"), F.col("time_diff").cast("string").alias("value"))
+    return {
+        "venues": held.groupBy(F.col("dst").alias("venue_id")).agg(F.max_by("name", "src").alias("name")),
+        "documented_in": known.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"), F.lit(None).cast("string").alias("value")),
+        "held_at": held.select("src", "dst", "value"),
         "precedes": edge("prev_event_id"),
         "succeeds": edge("next_event_id"),
     }

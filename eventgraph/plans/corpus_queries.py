@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventgraph.operators import corpus, ingest
+from eventgraph.operators.ordering import settled
 from eventgraph.plans.proxy import ARTICLES, EVENTS, articles
 from eventgraph.plans.registry import query
 
@@ -13,6 +14,11 @@ MASK = "((case when year - 1988 between 0 and 39 then 1 << ((year - 1988) // 2):
 HEADER = "concat_ws(' | ', 'Title: ' || title, 'Year: ' || year, 'Season: ' || season, 'Sport: ' || sport, 'Event: ' || label, 'Venue: ' || venue, case when competitor_count > 0 then 'Competitors: ' || competitor_count end, 'Nations: ' || nation_count, 'Gold: ' || gold)"
 
 
+def read(spark, folder):
+    """What the articles say that edges are made of, read once."""
+    return settled(corpus.parsed(articles(spark, folder)).select(*corpus.READ))
+
+
 @query("corpus_events", f"{WITH} select event_id, title as name, year, coalesce(season, '') season, sport, coalesce(gender, '') gender, coalesce(venue, '') venue, competitor_count, nation_count, gold gold_athlete, 'FRA' gold_noc, {MASK} filter_mask, coalesce(prev::varchar, '') prev_event_id, coalesce(next::varchar, '') next_event_id from ar left join ch using (event_id)")
 def corpus_events(spark, folder):
     rows = corpus.graph_frames(articles(spark, folder))["events"]
@@ -31,14 +37,14 @@ def corpus_chronology(spark, folder):
 
 @query("corpus_edges", f"{WITH}, e as (select event_id src, event_id::varchar dst, 'documented_in' kind, null as value from ar union all select event_id, 'v_' || regexp_replace(lower(venue), '[^a-z0-9]', '_', 'g')[:60], 'held_at', start_date from ar where venue is not null union all select event_id, prev::varchar, 'precedes', coalesce(nullif(b, 0), a, 0)::varchar from ch where prev is not null union all select event_id, next::varchar, 'succeeds', coalesce(nullif(b, 0), a, 0)::varchar from ch where next is not null) select src, dst, kind, value from e")
 def corpus_edges(spark, folder):
-    frames = corpus.graph_frames(articles(spark, folder))
+    frames = corpus.edge_frames(read(spark, folder))
     parts = [frames[k].select("src", F.col("dst").cast("string").alias("dst"), F.lit(k).alias("kind"), "value") for k in ("documented_in", "held_at", "precedes", "succeeds")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("corpus_venues", f"{WITH} select 'v_' || regexp_replace(lower(venue), '[^a-z0-9]', '_', 'g')[:60] venue_id, arg_max(venue, event_id) as name from ar where venue is not null group by 1")
 def corpus_venues(spark, folder):
-    return corpus.graph_frames(articles(spark, folder))["venues"]
+    return corpus.edge_frames(corpus.parsed(articles(spark, folder)))["venues"]
 
 
 #: Paragraphs packed by a fold: done chunks, the open one's paragraphs and its tokens.
@@ -61,5 +67,5 @@ def corpus_chunks(spark, folder):
 
 @query("corpus_totals", f"{WITH} select 'events' as name, count(*) n from ar union all select 'documents', count(*) from ar union all select 'venues', count(distinct regexp_replace(lower(venue), '[^a-z0-9]', '_', 'g')[:60]) from ar union all select 'held_at', count(*) from ar where venue is not null union all select 'documented_in', count(*) from ar union all select 'precedes', count(prev) from ch union all select 'succeeds', count(next) from ch")
 def corpus_totals(spark, folder):
-    frames = corpus.graph_frames(articles(spark, folder))
-    return corpus.totals({k: v for k, v in frames.items() if k not in ("chunks", "has_chunk")})
+    known = read(spark, folder)
+    return corpus.totals({"documents": known, "events": corpus.admitted(known), **corpus.edge_frames(known)})

@@ -46,3 +46,26 @@ def test_listing_of_equal_constraints(spark, sides):
             assert (total, list(ids)) == (60, held[:25])
         elif question % 100 == 3:
             assert (total, list(ids)) == (120, every[:25])
+
+
+def test_articles_are_read_once_for_all_edges(spark, folder):
+    from eventgraph.plans import registry
+
+    for name in ("corpus_edges", "corpus_totals"):
+        plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Infobox" not in plan and "documents.parquet" not in plan
+
+
+def test_beginnings_say_what_whole_texts_say(spark, monkeypatch):
+    from eventgraph.operators import ingest
+
+    box = "[Infobox Olympic event]\n event: Luge\n gold: Ann\n"
+    texts = [box, box + "\nThere were 3", box + "\r\n\r\nx\r\n\r\ny", "a\n" * 30 + box + " \nopening\nmore\n\nrest", box + "\n" + "o" * 90 + "\n\nrest", box + "\n\n\nz\n\n", "", "no box\n\nat all", "x" * 20 + "\n" + box.upper() + "\t\nend\n\n\n", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    read = lambda: {r.i: (r.b.box, r.b.opening) for r in rows.select("i", ingest.box_and_opening(F.col("text")).alias("b")).collect() if r.b}
+    monkeypatch.setattr(ingest, "HEADS", ())
+    whole = read()
+    assert whole[3] == ({"event": "Luge", "gold": "Ann"}, "opening\nmore")
+    for heads in ((7,), (40, 60), tuple(range(1, 9)), (65, 130)):
+        monkeypatch.setattr(ingest, "HEADS", heads)
+        assert read() == whole
