@@ -69,3 +69,14 @@ def test_beginnings_say_what_whole_texts_say(spark, monkeypatch):
     for heads in ((7,), (40, 60), tuple(range(1, 9)), (65, 130)):
         monkeypatch.setattr(ingest, "HEADS", heads)
         assert read() == whole
+
+
+def test_templated_questions_of_one_form(spark, monkeypatch):
+    rows = [(i, f"Luge at the 1998 Winter Olympics – Run {i % 3}", f"Run {i % 3}", "Luge", 1998, "Winter", "Park", "8 May", f"Ann {i}", 1 + i % 2, 2) for i in range(12)]
+    events = spark.createDataFrame(rows, "event_id long, name string, label string, sport string, year int, season string, venue string, start_date string, gold_athlete string, competitor_count int, nation_count int")
+    texts = ["how many Luge events at the 1998 Winter Olympics had more than 1 competitors?", "which Luge event at the 1998 Winter Olympics had the highest number?", "Who won the event held at Park on 8 May?", "How many nations competed in Luge at the 1998 Winter Olympics – Run 1?"]
+    questions = spark.createDataFrame([(100 * c + i, t) for c in range(20) for i, t in enumerate(texts)], "question_id long, question string")
+    forms = toolkit.classed_answers(questions, events)
+    assert forms["asked"].select("form").distinct().count() == 4 and forms["answers"].count() == 1 + 6 + 12 + 4
+    assert toolkit.template_answers(questions, events).count() == 20 * 23
+    assert {(r.question_id % 100, r.answer) for r in toolkit.single_answers(questions, events).collect()} == {(0, "6")}
