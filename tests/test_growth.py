@@ -80,3 +80,13 @@ def test_templated_questions_of_one_form(spark, monkeypatch):
     assert forms["asked"].select("form").distinct().count() == 4 and forms["answers"].count() == 1 + 6 + 12 + 4
     assert toolkit.template_answers(questions, events).count() == 20 * 23
     assert {(r.question_id % 100, r.answer) for r in toolkit.single_answers(questions, events).collect()} == {(0, "6")}
+
+
+def test_a_venue_and_date_is_looked_up_once(spark):
+    events = spark.createDataFrame([(i, f"Run {i}", "Park", "8 May", 1998 + i % 2, f"Ann {i}") for i in range(10)] + [(99, "Run", "Park", "9 May", 1998, "Eve")], "event_id long, name string, venue string, start_date string, year int, gold_athlete string")
+    asked = spark.createDataFrame([(i, "Park", ("8 May", "9 May", "8 May 1999")[i % 3]) for i in range(60)], "question_id long, venue string, date string")
+    forms, met = linking.places_met(asked, events)
+    assert forms.count() == 3 and met.count() == 10 + 1 + 5
+    got = {r.question_id: (r.status, r.candidates) for r in toolkit.attributes_at_venue(asked, events, "gold_athlete", F.size).collect()}
+    assert got == {i: (("ambiguous", 10), ("conclusive", 1), ("ambiguous", 5))[i % 3] for i in range(60)}
+    assert linking.at_venue_date(asked, events).count() == 20 * 16
