@@ -90,3 +90,15 @@ def test_a_venue_and_date_is_looked_up_once(spark):
     got = {r.question_id: (r.status, r.candidates) for r in toolkit.attributes_at_venue(asked, events, "gold_athlete", F.size).collect()}
     assert got == {i: (("ambiguous", 10), ("conclusive", 1), ("ambiguous", 5))[i % 3] for i in range(60)}
     assert linking.at_venue_date(asked, events).count() == 20 * 16
+
+
+def test_golds_are_counted_and_not_listed(spark, folder):
+    from eventgraph.operators import metrics
+    from eventgraph.plans import metric_queries
+
+    ranked, gold, sizes = metric_queries.rankings(spark, folder)
+    labels, left = metric_queries.labelled(spark, folder)
+    every = left.join(labels, "label").where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"))
+    assert gold.count() <= ranked.count() < every.count()
+    whole = metrics.cutoffs(ranked, every, (1, 5, 10)).first()
+    assert metrics.cutoffs(ranked, gold, (1, 5, 10), sizes).first() == whole
