@@ -94,11 +94,22 @@ def test_a_venue_and_date_is_looked_up_once(spark):
 
 def test_golds_are_counted_and_not_listed(spark, folder):
     from eventgraph.operators import metrics
-    from eventgraph.plans import metric_queries
+    from eventgraph.plans import registry
 
+    metric_queries = registry.metric_queries
     ranked, gold, sizes = metric_queries.rankings(spark, folder)
     labels, left = metric_queries.labelled(spark, folder)
     every = left.join(labels, "label").where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"))
     assert gold.count() <= ranked.count() < every.count()
     whole = metrics.cutoffs(ranked, every, (1, 5, 10)).first()
     assert metrics.cutoffs(ranked, gold, (1, 5, 10), sizes).first() == whole
+
+
+def test_names_within_phrases_meet_once_a_set_of_words(spark, monkeypatch):
+    phrases = spark.createDataFrame([(i, ("the big red ball of men", "Red, big ball", "none")[i % 3]) for i in range(60)], "phrase_id long, phrase string")
+    names = spark.createDataFrame([("big",), ("ball red",), ("Red ball",), ("big blue ball",), ("of",), ("",)], "name string")
+    sizes, settled = [], linking.settled
+    monkeypatch.setattr(linking, "settled", lambda rows: sizes.append(rows.count()) or settled(rows))
+    got = {r.phrase_id: r.name for r in linking.longest_within(phrases, names).collect()}
+    assert got == {i: "ball red" for i in range(60) if i % 3 < 2}
+    assert sizes == [3, 3, 4]  # wordings, their sets of words, the names'
