@@ -120,3 +120,29 @@ def test_neighbours_of_odd_vectors(spark, monkeypatch):
     assert neighbours.exact(asked.limit(0), vectors, 4).count() == 0 and index.search(asked.limit(0), 4, 2).count() == 0
     plan = index.search(asked, 4, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and "Join Cross" not in plan
+
+
+def test_words_of_blocks_are_those_of_search_tokens(spark):
+    import pyarrow as pa
+
+    from eventgraph.functions import text as tx
+    from eventgraph.operators import scoring
+
+    texts = ["ﬁnal Ａthens", "Ⅻ ½ km² №7 ﬀoﬄe", "Süleymanoğlu—Łódź Øre", "ｆｕｌｌ ㎏ …", "ǅ ǆ Ǳ", " plain\tTEXT\x00x ", "", "中文 é", "𝐀b 😀c", "a´b ́x ￾", "İı ſ K", "".join(map(chr, range(1, 0x2FFF))), "".join(map(chr, range(0xE000, 0xFFFD))), None]
+    want = [r.t or [] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.search_tokens("t").alias("t")).collect()]
+    assert [t.split() for t in scoring.folded(pa.array(texts)).to_pylist()] == want
+
+
+def test_only_the_best_of_a_task_are_shuffled(spark):
+    """Words that all queries and documents share: rows that are joined or shuffled do not grow with queries times documents."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the of sea w"), F.col("id") % 7).alias("text")).repartition(2)
+    asked = spark.range(40).select(F.col("id").alias("query_id"), F.concat(F.lit("the sea w"), F.col("id") % 7).alias("text"))
+    index = text_index.TextIndex(spark, shared_folder(spark, "index"))
+    index.add(docs)
+    blocks = index.blocks(asked).localCheckpoint()
+    spans = blocks.select("span").distinct().count()
+    found = index._best(blocks, 5, None, index.store.read("documents"))
+    assert found.count() <= 40 * 5 * spans
+    got = rows(index.search(asked, 5))
+    assert got == rows(retrieval.bm25(asked, docs, 5)) and len(got) == 200
+    assert all(d % 7 == q % 7 for q, d, _, _ in got)
