@@ -146,3 +146,16 @@ def test_only_the_best_of_a_task_are_shuffled(spark):
     got = rows(index.search(asked, 5))
     assert got == rows(retrieval.bm25(asked, docs, 5)) and len(got) == 200
     assert all(d % 7 == q % 7 for q, d, _, _ in got)
+
+
+def test_rows_with_equal_and_null_ids_are_one_document(spark, monkeypatch):
+    monkeypatch.setattr(text_index, "SPAN", 2)
+    monkeypatch.setattr(text_index, "BLOCK", 3)
+    docs = spark.createDataFrame([(i % 7 if i % 5 else None, f"sea w{i} ship" if i % 2 else "the sea") for i in range(30)] + [(40, None)], "doc_id long, text string")
+    whole = docs.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))
+    asked = spark.createDataFrame([(1, "sea w3"), (2, "ship the w9"), (3, "none")], "query_id long, text string")
+    index = text_index.TextIndex(spark, shared_folder(spark, "index"))
+    index.add(docs)
+    listed = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = listed(index.search(asked, 4))
+    assert got == listed(retrieval.bm25(asked, docs, 4)) == listed(retrieval.bm25(asked, whole, 4)) and len(got) == 8
