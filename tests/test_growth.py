@@ -113,3 +113,12 @@ def test_names_within_phrases_meet_once_a_set_of_words(spark, monkeypatch):
     got = {r.phrase_id: r.name for r in linking.longest_within(phrases, names).collect()}
     assert got == {i: "ball red" for i in range(60) if i % 3 < 2}
     assert sizes == [3, 3, 4]  # wordings, their sets of words, the names'
+
+
+def test_rankings_are_made_once(spark, folder):
+    from eventgraph.plans import registry
+
+    plan = lambda name: registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan("context_recall")  # the ranking is read from where it was written
+    for name in ("hybrid_stages", "hybrid_rescored"):
+        assert "MapInArrow" not in plan(name)  # nor are vectors compared again for each stage
