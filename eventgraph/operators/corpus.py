@@ -23,11 +23,13 @@ def sport_of(title: Column) -> Column:
 
 def games_of(games: Column, title: Column) -> Column:
     """(year, season): those of a title of the grammar, else those that the infobox names."""
-    named = F.trim(title)
-    told = F.coalesce(named.rlike(ingest.TITLE), F.lit(False))
-    year = F.when(told, F.regexp_extract(named, ingest.TITLE, 2)).otherwise(F.nullif(F.regexp_extract(games, ingest.YEAR, 1), F.lit("")))
     said = F.when(F.lower(games).contains("summer"), "Summer").when(F.lower(games).contains("winter"), "Winter")
-    return F.struct(year.cast("int").alias("year"), F.when(told, F.initcap(F.regexp_extract(named, ingest.TITLE, 3))).otherwise(said).alias("season"))
+
+    def of(told: Column) -> Column:
+        year = F.when(told["year"] != "", told["year"]).otherwise(F.nullif(F.regexp_extract(games, ingest.YEAR, 1), F.lit("")))
+        return F.struct(year.cast("int").alias("year"), F.when(told["year"] != "", told["season"]).otherwise(said).alias("season"))
+
+    return ingest.let(ingest.told_games(F.trim(title)), of)
 
 
 def parsed(docs: DataFrame) -> DataFrame:
@@ -35,15 +37,17 @@ def parsed(docs: DataFrame) -> DataFrame:
 
     A field that is not there is null; an article without an infobox may still have a sport and Games by its title.
     """
-    own = docs.withColumn("_read", ingest.box_and_opening(F.col("text"))).withColumn("_box", F.col("_read.box")).withColumn("_games", games_of(F.coalesce(F.try_element_at("_box", F.lit("games")), F.lit("")), F.col("title")))
-    field = lambda name: F.try_element_at("_box", F.lit(name))
+    read = docs.withColumn("_read", ingest.read_box(F.col("text")))
+    box = F.struct(*[ingest.box_field(F.col("_read"), name).alias(name) for name in ingest.NAMES])
+    field = lambda name: F.col(f"_box.{name}")
+    own = read.withColumn("_box", box).withColumn("_games", games_of(F.coalesce(field("games"), F.lit("")), F.col("title"))).withColumn("_sport", sport_of(F.col("title")))
     names = lambda raw: F.array_join(ingest.glued_names(ingest.without_country(raw)), ", ")
     event = F.nullif(F.trim(field("event")), F.lit(""))
     year_in = lambda name: F.nullif(F.regexp_extract(field(name), ingest.YEAR, 1), F.lit("")).cast("int")
     fields = {
         "year": F.col("_games.year"),
         "season": F.col("_games.season"),
-        "sport": F.coalesce(F.nullif(field("sport"), F.lit("")), sport_of(F.col("title"))),
+        "sport": F.coalesce(F.nullif(field("sport"), F.lit("")), "_sport"),
         "gender": ingest.gender_of(field("gender"), event, F.col("title")),
         "event_name": event,
         "venue": field("venue"),

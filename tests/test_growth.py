@@ -122,3 +122,44 @@ def test_rankings_are_made_once(spark, folder):
     assert "Window" not in plan("context_recall")  # the ranking is read from where it was written
     for name in ("hybrid_stages", "hybrid_rescored"):
         assert "MapInArrow" not in plan(name)  # nor are vectors compared again for each stage
+
+
+def test_bodies_are_cut_once_for_all_documents_that_end_with_them(spark):
+    import random
+
+    from eventgraph.operators import ingest
+
+    rng = random.Random(4)
+    line = lambda: rng.choice("ab é") * rng.choice((0, 1, 3, 8, 20, 45, 90)) + rng.choice(("", "x", " y "))
+    text = lambda most: rng.choice(("\n\n", "\n\n\n")).join(line() for _ in range(rng.randrange(most + 1)))
+    texts = [text(12) for _ in range(60)] + ["", " \n", "\n\nz", "one", None, "\n".join("abc")]
+    heads = [text(4) + "\n\n" for _ in range(60)] + ["", "\n\n", "w" * 300 + "\n\n", "w" * 300 + "\n\nv\n\n", "v\n\n" + "w" * 300 + "\n\n"]
+    pairs = [(f"{i}/{k}", k if k < len(texts) else None, h) for i, h in enumerate(heads) for k in range(len(texts) + 1)] + [("null", 0, None)]
+    docs = spark.createDataFrame([(d, f"t{d}", f"Title: t{d} | x", h, k) for d, k, h in pairs], "doc_id string, title string, header string, text string, key int")
+    rows = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    joined = docs.join(rows.withColumnRenamed("text", "rest"), "key", "left").withColumn("text", F.concat("text", F.coalesce("rest", F.lit(""))))
+    for limit in (1, 5, 13, 30, 400):
+        want = sorted(map(tuple, ingest.chunks(joined, limit=limit).collect()), key=repr)
+        got = sorted(map(tuple, ingest.chunks_behind(docs.join(ingest.bodies(rows, limit=limit), "key", "left"), limit=limit).collect()), key=repr)
+        assert got == want and len({d for d, *_ in got}) == len(pairs)
+
+
+def test_ways_through_a_body_stay_few():
+    import numpy as np
+
+    from eventgraph.operators import ingest
+
+    for size, n in ((1, 200_000), (3, 50_000), (150, 5_000), (900, 2_000)):
+        sums, ways = ingest.cuts(np.full(n, size))
+        assert len(sums) == 400 // size and len(ways) == max(1, len(sums)) + 1
+        assert sum(map(len, ways)) <= 2 * size * n + 400
+
+
+def test_articles_are_packed_from_their_beginnings(spark, folder):
+    """The documents' texts are parted below their join with the events, and packing is in the plan once."""
+    from eventgraph.plans import registry
+
+    plan = registry.QUERIES["corpus_chunks"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join LeftOuter, (doc_id", 1) if "Join LeftOuter, (doc_id" in plan else plan.split("Join LeftOuter", 1)
+    assert plan.count("aggregate(filter(transform(split(") == 1 and "replace(coalesce(text" in below and "replace(coalesce(text" not in above
+    assert registry.QUERIES["chunk_documents"](spark, folder)._jdf.queryExecution().optimizedPlan().toString().count("aggregate(filter(transform(split(") == 1
