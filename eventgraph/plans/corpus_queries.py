@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventgraph.operators import corpus, ingest
 from eventgraph.operators.ordering import settled
-from eventgraph.plans.proxy import ARTICLES, EVENTS, articles, begun_articles
+from eventgraph.plans.proxy import ARTICLES, EVENTS, alike_articles, articles
 from eventgraph.plans.registry import query
 
 WITH = f"with {EVENTS}, {ARTICLES}"
@@ -61,8 +61,10 @@ fo as (select *, {PACKED.replace('{{', '{').replace('}}', '}')} f from ps), al a
 select event_id doc_id, (i - 1)::int chunk_index, event_id || '#' || (i - 1) chunk_id, case when i > 1 then event_id || '#' || (i - 2) else '' end prev_chunk_id, case when i < len(cs) then event_id || '#' || i else '' end next_chunk_id,
   md5(((case when i = 1 then {HEADER} else 'Title: ' || title end) || chr(10) || chr(10) || cs[i])[:8000]) text_md5, length(cs[i][:4000])::int raw_length from (select *, unnest(range(1, len(cs) + 1)) i from al)""")
 def corpus_chunks(spark, folder):
-    rows = ingest.stored_chunks(ingest.chunks_behind(corpus.parsed(begun_articles(spark, folder))))  # an infobox and an opening never reach into a body
-    return rows.select("doc_id", "chunk_index", "chunk_id", "prev_chunk_id", "next_chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("raw_text").alias("raw_length"))
+    told = corpus.parsed(alike_articles(spark, folder))  # an infobox and an opening never reach into a body
+    cut = ingest.stored_texts(ingest.chunks_behind(told, "doc_ids"))
+    cut = cut.select("doc_ids", "n_chunks", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("raw_text").alias("raw_length"))
+    return ingest.stored_pointers(ingest.named_chunks(cut.withColumn("doc_id", F.explode("doc_ids")).drop("doc_ids")))
 
 
 @query("corpus_totals", f"{WITH} select 'events' as name, count(*) n from ar union all select 'documents', count(*) from ar union all select 'venues', count(distinct regexp_replace(lower(venue), '[^a-z0-9]', '_', 'g')[:60]) from ar union all select 'held_at', count(*) from ar where venue is not null union all select 'documented_in', count(*) from ar union all select 'precedes', count(prev) from ch union all select 'succeeds', count(next) from ch")

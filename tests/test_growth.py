@@ -140,7 +140,8 @@ def test_bodies_are_cut_once_for_all_documents_that_end_with_them(spark):
     joined = docs.join(rows.withColumnRenamed("text", "rest"), "key", "left").withColumn("text", F.concat("text", F.coalesce("rest", F.lit(""))))
     for limit in (1, 5, 13, 30, 400):
         want = sorted(map(tuple, ingest.chunks(joined, limit=limit).collect()), key=repr)
-        got = sorted(map(tuple, ingest.chunks_behind(docs.join(ingest.bodies(rows, limit=limit), "key", "left"), limit=limit).collect()), key=repr)
+        cut = ingest.named_chunks(ingest.chunks_behind(docs.join(ingest.bodies(rows, limit=limit), "key", "left"), limit=limit))
+        got = sorted(map(tuple, cut.select("doc_id", "chunk_index", "chunk_id", "prev_chunk_id", "next_chunk_id", "text", "raw_text").collect()), key=repr)
         assert got == want and len({d for d, *_ in got}) == len(pairs)
 
 
@@ -163,3 +164,17 @@ def test_articles_are_packed_from_their_beginnings(spark, folder):
     above, below = plan.split("Join LeftOuter, (doc_id", 1) if "Join LeftOuter, (doc_id" in plan else plan.split("Join LeftOuter", 1)
     assert plan.count("aggregate(filter(transform(split(") == 1 and "replace(coalesce(text" in below and "replace(coalesce(text" not in above
     assert registry.QUERIES["chunk_documents"](spark, folder)._jdf.queryExecution().optimizedPlan().toString().count("aggregate(filter(transform(split(") == 1
+
+
+def test_articles_that_are_alike_are_one_row(spark, folder, monkeypatch):
+    from eventgraph.operators import ingest
+    from eventgraph.plans import corpus_queries, proxy
+
+    events, twice = proxy.events, lambda *a: events(*a).unionByName(events(*a).withColumn("event_id", F.col("event_id") + 440_000))  # the same remainders
+    run = lambda: sorted(tuple(r) for r in corpus_queries.corpus_chunks(spark, folder).where("doc_id < 440000").collect())
+    once, n = run(), proxy.alike_articles(spark, folder).count()
+    monkeypatch.setattr(proxy, "events", twice)
+    assert proxy.alike_articles(spark, folder).count() == n and run() == once
+    assert corpus_queries.corpus_chunks(spark, folder).count() == 2 * len(once)
+    monkeypatch.setattr(proxy, "ALIKE", 400_000)  # ranges part them: no list grows without bound
+    assert proxy.alike_articles(spark, folder).count() == 2 * n and run() == once
